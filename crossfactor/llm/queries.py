@@ -66,7 +66,7 @@ def sharding_sql(tree: sharding.Tree, grown: sharding.Tree) -> str:
             for _ in range(8):
                 value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
             out.append(value)
-        return f"{out}::BIGINT[]"
+        return f"({out}::BIGINT[])"
 
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),
