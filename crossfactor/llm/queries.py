@@ -59,14 +59,16 @@ def sharding_sql(tree: sharding.Tree, grown: sharding.Tree) -> str:
   FROM d, {label}_tree GROUP BY row
 )"""
 
-    def crc_table() -> str:
-        """CRC-32 of each byte, from its polynomial."""
-        out = []
-        for value in range(256):
-            for _ in range(8):
-                value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
-            out.append(value)
-        return f"({out}::BIGINT[])"
+    def crc_step() -> str:
+        """A byte's step of CRC-32: the table is linear, so the entries of the eight single bits do."""
+        value, terms = 0xEDB88320, []
+        for bit in range(7, -1, -1):  # bit 7 has the polynomial itself
+            terms.append(f"((xor(a, b) >> {bit}) & 1) * {value}")
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        step = "a >> 8"
+        for term in terms:
+            step = f"xor({step}, {term})"
+        return step
 
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),
@@ -76,8 +78,8 @@ o AS (
   SELECT d.doc_id, octet_length(encode(d.text)) + 1 AS size, now.shard, later.shard AS grown_shard,
          ('0x' || substr(md5(key), 1, 8))::BIGINT % {sharding.SLOT_BLOCKS} AS block,
          CASE WHEN d.text = '' THEN 0 ELSE xor(4294967295, list_reduce(
-           list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(d.text)), 2), lambda i: ('0x' || substr(hex(encode(d.text)), i, 2))::BIGINT)),
-           lambda a, b: xor({crc_table()}[(xor(a, b) & 255) + 1], a >> 8))) END AS text_crc32
+           list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(d.text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+           lambda a, b: {crc_step()})) END AS text_crc32
   FROM d JOIN now USING (row) JOIN later USING (row)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
