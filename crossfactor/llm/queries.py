@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossfactor.llm import exact_dedup, sharding
+from crossfactor.llm import exact_dedup, minhash, sharding
 from crossfactor.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ FROM o
 
 
 ORACLE["op4_hash_tree_sharding"] = sharding_sql(sharding.balanced(16), sharding.grow(sharding.balanced(16)))
+
+
+@query
+def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classify(read_documents(spark, sf_dir))
