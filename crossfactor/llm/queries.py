@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossfactor.llm import exact_dedup, minhash, sharding
+import public_tokenizers
+
+from crossfactor.llm import exact_dedup, minhash, packing, sharding, token_files
 from crossfactor.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,13 @@ ORACLE["op4_hash_tree_sharding"] = sharding_sql(sharding.balanced(16), sharding.
 @query
 def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classify(read_documents(spark, sf_dir))
+
+
+@query
+def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
