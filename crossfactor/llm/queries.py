@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from crossfactor.llm import exact_dedup, minhash, packing, sharding, token_files
+from crossfactor.llm import exact_dedup, langid, minhash, packing, quality, sharding, token_files, toxicity
 from crossfactor.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,52 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_documents(spark, sf_dir))
+
+
+def line_passes_sql(line: str) -> str:
+    """The rules of ``quality.line_passes`` in DuckDB's words."""
+    like = lambda pattern: f"regexp_matches({line}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+    hits = lambda pattern: f"len(regexp_extract_all({line}, '{pattern}'))"
+    return f"""{like(quality.TERMINAL)} AND 20 * {hits(quality.SYMBOL)} <= length({line}) AND {hits(quality.SHOUT)} < 3
+        AND 2 * {hits(chr(92) + "p{Lu}")} <= length({line}) AND {hits(quality.NAVIGATION)} < 3 AND NOT {like(quality.BOILERPLATE)}"""
+
+
+ORACLE["op3_line_quality"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{quality.WORD}+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{quality.WORD}')) AS lines
+  FROM documents
+), win AS (
+  SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, g) > 1
+), cov AS (
+  SELECT row, count(DISTINCT i + j) AS n FROM rep, range(3) r(j) GROUP BY row
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(list_append(w, ''), 'string_agg', ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '{quality.SYMBOL}'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         coalesce(list_sum(list_transform(lines, lambda l: length(l))), 0) AS chars,
+         coalesce(list_sum(list_transform(list_filter(lines, lambda l: {line_passes_sql("l")}), lambda l: length(l))), 0) AS good
+  FROM d LEFT JOIN cov USING (row)
+), b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND chars - good <= {quality.MAX_LOST} * chars AS kept
+FROM b
+"""
+
+
+@query
+def op8_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_documents(spark, sf_dir))
+
+
+@query
+def op9_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
