@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from crossfactor.llm import exact_dedup, langid, minhash, packing, quality, sharding, token_files, toxicity
+from crossfactor.llm import bpe, exact_dedup, langid, minhash, packing, pii, quality, sharding, token_files, toxicity
 from crossfactor.llm.common import read_documents
 
+#: The key of the pseudonyms; production sets its own.
+PII_KEY = "crossfactor-test-key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -155,3 +158,13 @@ def op8_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op5_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_documents(spark, sf_dir), PII_KEY)
