@@ -8,11 +8,14 @@ candidate pairs, which are verified against the exact similarity of the whole te
 
 Texts with equal word sequences collapse to a node first. In each bucket of a band the nodes pair
 with the bucket's leader; verified pairs join components. Where the nodes of a bucket are then
-still in several components, rounds with other leaders follow, and at last every pair of nodes
-of the bucket that are in different components, so no verified pair between candidates is lost for the
-classes, while pairs within a component are never enumerated. No bucket or candidate is capped.
+still in several components, rounds with other leaders follow. At last the nodes of such buckets
+get a sketch of four times as many registers, and blocks of a bucket's nodes are compared with
+blocks, within a task: each pair of different components in the first bucket that it shares only. Pairs
+that the sketch puts near the threshold or above are verified there, unless links found before join
+them, so no pair becomes a row but the links that join components, and no bucket or candidate is capped.
 
-With 24 bands of 5 registers a pair of similarity 0.8 is missed with probability 7e-5.
+With 24 bands of 5 registers a pair of similarity 0.8 is missed with probability 7e-5; the sketch
+misses it with 1e-4 (3.9 standard deviations). Other pairs of its class may still join it.
 
 Defined results: documents without words (null, empty or white space) are each in a class of
 their own, as are documents similar to none; a text of fewer than five words is one shingle;
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import sized, text_or_empty, written
+from crossfactor.llm.common import sized, small, text_or_empty, written
 from crossfactor.llm.hashing import U64, mixed, shingles, slices
 
 WIDTH = 5
@@ -37,7 +40,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Rounds with bucket leaders before the pairs that are left are tested in full.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Registers of a sketch, a byte each, and the part that must agree: 0.73 by chance corrected for equal bytes.
+SKETCH, NEAR = 480, 0.73
+#: Nodes of a bucket in a block, about.
+BLOCK = 800
+#: Links of 32 bytes that one task may join; more are joined by stars over all executors.
+ONE_TASK_LINKS = 1_000_000
 
 SIGNED = "doc_id long, __node binary, __bands array<long>"
 SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("__node", pa.binary()), ("__bands", pa.list_(pa.int64()))])
@@ -147,8 +156,38 @@ def similar(pairs: DataFrame, content: DataFrame) -> DataFrame:
     return both.select("__a", "__b", "__text_a", "__text_b").mapInArrow(verify, "__a binary, __b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(__node, __label): the smallest node of each component, by alternating large and small stars."""
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the links of one task; the root is the smallest node."""
+    above: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        top = x
+        while above[top] != top:
+            top = above[top]
+        while above[x] != top:
+            above[x], x = top, above[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            a, b = root(a), root(b)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(n) for n in part], pa.binary())], names=["__node", "__label"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(__node, __label) of linked nodes: the smallest node of each component.
+
+    Links counted to be few are joined in one task; else alternating large and small stars join them,
+    in rounds that are logarithmic in the longest chain.
+    """
+    if small(edges, one_task):
+        return written(edges.select("__a", "__b").coalesce(1).mapInArrow(joined, "__node binary, __label binary"), "near-labels")
     edges = written(edges.select("__a", "__b").where("__a <> __b"), "near-edges")
     before = None
     while True:
@@ -188,11 +227,14 @@ def link(signed: DataFrame, docs: DataFrame) -> DataFrame | None:
         known = bucket.select("__key", "__node").join(labels, "__node", "left").select("__key", "__node", F.coalesce("__label", "__node").alias("__label"))
         mixed_up = known.groupBy("__key").agg(F.min("__label").alias("__low"), F.max("__label").alias("__high")).where("__low <> __high").select("__key")
         rest = written(known.join(mixed_up, "__key"), "near-open")
-        pairs = leader_pairs(rest, turn) if turn < LEADER_ROUNDS else all_pairs(rest)
-        fresh = written(pairs.distinct().join(tested, ["__a", "__b"], "left_anti"), "near-pairs")
+        if rest.isEmpty():
+            return labels
+        if turn == LEADER_ROUNDS:
+            found = written(block_links(rest, content), "near-links")
+            return labels if found.isEmpty() else components(edges.unionAll(found))
+        fresh = written(leader_pairs(rest, turn).distinct().join(tested, ["__a", "__b"], "left_anti"), "near-pairs")
+        turn += 1
         if fresh.isEmpty():
-            if turn >= LEADER_ROUNDS:
-                return labels
             turn = LEADER_ROUNDS
             continue
         tested = tested.unionAll(fresh)
@@ -200,9 +242,6 @@ def link(signed: DataFrame, docs: DataFrame) -> DataFrame | None:
         if not found.isEmpty():
             edges = edges.unionAll(found)
             labels = components(edges)
-        if turn >= LEADER_ROUNDS:
-            return labels
-        turn += 1
 
 
 def leader_pairs(rest: DataFrame, turn: int) -> DataFrame:
@@ -213,10 +252,60 @@ def leader_pairs(rest: DataFrame, turn: int) -> DataFrame:
     return rest.join(ends, "__key").select("__node", "__label", F.explode("__ends").alias("__e")).where("__label <> __e.__of").select(*ordered(F.col("__node"), F.col("__e.__head")))
 
 
-def all_pairs(rest: DataFrame) -> DataFrame:
-    """In each bucket, the pairs of nodes that are in different components."""
-    other = rest.select("__key", F.col("__node").alias("__other"), F.col("__label").alias("__of"))
-    return rest.join(other, "__key").where("__node < __other and __label <> __of").select(F.col("__node").alias("__a"), F.col("__other").alias("__b"))
+def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for begin, end in slices(texts):
+            part = batch.slice(begin, end - begin)
+            held = (signatures(texts[begin:end], SKETCH) >> U64(56)).astype(np.uint8)
+            keys = banded(signatures(texts[begin:end]))
+            columns = [part.column(0).cast(pa.binary()), part.column(1).cast(pa.binary()), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (held, keys))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__of", "__text", "__sketch", "__keys"])
+
+
+def compare(table: pa.Table) -> pa.Table:
+    """Two blocks of a bucket, or one with itself: links between similar nodes of different components."""
+    nodes, labels, texts = (table.column(c).to_pylist() for c in ("__node", "__label", "__text"))
+    marks = np.frombuffer(b"".join(table.column("__sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    keys = np.frombuffer(b"".join(table.column("__keys").to_pylist()), np.int64).reshape(-1, BANDS)
+    here, i, j = (table.column(c)[0].as_py() for c in ("__key", "__i", "__j"))
+    block = table.column("__block").to_numpy()
+    number = {label: k for k, label in enumerate(dict.fromkeys(labels))}
+    part = np.array([number[label] for label in labels])  # a node's component, joined as links are found
+    first = np.flatnonzero(block == i)
+    second = first if i == j else np.flatnonzero(block == j)
+    least = int(np.ceil(SKETCH * (NEAR + (1 - NEAR) / 256)))
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    found: list[tuple[bytes, bytes]] = []
+
+    def content(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in held:
+            held[k] = parted([texts[k]])[0]
+        return held[k]
+
+    for at, k in enumerate(first):
+        others = second[at + 1 :] if i == j else second
+        others = others[part[others] != part[k]]
+        shared = keys[others] == keys[k]
+        others = others[keys[k][shared.argmax(axis=1)] == here]
+        agree = (marks[others] == marks[k]).sum(axis=1)
+        for n in others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]:
+            if part[n] != part[k] and probability_jaccard(content(k), content(n)) >= SIMILARITY:
+                found.append((min(nodes[k], nodes[n]), max(nodes[k], nodes[n])))
+                part[part == part[n]] = part[k]
+    return pa.table({"__a": pa.array([a for a, _ in found], pa.binary()), "__b": pa.array([b for _, b in found], pa.binary())})
+
+
+def block_links(rest: DataFrame, content: DataFrame) -> DataFrame:
+    """Links that join nodes of a bucket which are in different components."""
+    own = rest.select(F.col("__node").alias("__want")).distinct()
+    marked = content.join(own, F.col("__node") == F.col("__want"), "left_semi").select("__node", "__text").mapInArrow(sketch, "__of binary, __text binary, __sketch binary, __keys binary")
+    sizes = rest.groupBy("__key").agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
+    dealt = rest.join(sizes, "__key").withColumn("__block", F.pmod(F.xxhash64("__node"), "__blocks"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    dealt = dealt.select("__key", F.least("__block", "__other").alias("__i"), F.greatest("__block", "__other").alias("__j"), "__block", "__node", "__label")
+    both = dealt.join(written(marked, "near-sketches"), F.col("__node") == F.col("__of")).drop("__of")
+    return both.groupBy("__key", "__i", "__j").applyInArrow(compare, "__a binary, __b binary")
 
 
 def classify(docs: DataFrame) -> DataFrame:
