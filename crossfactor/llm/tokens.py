@@ -2,24 +2,34 @@
 
 A text is cut only where the tokenizer's own splits fall whatever stands on either side, so the
 ids of a text are those of its chunks joined. The library encodes each distinct chunk once per
-worker; the rest are look-ups. A text with a place that this cannot decide is encoded whole.
+worker, a run of letters and the punctuation after it apart; the rest are look-ups. A text with a
+place that this cannot decide is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
 
-#: Chunks that a worker keeps at most; when reached, the cache starts anew.
-CACHED_CHUNKS = 400_000
+#: Chunks and words that a worker keeps at most; when reached, that table starts anew.
+CACHED_CHUNKS, CACHED_WORDS = 500_000, 700_000
+#: ASCII punctuation that always ends a run of letters; the apostrophe does not, as in "can't".
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
-    """``style`` is ``words`` if the tokenizer drops white space, or ``bytes`` if a space leads a token."""
+    """``style`` is ``words`` if the tokenizer lowers case and drops white space, or ``bytes`` if a space leads a token."""
 
     def __init__(self, path: str, style: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,44 +37,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.style = style
-        self.cache: dict[bytes, bytes | None] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.style, self.letters = style, byte_letters()
+        self.lead = b" " if style == "bytes" else b""
+        self.chunks: dict[bytes, bytes | bool] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def raw(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[bytes]) -> None:
-        lead = " " if self.style == "bytes" else ""
-        plain = [c for c in chunks if self.style == "words" or c and not (t := c.decode())[0].isspace() and not t[-1].isspace()]
-        if len(plain) < len(chunks):
-            self.cache.update(dict.fromkeys(chunks))
-        self.cache.update(zip(plain, self.raw([lead + c.decode() for c in plain]), strict=True))
+    def word(self, word: bytes) -> bytes | None:
+        """Ids of a run of letters that the normalizer leaves as it is, by the tokenizer's model; None for others."""
+        found = self.words.get(word)
+        if found is None:
+            text = word.decode()
+            if not text.isalpha() or self.style == "words" and not (text == text.lower() and unicodedata.is_normalized("NFC", text)):
+                return None
+            tokens = self.merge((self.lead + word).decode("latin-1").translate(self.letters))
+            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return found
+
+    def learn(self, chunks: Sequence[bytes]) -> None:
+        """Encode new chunks; in the ``bytes`` style False marks one at which a cut decides nothing."""
+        whole = []
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            ids = self.word(word) if word else None
+            if ids is None:
+                whole.append(chunk)
+                continue
+            if len(word) < len(chunk):
+                tail = chunk[len(word) :]
+                key = b" " + tail  # no word holds a space
+                if key not in self.words:
+                    self.words[key] = self.raw([tail.decode()])[0]
+                ids += self.words[key]
+            self.chunks[chunk] = ids
+        texts = [c.decode() for c in whole]
+        if self.style == "bytes":
+            undecided = [not t or t[0].isspace() or t[-1].isspace() for t in texts]
+            self.chunks.update((c, False) for c, u in zip(whole, undecided, strict=True) if u)
+            whole, texts = [c for c, u in zip(whole, undecided, strict=True) if not u], [" " + t for t, u in zip(texts, undecided, strict=True) if not u]
+        self.chunks.update(zip(whole, self.raw(texts), strict=True))
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        known = self.chunks
         out: list[bytes] = []
         whole: list[int] = []
-        for text in texts:
-            chunks = text.split() if self.style == "words" else text.split(b" ")
-            cache = self.cache
-            if new := [c for c in chunks if c not in cache]:
-                if len(cache) > CACHED_CHUNKS:
-                    cache.clear()
-                    new = chunks
-                self.learn(list(dict.fromkeys(new)))
-            try:
-                if self.style == "bytes":
-                    # The first chunk has no space before it.
-                    first = self.raw([chunks[0].decode()])[0] if cache[chunks[0]] is not None else None
-                    out.append(b"".join([first, *map(cache.__getitem__, chunks[1:])]))
-                else:
-                    out.append(b"".join(map(cache.__getitem__, chunks)))
-            except TypeError:  # a chunk of None: undecided
-                whole.append(len(out))
+        cut = [t.lower().split() if self.style == "words" else t.split(b" ") for t in texts]
+        # The first chunk has no space before it.
+        first = self.raw([c[0].decode() for c in cut]) if self.style == "bytes" else None
+        for i, chunks in enumerate(cut):
+            parts = list(map(known.get, chunks))
+            if None in parts:
+                if len(known) > CACHED_CHUNKS:
+                    known.clear()
+                self.learn(list(dict.fromkeys([c for c, p in zip(chunks, parts, strict=True) if p is None])))
+                parts = [known[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
+            if False in parts:
+                whole.append(i)
                 out.append(b"")
-        if whole:
-            for i, ids in zip(whole, self.raw([texts[i].decode() for i in whole]), strict=True):
-                out[i] = ids
+                continue
+            if first is not None:
+                parts[0] = first[i]
+            out.append(b"".join(parts))
+        for i, ids in zip(whole, self.raw([texts[i].decode() for i in whole]), strict=True):
+            out[i] = ids
         return out
 
 
