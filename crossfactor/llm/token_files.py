@@ -186,7 +186,8 @@ def reading(to: str):
 
 def read(manifest: DataFrame, to: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    files = manifest.select("path", "first").repartition("path")
+    files = manifest.select("path", "first")
+    files = files.repartition(max(files.count(), 1), "path")  # a file or so a task
     return files.mapInArrow(reading(to), READ_BACK)
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Chunks and words that a worker keeps at most; when reached, that table starts anew.
-CACHED_CHUNKS, CACHED_WORDS = 500_000, 700_000
+CACHED_CHUNKS, CACHED_WORDS = 800_000, 1_200_000
 #: ASCII punctuation that always ends a run of letters; the apostrophe does not, as in "can't".
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
