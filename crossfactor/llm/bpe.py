@@ -20,6 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ from crossfactor.llm.hashing import slices
 
 LONG = 64
 #: Words and chunks that a worker keeps at most; when reached, that table starts anew.
-CACHED_WORDS, CACHED_CHUNKS = 600_000, 300_000
+CACHED_WORDS, CACHED_CHUNKS = 800_000, 500_000
+#: ASCII punctuation that always ends a run of letters; the apostrophe does not.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 MEMORY = "400MB"
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -44,24 +47,28 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 
 def recursive(run: bool) -> str:
-    """SQL: contract the words of table ``fresh`` (w, p, tok) until fixpoint. ``run``: all safe pairs of the rank at once."""
+    """SQL: contract the words of table ``fresh`` (w, p, tok) until fixpoint. ``run``: all safe pairs of the rank at once.
+
+    ``least`` is a word's minimum rank and the leftmost place that has it.
+    """
     if run:
         # Heads of one rank may overlap; every second one of a run of neighbours contracts.
-        mark = """
-          m AS (SELECT *, rank IS NOT NULL AND rank = least >> 32 AS hit, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM l),
-          r AS (SELECT *, n - max(CASE WHEN NOT hit THEN n ELSE 0 END) OVER (PARTITION BY w ORDER BY p) AS place FROM m),
+        heads = """
+          l AS (SELECT j.*, least, rank IS NOT NULL AND rank = least >> 32 AS hit FROM j JOIN m ON j.w = m.w),
+          o AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM l),
+          r AS (SELECT *, n - max(CASE WHEN NOT hit THEN n ELSE 0 END) OVER (PARTITION BY w ORDER BY p) AS place FROM o),
           h AS (SELECT *, hit AND (p = least & 4294967295 OR safe AND place % 2 = 1) AS head FROM r),
           g AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM h)"""
     else:
-        mark = """
-          g AS (SELECT *, p = least & 4294967295 AS head, coalesce(before = least & 4294967295, false) AS gone FROM l)"""
+        heads = """
+          g AS (SELECT j.*, least, p = least & 4294967295 AS head, coalesce(before = least & 4294967295, false) AS gone FROM j JOIN m ON j.w = m.w)"""
     return f"""
         WITH RECURSIVE s AS (
           SELECT w, p, tok, false AS done FROM fresh WHERE long = {run}
           UNION ALL
           (WITH n AS (SELECT w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS next, lag(p) OVER (PARTITION BY w ORDER BY p) AS before FROM s WHERE NOT done),
           j AS (SELECT n.*, merges.rank, merges.safe FROM n LEFT JOIN merges ON merges.a = n.tok AND merges.b = n.next),
-          l AS (SELECT *, min(rank::BIGINT << 32 | p) OVER (PARTITION BY w) AS least FROM j),{mark}
+          m AS (SELECT w, min(rank::BIGINT << 32 | p) AS least FROM j GROUP BY w),{heads}
           SELECT w, p, CASE WHEN head THEN rank ELSE tok END, least IS NULL FROM g WHERE NOT gone)
         )
         SELECT w, p, tok FROM s WHERE done"""
@@ -74,7 +81,7 @@ class Coder:
 
         ranks = vocabulary(path)
         self.find = regex.compile(pattern).findall
-        self.single = {t[0]: r for t, r in ranks.items() if len(t) == 1}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         unsafe = {part for a, b, r in rows for part in (a, b) if part > r}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
@@ -84,40 +91,41 @@ class Coder:
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.words: dict[str, tuple[bytes, bytes, int]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes, int] | None] = {}
+        self.word_ids: dict[str, bytes] = {}
+        self.word_bytes: dict[str, bytes] = {}
+        self.chunk_ids: dict[str, bytes | bool] = {}
+        self.chunk_bytes: dict[str, bytes] = {}
 
     def learn(self, words: Sequence[str]) -> None:
         """Code ``words``, distinct and new."""
-        single = self.single
         coded = [w.encode() for w in words]
-        number = [i for i, w in enumerate(coded) for _ in w]
-        place = [p for w in coded for p in range(len(w))]
-        token = [single[b] for w in coded for b in w]
-        long = [len(w) > LONG for w in coded for _ in w]
-        given = pa.table({"w": pa.array(number, pa.int32()), "p": pa.array(place, pa.int32()), "tok": pa.array(token, pa.int32()), "long": pa.array(long)})
-        self.db.register("fresh", given)
-        plain = recursive(False) if not all(long) else None
-        runs = recursive(True) if any(long) else None
-        parts = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (plain, runs) if q)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        number = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
+        place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        token, long = self.single[np.frombuffer(b"".join(coded), np.uint8)], sizes > LONG
+        self.db.register("fresh", pa.table({"w": number, "p": place.astype(np.int32), "tok": token, "long": long[number]}))
+        parts = " UNION ALL ".join(f"SELECT * FROM ({recursive(run)})" for run in sorted(set(long.tolist())))
         found = self.db.sql(f"""
-            SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY p) AS ids, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded, count(*) AS n
+            SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY p)::BLOB AS ids, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded
             FROM ({parts}) JOIN tokens USING (tok) GROUP BY w""").to_arrow_table()
         self.db.unregister("fresh")
-        columns = zip(*(found[c].to_pylist() for c in ("w", "ids", "decoded", "n")), strict=True)
-        self.words.update((words[w], (ids.encode(), decoded, n)) for w, ids, decoded, n in columns)
-
-    def matches(self, texts: Sequence[str]) -> list[list[str]]:
-        """The pattern's matches of each text; new words are coded."""
-        found = [self.find(t) for t in texts]
-        words = self.words
-        if new := list(dict.fromkeys(w for f in found for w in f if w not in words)):
+        own = [words[w] for w in found["w"].to_pylist()]
+        self.word_ids.update(zip(own, found["ids"].to_pylist(), strict=True))
+        self.word_bytes.update(zip(own, found["decoded"].to_pylist(), strict=True))
+
+    def code_words(self, lists: Sequence[Sequence[str]]) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of each list of words, joined; new words are coded."""
+        known, plain = self.word_ids, self.word_bytes
+        if new := list(dict.fromkeys([w for words in lists for w in words if w not in known])):
             self.learn(new)
-        return found
+        return [b" ".join([known[w] for w in words]) for words in lists], [b"".join([plain[w] for w in words]) for words in lists]
 
-    def joined(self, words: Sequence[str]) -> tuple[bytes, bytes, int]:
-        parts = [self.words[w] for w in words]
-        return b" ".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum(p[2] for p in parts)
+    def split(self, chunk: str) -> list[str]:
+        """The matches of a chunk with a space before it; letters with ASCII punctuation after them need no search."""
+        word = chunk.rstrip(MARKS)
+        if word.isalpha():
+            return [" " + word] if len(word) == len(chunk) else [" " + word, chunk[len(word) :]]
+        return self.find(" " + chunk)
 
     def code(self, texts: Sequence[str]) -> list[tuple[bytes, bytes, int]]:
         """For each text its decimal ids joined by spaces, the bytes that they decode to and their number.
@@ -125,25 +133,34 @@ class Coder:
         A single space between other characters begins a match whatever stands around it, so texts
         are cut there and their chunks looked up; a text with other white space at a cut is matched whole.
         """
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
-        chunks, cut = self.chunks, [t.split(" ") for t in texts]
-        new = list(dict.fromkeys(c for parts in cut for c in parts if c not in chunks))
-        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        chunks.update(dict.fromkeys(new))
-        chunks.update(zip(plain, map(self.joined, self.matches([" " + c for c in plain])), strict=True))
-        whole = [i for i, parts in enumerate(cut) if any(chunks[c] is None for c in parts)]
-        first = [parts[0] for parts in cut]
-        begun = self.matches([*first, *(texts[i] for i in whole)])
-        out = []
+        if len(self.word_ids) > CACHED_WORDS:
+            self.word_ids.clear()
+            self.word_bytes.clear()
+        if len(self.chunk_ids) > CACHED_CHUNKS:
+            self.chunk_ids.clear()
+            self.chunk_bytes.clear()
+        known, plain, cut = self.chunk_ids, self.chunk_bytes, [t.split(" ") for t in texts]
+        new = list(dict.fromkeys([c for parts in cut for c in parts if c not in known]))
+        known.update(dict.fromkeys(new, False))
+        decided = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        ids, decoded = self.code_words([self.split(c) for c in decided])
+        known.update(zip(decided, ids, strict=True))
+        plain.update(zip(decided, decoded, strict=True))
+        first_ids, first_bytes = self.code_words([self.find(parts[0]) for parts in cut])
+        out, whole = [], []
         for i, parts in enumerate(cut):
-            coded = [self.joined(begun[i]), *(chunks[c] for c in parts[1:])]
-            out.append(coded if None not in coded else None)
-        for i, words in zip(whole, begun[len(cut) :], strict=True):
-            out[i] = [self.joined(words)]
-        return [(b" ".join([c[0] for c in coded]), b"".join([c[1] for c in coded]), sum([c[2] for c in coded])) for coded in out]
+            ids = list(map(known.__getitem__, parts))
+            if False in ids:
+                whole.append(i)
+                out.append((b"", b"", 0))
+                continue
+            ids[0], decoded = first_ids[i], list(map(plain.__getitem__, parts))
+            decoded[0] = first_bytes[i]
+            joined = b" ".join(ids)
+            out.append((joined, b"".join(decoded), joined.count(b" ") + 1))
+        for i, ids, decoded in zip(whole, *self.code_words([self.find(texts[i]) for i in whole]), strict=True):
+            out[i] = (ids, decoded, ids.count(b" ") + 1 if ids else 0)
+        return out
 
 
 def coder(path: str, pattern: str) -> Coder:
