@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crossfactor.functions.columns import previous_session
 from crossfactor.sources.market import MarketDataSource
 
-#: Sessions that may be broadcast as the calendar: 400 years of days.
+#: Sessions that the calendar may have, 400 years of days: more raise. So it may be broadcast.
 MAX_SESSIONS = 150_000
 
 
@@ -25,12 +25,14 @@ class AnalysisWindow:
 
 def sessions(panel: DataFrame) -> DataFrame:
     """(date, k): the distinct dates of the panel with their ordinal from 1. One row a session, so one task numbers them."""
-    return panel.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
+    number = F.row_number().over(Window.orderBy("date"))
+    bounded = F.when(number <= MAX_SESSIONS, number).otherwise(F.raise_error(F.lit(f"more than {MAX_SESSIONS} sessions")).cast("int"))
+    return panel.select("date").distinct().withColumn("k", bounded)
 
 
 def with_ordinals(panel: DataFrame) -> DataFrame:
     """The panel with each date's ordinal among its own sessions. The calendar has a row a session: at most ``MAX_SESSIONS``."""
-    return panel.join(F.broadcast(sessions(panel).where(F.col("k") <= MAX_SESSIONS)), "date")
+    return panel.join(F.broadcast(sessions(panel)), "date")
 
 
 def previous_session_values(panel: DataFrame, column: str) -> DataFrame:

@@ -151,6 +151,6 @@ def gaps(log: DataFrame) -> DataFrame:
     ends = log.groupBy(block.alias("__b")).agg(F.max("offset").alias("__last"))
     over = Window.orderBy("__b")  # a row a block of 100,000 offsets
     ends = ends.select("__b", F.lag("__last").over(over).alias("__before"))
-    joined = own.withColumn("__b", block).join(F.broadcast(ends), "__b", "left")
+    joined = own.withColumn("__b", block).join(ends, "__b", "left")
     prior = F.coalesce("prior", "__before")
     return joined.select("offset", prior.alias("prior")).where(F.col("offset") != F.coalesce("prior", F.lit(0)) + 1)
