@@ -5,8 +5,8 @@ Groups of pieces, salted by row so that no key can fill one, are packed apart: b
 descending order, then exchanges between bins that are not full. A piece moves, or one piece is
 exchanged for one, or two for one, if that increases the sum of squared fills, so full bins get
 fuller and the emptiest empty, until no exchange helps or the bins are as few as the total allows.
-Pieces of each group's bins that are still under the ``loose`` fill meet again in the next level,
-until one group is left.
+Pieces of each group's bins that are still under the ``loose`` fill meet again in the next level, in
+groups of the same size, until one group is left or the levels end; no group ever grows with the input.
 
 Defined results: null text is empty and gives the end id alone; repeated rows are packed each;
 an empty table gives no rows; other columns are ignored.
@@ -30,6 +30,7 @@ from crossfactor.llm.tokens import encoder
 
 LENGTH = 2048
 GROUP_PIECES = 20_000
+LEVELS = 5
 #: Bins of a group that are filled less than this, as part of the length, are packed again with others'.
 LOOSE = 0.98
 #: Underfull bins, the emptiest, that the local search works on at a time.
@@ -173,12 +174,13 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, group_pieces: int = G
         count = left.count()
         groups = max(1, -(-count // group_pieces))
         salted = left.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        out = salted.groupBy("__group").applyInPandas(packed(level, length, groups == 1), PIECES + ", sequence_id long, offset long, __again boolean")
-        if groups > 1:
+        last = groups == 1 or level == LEVELS - 1
+        out = salted.groupBy("__group").applyInPandas(packed(level, length, last), PIECES + ", sequence_id long, offset long, __again boolean")
+        if not last:
             out = written(out, "pack-level")
         stay = out.where("not __again").drop("__again")
         done = stay if done is None else done.unionAll(stay)
-        if groups == 1:
+        if last:
             return done
         left = out.where("__again").select("doc_id", "piece", "start", "length", "ids_crc32")
-        level, group_pieces = level + 1, max(group_pieces, -(-left.count() // max(1, groups // 2)))
+        level += 1
