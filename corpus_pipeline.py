@@ -22,9 +22,11 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rejected = langid.predict(docs).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE))
+    # A verdict depends on the text alone, so its hash finds the rows, whatever their ids.
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    rejected = langid.predict(docs, key=text).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE))
     rejected = written(rejected.select(F.col("doc_id").alias("__drop")).distinct(), "lang-dropped")
-    return docs.join(sized(rejected), F.col("doc_id").eqNullSafe(F.col("__drop")), "left_anti")
+    return docs.join(sized(rejected), text == F.col("__drop"), "left_anti")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,11 +130,12 @@ def predictor(model):
     return run
 
 
-def predict(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+def predict(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: Column | None = None) -> DataFrame:
+    """One row per document: doc_id (or the integer ``key`` in its place), held_out, lang_pred, score."""
     model = fit(docs, sample_rows)
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), text_or_empty().alias("__text"), known.alias("__known"))
+    name = F.col("doc_id") if key is None else key
+    rows = docs.select(name.cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), text_or_empty().alias("__text"), known.alias("__known"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -310,6 +310,11 @@ def block_links(rest: DataFrame, content: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
+    return classified(docs).drop("__node")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """``classify`` with the node of each document."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("__node"), text_or_empty().cast("binary").alias("__text"))
     signed = written(named.mapInArrow(sign, SIGNED), "near-signed")
     labels = link(signed, docs)
@@ -327,10 +332,11 @@ def classify(docs: DataFrame) -> DataFrame:
         F.when(F.col("__of").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (F.col("__of").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        "__node",
     )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = written(classify(docs).where("not kept").select(F.col("doc_id").alias("__drop")).distinct(), "near-dropped")
-    return docs.join(sized(dropped), F.col("doc_id").eqNullSafe(F.col("__drop")), "left_anti")
+    dropped = written(classified(docs).where("not kept").select(F.col("doc_id").alias("__drop"), F.col("__node").alias("__drop_node")).distinct(), "near-dropped")
+    return docs.join(sized(dropped), F.col("doc_id").eqNullSafe(F.col("__drop")) & (node() == F.col("__drop_node")), "left_anti")

@@ -408,10 +408,13 @@ def test_pipeline(docs, spark):
     import corpus_pipeline
 
     stages = dict(corpus_pipeline.STAGES)
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None, None, None), (None, BASE, None, None, None, None, None)], SCHEMA))
     langs = stages["language"](spark, docs, "")
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in langs.collect()} == {7, 8, 9, 15} and langs.columns == docs.columns
+    assert sorted(r.text[:7] for r in langs.where("doc_id is null").collect()) == [BASE[:7], "no name"]
     exact = stages["exact_dedup"](spark, langs, "")
     near = stages["near_dedup"](spark, exact, "")
+    assert [r.text for r in near.where("doc_id is null").collect()] == ["no name at all"]
     assert exact.where("doc_id in (1, 2)").count() == 0 and near.where("doc_id in (3, 4, 5)").count() == 1
     private = stages["pii"](spark, near, "")
     assert private.columns == docs.columns and private.count() == near.count()
