@@ -140,12 +140,15 @@ class Coder:
             self.chunk_ids.clear()
             self.chunk_bytes.clear()
         known, plain, cut = self.chunk_ids, self.chunk_bytes, [t.split(" ") for t in texts]
-        new = list(dict.fromkeys([c for parts in cut for c in parts if c not in known]))
+        distinct = set().union(*cut)
+        new = distinct.difference(known)
         known.update(dict.fromkeys(new, False))
         decided = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
         ids, decoded = self.code_words([self.split(c) for c in decided])
         known.update(zip(decided, ids, strict=True))
         plain.update(zip(decided, decoded, strict=True))
+        # Smaller tables of the chunks at hand stay in the processor's cache.
+        known, plain = {c: known[c] for c in distinct}, {c: plain.get(c, b"") for c in distinct}
         first_ids, first_bytes = self.code_words([self.find(parts[0]) for parts in cut])
         out, whole = [], []
         for i, parts in enumerate(cut):
