@@ -9,6 +9,7 @@ place that this cannot decide is encoded whole.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
 from collections.abc import Sequence
 
@@ -39,7 +40,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
         self.style, self.letters = style, byte_letters()
-        self.lead = b" " if style == "bytes" else b""
+        self.lead = chr(self.letters[ord(" ")]) if style == "bytes" else ""
         self.chunks: dict[bytes, bytes | bool] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -53,8 +54,9 @@ class Encoder:
             text = word.decode()
             if not text.isalpha() or self.style == "words" and not (text == text.lower() and unicodedata.is_normalized("NFC", text)):
                 return None
-            tokens = self.merge((self.lead + word).decode("latin-1").translate(self.letters))
-            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            shown = self.lead + text if text.isascii() else self.lead + word.decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.merge(shown)]
+            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def learn(self, chunks: Sequence[bytes]) -> None:
@@ -84,19 +86,19 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        known = self.chunks
-        out: list[bytes] = []
-        whole: list[int] = []
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks.clear()
         cut = [t.lower().split() if self.style == "words" else t.split(b" ") for t in texts]
+        distinct = set().union(*cut)
+        self.learn(list(distinct.difference(self.chunks)))
+        # A smaller table of the chunks at hand stays in the processor's cache.
+        known = {c: self.chunks[c] for c in distinct}
         # The first chunk has no space before it.
         first = self.raw([c[0].decode() for c in cut]) if self.style == "bytes" else None
+        out: list[bytes] = []
+        whole: list[int] = []
         for i, chunks in enumerate(cut):
-            parts = list(map(known.get, chunks))
-            if None in parts:
-                if len(known) > CACHED_CHUNKS:
-                    known.clear()
-                self.learn(list(dict.fromkeys([c for c, p in zip(chunks, parts, strict=True) if p is None])))
-                parts = [known[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
+            parts = list(map(known.__getitem__, chunks))
             if False in parts:
                 whole.append(i)
                 out.append(b"")
