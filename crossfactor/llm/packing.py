@@ -4,7 +4,8 @@ Texts become ids with an end id each; longer ones are cut into pieces of the seq
 Groups of pieces, salted by row so that no key can fill one, are packed apart: best fit in
 descending order, then exchanges between bins that are not full. A piece moves, or one piece is
 exchanged for one, or two for one, if that increases the sum of squared fills, so full bins get
-fuller and the emptiest empty, until no exchange helps or the bins are as few as the total allows.
+fuller and the emptiest empty, until no exchange between any two of the group's bins helps or the
+bins are as few as the total allows.
 Pieces of each group's bins that are still under the ``loose`` fill meet again in the next level, in
 groups of the same size, until one group is left or the levels end; no group ever grows with the input.
 
@@ -33,8 +34,8 @@ GROUP_PIECES = 20_000
 LEVELS = 5
 #: Bins of a group that are filled less than this, as part of the length, are packed again with others'.
 LOOSE = 0.98
-#: Underfull bins, the emptiest, that the local search works on at a time.
-SEARCHED_BINS = 256
+#: Underfull bins, the emptiest, that are exchanged pair by pair before the search over all of them.
+DRAINED_BINS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -119,8 +120,8 @@ def exchange(giver: list[tuple[int, int]], taker: list[tuple[int, int]], gap: in
     return found
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, room: int, searched: int = SEARCHED_BINS) -> list[list[int]]:
-    """Exchanges between underfull bins until none increases the sum of squared fills."""
+def drained(bins: list[list[int]], sizes: np.ndarray, room: int, searched: int = DRAINED_BINS) -> list[list[int]]:
+    """Exchanges between the emptiest underfull bins until none increases the sum of squared fills."""
     least = -(-int(sizes.sum()) // room)
     fill = [int(sizes[b].sum()) for b in bins]
     loose = sorted((k for k in range(len(bins)) if fill[k] < room), key=fill.__getitem__)
@@ -152,6 +153,134 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, room: int, searched:
     return [[i for _, i in rest[k]] if k in rest else b for k, b in enumerate(bins) if k not in gone]
 
 
+def sums(pieces: list[tuple[int, int]]) -> tuple[int, int]:
+    """Bit sets of the sizes of single pieces and of the sums of two."""
+    one = two = 0
+    for size, _ in pieces:
+        two |= one << size
+        one |= 1 << size
+    return one, two
+
+
+def set_bits(bits: int) -> Iterator[int]:
+    while bits:
+        yield (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+
+
+class Givers:
+    """Bins by the sizes that one or two of their pieces sum to, with a bit set of the sizes that any bin has."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, tuple[int, int]] = {}
+        self.bins: tuple[dict[int, set[int]], dict[int, set[int]]] = ({}, {})
+        self.has = [0, 0]
+
+    def put(self, k: int, new: tuple[int, int]) -> None:
+        """The sums of bin ``k`` are ``new`` from now on; (0, 0) takes it out."""
+        old = self.of.pop(k, (0, 0))
+        if new[0]:
+            self.of[k] = new
+        for j, bins in enumerate(self.bins):
+            for size in set_bits(old[j] & ~new[j]):
+                bins[size].remove(k)
+                if not bins[size]:
+                    del bins[size]
+                    self.has[j] &= ~(1 << size)
+            for size in set_bits(new[j] & ~old[j]):
+                bins.setdefault(size, set()).add(k)
+                self.has[j] |= 1 << size
+
+    def best(self, taker: tuple[int, int], gap: int, fill: list[int]) -> tuple[int, int, int, int, int] | None:
+        """The exchange that fills a bin with the sums ``taker`` most, with the emptiest bin that has it: giver, pieces and size taken, pieces and size given back."""
+        if (found := most(*self.has, taker, gap)) is None:
+            return None
+        size, few, back = found
+        bins = self.bins[0].get(size, set()) | (self.bins[1].get(size, set()) if few < 2 else set())
+        giver = min(bins, key=lambda k: (fill[k], k))
+        return giver, 1 if self.of[giver][0] >> size & 1 else 2, size, few, back
+
+
+def most(one: int, two: int, taker: tuple[int, int], gap: int) -> tuple[int, int, int] | None:
+    """What a bin that takes, with ``gap`` left, gains most by: size taken from the sums ``one`` and ``two``, pieces and size given back."""
+    for more in range(gap, 0, -1):
+        some = (one | two) & (taker[0] | 1) << more
+        if some:
+            size = some.bit_length() - 1
+            return size, 1 if size > more else 0, size - more
+        pair = one & taker[1] << more
+        if pair:
+            size = pair.bit_length() - 1
+            return size, 2, size - more
+    return None
+
+
+def chosen(pieces: list[tuple[int, int]], count: int, size: int) -> list[tuple[int, int]]:
+    """``count`` pieces, at most two, of the ``size`` together. Pieces are sorted by size."""
+    if count < 2:
+        return [pieces[bisect_left(pieces, (size, -1))]] if count else []
+    low, high = 0, len(pieces) - 1
+    while pieces[low][0] + pieces[high][0] != size:
+        if pieces[low][0] + pieces[high][0] > size:
+            high -= 1
+        else:
+            low += 1
+    return [pieces[low], pieces[high]]
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, room: int) -> list[list[int]]:
+    """Exchanges between underfull bins, all of them, until none increases the sum of squared fills.
+
+    The emptiest are drained first. Then a pass fills each bin from those that are not fuller, the fullest first; passes end with one that changes nothing.
+    """
+    bins = drained(bins, sizes, room)
+    least = -(-int(sizes.sum()) // room)
+    fill = [int(sizes[b].sum()) for b in bins]
+    rest = {k: sorted((int(sizes[i]), i) for i in b) for k, b in enumerate(bins) if fill[k] < room}
+    gone: set[int] = set()
+    moved = True
+    while moved and len(bins) - len(gone) > least:
+        moved, givers, passed = False, Givers(), []
+        order = sorted((fill[k], k) for k in rest if k not in gone and fill[k] < room)
+        for _, k in order:
+            givers.put(k, sums(rest[k]))
+        while order and len(bins) - len(gone) > least:
+            full, taker = order.pop()
+            for k in passed:
+                if fill[k] > full:
+                    givers.put(k, (0, 0))
+            passed = [k for k in passed if fill[k] <= full]
+            own = givers.of[taker]
+            givers.put(taker, (0, 0))
+            while fill[taker] < room and (swap := givers.best(own, room - fill[taker], fill)):
+                giver, taken, size, few, back = swap
+                there, here = chosen(rest[giver], taken, size), chosen(rest[taker], few, back)
+                for piece in there:
+                    rest[giver].remove(piece)
+                    insort(rest[taker], piece)
+                for piece in here:
+                    rest[taker].remove(piece)
+                    insort(rest[giver], piece)
+                if (at := bisect_left(order, (fill[giver], giver))) < len(order) and order[at][1] == giver:
+                    del order[at]
+                fill[taker] += size - back
+                fill[giver] -= size - back
+                moved = True
+                own = sums(rest[taker])
+                givers.put(giver, sums(rest[giver]))
+                if rest[giver]:
+                    if giver not in passed:
+                        insort(order, (fill[giver], giver))
+                else:
+                    gone.add(giver)
+                    if len(bins) - len(gone) <= least:
+                        break
+            if fill[taker] < room:
+                givers.put(taker, own)
+                passed.append(taker)
+    return [[i for _, i in rest[k]] if k in rest else b for k, b in enumerate(bins) if k not in gone]
+
+
 def packed(level: int, room: int, last: bool):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sizes = group["length"].to_numpy()

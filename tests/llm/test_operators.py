@@ -177,6 +177,20 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 3], [1], [2]], np.array([6, 5, 5, 4]), 10)) == 2
 
 
+def test_local_search_takes_all_underfull_bins():
+    rng = np.random.default_rng(1)
+    for sizes, room, most in ((rng.integers(600, 761, 2000), 2048, 700), (rng.integers(10, 31, 900), 64, 10**6), (rng.integers(1, 22, 1200) * 3, 64, 10**6)):
+        start = packing.best_fit(sizes, room)
+        bins = packing.local_search(start, sizes, room)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sizes[b].sum() for b in bins) <= room
+        assert len(bins) <= min(most, len(packing.drained(start, sizes, room)))
+        if len(bins) > -(-sizes.sum() // room):
+            parts = [sorted((int(sizes[i]), i) for i in b) for b in bins if sizes[b].sum() < room]
+            for giver, taker in itertools.permutations(parts, 2):
+                gap = room - sum(x for x, _ in taker)
+                assert gap > room - sum(x for x, _ in giver) or not packing.exchange(giver, taker, gap)
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for i, t in ROWS:
