@@ -122,12 +122,12 @@ def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main test panel: weeks and suppliers of ``lineitem``."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     day, net = F.date_trunc("week", "l_shipdate").cast("date"), F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))
-    rows = items.groupBy(day.alias("date"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ticker"))
+    rows = items.groupBy(day.alias("date"), padded_ticker(F.col("l_suppkey").cast("string")).alias("ticker"))
     return rows.agg((100 * (F.avg(F.col("l_tax").cast("double")) - F.avg(F.col("l_discount").cast("double")))).alias("return_percent"), F.sum(net).alias("market_cap"))
 
 
 def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming test panel: days and users of ``events``."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.groupBy(F.to_date("ts").alias("date"), F.lpad(F.col("user_id").cast("string"), 6, "0").alias("ticker"))
+    rows = events.groupBy(F.to_date("ts").alias("date"), padded_ticker(F.col("user_id").cast("string")).alias("ticker"))
     return rows.agg((F.avg("value") / 10 - 5).alias("return_percent"), F.sum("value").alias("market_cap"))

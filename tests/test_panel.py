@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crossfactor.functions.columns import padded_ticker
 from crossfactor.operators import calendar, factors, universe, weights
 from crossfactor.plans.pipeline import prepared_panel
-from crossfactor.sources.market import PANEL, RAW, FrameSource, YearlyParquetSource, require_unique
+from crossfactor.sources.market import PANEL, RAW, FrameSource, YearlyParquetSource, event_panel, require_unique, weekly_panel
 
 
 def days(count: int, start: str = "2024-01-01") -> list[dt.date]:
@@ -124,3 +124,11 @@ def test_windows_of_dates(spark):
     assert calendar.analysis_window(source, 1) == calendar.AnalysisWindow(dt.date(2023, 2, 28), dt.date(2024, 2, 29))
     assert calendar.history_start(dt.date(2024, 1, 1), 0) == dt.date(2024, 1, 1)
     assert calendar.history_start(dt.date(2024, 1, 8), 5) == dt.date(2023, 12, 25)
+
+
+def test_panels_keep_long_keys_apart(spark, tmp_path):
+    keys = spark.createDataFrame([(12,), (1234567,), (1234568,)], "k long")
+    keys.selectExpr("timestamp'2024-01-01' as ts", "k as user_id", "1.0D as value").write.parquet(f"{tmp_path}/events.parquet")
+    keys.selectExpr("date'2024-01-01' as l_shipdate", "k as l_suppkey", "1.0D as l_extendedprice", "0.1D as l_discount", "0.1D as l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for panel in (weekly_panel, event_panel):
+        assert sorted(r.ticker for r in panel(spark, str(tmp_path)).collect()) == ["000012", "1234567", "1234568"]
