@@ -17,14 +17,16 @@ from crossfactor.llm import exact_dedup, langid, minhash, packing, pii
 from crossfactor.llm.common import read_documents, sized, written
 from crossfactor.llm.queries import PII_KEY
 
-#: Documents go whose language is unknown or less sure than this.
+#: Documents go whose language is unknown, less sure than this, or makes their 3-grams less likely than chance by more than a factor e on average (STRANGE).
 SURE = 0.5
+#: Names and keys in a short text alone take it a little below 0.
+STRANGE = -1.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A verdict depends on the text alone, so its hash finds the rows, whatever their ids.
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    rejected = langid.predict(docs, key=text).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE))
+    rejected = langid.likened(docs, key=text).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE) | (F.col("likeness") < STRANGE))
     rejected = written(rejected.select(F.col("doc_id").alias("__drop")).distinct(), "lang-dropped")
     return docs.join(sized(rejected), text == F.col("__drop"), "left_anti")
 

@@ -27,6 +27,8 @@ SIZES = (1, 2, 3)
 SMOOTHING = 0.1
 #: Labelled rows to learn from, about: a hash of the id takes that share of them.
 SAMPLE_ROWS = 30_000
+#: 3-grams, spaces around the text included, under which a text is too short to be none of the languages.
+JUDGED = 32
 UNKNOWN = "und"
 #: Languages that a model may have.
 MAX_LANGUAGES = 256
@@ -107,13 +109,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.
     return names, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(rows / rows.sum())
 
 
-def score(texts: list[str], table: np.ndarray, priors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best language and its posterior probability for each text."""
+def score(texts: list[str], table: np.ndarray, priors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, its posterior probability, and its mean log-probability of the longest n-grams over that of a uniform bucket (0 for short texts), for each text."""
     total = np.tile(priors, (len(texts), 1))
     for buckets, starts in grams(texts):
-        total += np.add.reduceat(table[buckets], starts, axis=0, dtype=np.float64)
+        part = np.add.reduceat(table[buckets], starts, axis=0, dtype=np.float64)
+        total += part
     best = total.argmax(axis=1)
-    return best, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    count = np.diff(np.append(starts, len(buckets)))
+    like = np.where(count < JUDGED, 0.0, part[np.arange(len(texts)), best] / count + np.log(BUCKETS))
+    return best, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), like
 
 
 def predictor(model):
@@ -121,22 +126,27 @@ def predictor(model):
         names, table, priors = model.value
         for batch in batches:
             texts, known = batch.column(2).to_pylist(), np.array(batch.column(3).to_pylist(), bool)
-            best, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            best, sure, like = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for begin, end in slices(texts):
-                best[begin:end], sure[begin:end] = score(texts[begin:end], table, priors)
+                best[begin:end], sure[begin:end], like[begin:end] = score(texts[begin:end], table, priors)
             langs = np.where(known, np.array(names, object)[best], UNKNOWN)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(like)], names=["doc_id", "held_out", "lang_pred", "score", "likeness"])
 
     return run
 
 
-def predict(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: Column | None = None) -> DataFrame:
-    """One row per document: doc_id (or the integer ``key`` in its place), held_out, lang_pred, score."""
+def likened(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: Column | None = None) -> DataFrame:
+    """``predict`` with the column likeness: mean log-probability of its 3-grams in the language found, over chance; well below 0, the text is in none of those learned."""
     model = fit(docs, sample_rows)
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     name = F.col("doc_id") if key is None else key
     rows = docs.select(name.cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), text_or_empty().alias("__text"), known.alias("__known"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("likeness"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double, likeness double")
+
+
+def predict(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score."""
+    return likened(docs, sample_rows).drop("likeness")

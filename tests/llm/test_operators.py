@@ -434,3 +434,14 @@ def test_pipeline(docs, spark):
     assert private.columns == docs.columns and private.count() == near.count()
     packed = stages["packing"](spark, private, "")
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in private.collect()}
+
+
+def test_pipeline_rejects_unlearned_languages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = [(i, prose(60, i), "en") for i in range(100, 160)]
+    other = ["все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=400))]
+    docs = spark.createDataFrame([*rows, *((i, t, None) for i, t in enumerate(other))], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {i for i, _, _ in rows}
+    assert langid.predict(docs).columns == ["doc_id", "held_out", "lang_pred", "score"]
