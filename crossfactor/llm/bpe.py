@@ -2,22 +2,25 @@
 
 Each text falls into the pattern's matches. Words that the worker has not met yet go to DuckDB as rows of
 token and position, first one token per byte; a recursive query joins neighbouring tokens with the merge table
-and contracts the leftmost pair of minimum rank of each word until none is left. Ordered
-aggregation makes each word's ids, and decodes them again from the vocabulary. A text's ids are its
-words' ids in order.
-
-In words of more than ``LONG`` bytes a turn contracts all pairs of the minimum rank, left to right
-without overlap, where that is the same: no token that the new token begins or ends has a lower rank
-than it. So a long run needs few turns.
-
-Defined results: null text is empty, has no ids and decodes to no bytes; repeated rows are coded
-each; other columns are ignored.
+and contracts, of each word, the leftmost pair of minimum rank until none is left; ordered
+aggregation makes each word's ids. A text's ids are its words' ids in order. The ids of each text then
+go back to DuckDB as rows of text, position and token, and ordered aggregation decodes them.
+
+In words of more than ``LONG`` bytes a turn contracts with the leftmost pair the others of the same rank, left
+to right without overlap, where one turn for each gives the same: no token that the new token begins or
+ends has a lower rank than it, so no pair that arises goes before those that are left. Both rules have the
+same result for every word, which the tests show over random merges; a long run needs fewer turns.
+
+Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are coded
+each; an empty table gives no rows; a long text is coded in windows that end before a single space; other
+columns are ignored, whatever their names; there are no ties.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,12 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import text_or_empty
+from crossfactor.llm.common import Kept, resident, text_or_empty
 from crossfactor.llm.hashing import slices
 
+#: Bytes that a worker's tables of words and of chunks take.
+WORD_BYTES, CHUNK_BYTES = 96 << 20, 64 << 20
+#: Bytes of a word from which a turn contracts more than one pair.
 LONG = 64
-#: Words and chunks that a worker keeps at most; when reached, that table starts anew.
-CACHED_WORDS, CACHED_CHUNKS = 800_000, 500_000
+#: Characters of a text that are coded at a time, and ids that are decoded at a time.
+WINDOW, DECODED = 4 << 20, 1 << 20
+#: A space between printable ASCII characters begins a match of the pattern.
+CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 #: ASCII punctuation that always ends a run of letters; the apostrophe does not.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 MEMORY = "400MB"
@@ -38,16 +46,9 @@ MEMORY = "400MB"
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-coders: dict[tuple[str, str], Coder] = {}
-
 
-def vocabulary(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as file:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-
-
-def recursive(run: bool) -> str:
-    """SQL: contract the words of table ``fresh`` (w, p, tok) until fixpoint. ``run``: all safe pairs of the rank at once.
+def contraction(run: bool) -> str:
+    """SQL: contract the words of table ``fresh`` (w, p, tok) until fixpoint. ``run``: all pairs of the rank at once, where safe.
 
     ``least`` is a word's minimum rank and the leftmost place that has it.
     """
@@ -64,61 +65,74 @@ def recursive(run: bool) -> str:
           g AS (SELECT j.*, least, p = least & 4294967295 AS head, coalesce(before = least & 4294967295, false) AS gone FROM j JOIN m ON j.w = m.w)"""
     return f"""
         WITH RECURSIVE s AS (
-          SELECT w, p, tok, false AS done FROM fresh WHERE long = {run}
+          SELECT w, p, tok, false AS done FROM fresh
           UNION ALL
           (WITH n AS (SELECT w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS next, lag(p) OVER (PARTITION BY w ORDER BY p) AS before FROM s WHERE NOT done),
           j AS (SELECT n.*, merges.rank, merges.safe FROM n LEFT JOIN merges ON merges.a = n.tok AND merges.b = n.next),
           m AS (SELECT w, min(rank::BIGINT << 32 | p) AS least FROM j GROUP BY w),{heads}
           SELECT w, p, CASE WHEN head THEN rank ELSE tok END, least IS NULL FROM g WHERE NOT gone)
         )
-        SELECT w, p, tok FROM s WHERE done"""
+        SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY p) AS ids FROM s WHERE done GROUP BY w"""
+
+
+def vocabulary(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
+def windows(text: str, size: int = WINDOW) -> Iterator[str]:
+    """Parts of about ``size`` characters that end before a space at which a match begins; a text without such spaces is one part."""
+    begin = 0
+    while len(text) - begin > size and (found := CUT.search(text, begin + size)):
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:]
 
 
 class Coder:
-    def __init__(self, path: str, pattern: str) -> None:
+    """``ranks`` by token; tokens of one byte are all in it."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import duckdb
         import regex
 
-        ranks = vocabulary(path)
         self.find = regex.compile(pattern).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         unsafe = {part for a, b, r in rows for part in (a, b) if part > r}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         merges = pa.table({"a": pa.array([r[0] for r in rows], pa.int32()), "b": pa.array([r[1] for r in rows], pa.int32()), "rank": pa.array([r[2] for r in rows], pa.int32()), "safe": pa.array([r[2] not in unsafe for r in rows])})
-        tokens = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
+        # A character for each byte, so that text aggregates join bytes.
+        tokens = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks])})
         for name, table in (("merges", merges), ("tokens", tokens)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.word_ids: dict[str, bytes] = {}
-        self.word_bytes: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes | bool] = {}
-        self.chunk_bytes: dict[str, bytes] = {}
+        self.words, self.chunks = Kept(WORD_BYTES), Kept(CHUNK_BYTES)
 
     def learn(self, words: Sequence[str]) -> None:
         """Code ``words``, distinct and new."""
         coded = [w.encode() for w in words]
+        long = [len(c) > LONG for c in coded]
+        for run in sorted(set(long)):
+            self.contract([w for w, x in zip(words, long, strict=True) if x == run], [c for c, x in zip(coded, long, strict=True) if x == run], run)
+
+    def contract(self, words: Sequence[str], coded: Sequence[bytes], run: bool) -> None:
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         number = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
         place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        token, long = self.single[np.frombuffer(b"".join(coded), np.uint8)], sizes > LONG
-        self.db.register("fresh", pa.table({"w": number, "p": place.astype(np.int32), "tok": token, "long": long[number]}))
-        parts = " UNION ALL ".join(f"SELECT * FROM ({recursive(run)})" for run in sorted(set(long.tolist())))
-        found = self.db.sql(f"""
-            SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY p)::BLOB AS ids, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded
-            FROM ({parts}) JOIN tokens USING (tok) GROUP BY w""").to_arrow_table()
+        self.db.register("fresh", pa.table({"w": number, "p": place.astype(np.int32), "tok": self.single[np.frombuffer(b"".join(coded), np.uint8)]}))
+        found = self.db.sql(contraction(run)).to_arrow_table()
         self.db.unregister("fresh")
-        own = [words[w] for w in found["w"].to_pylist()]
-        self.word_ids.update(zip(own, found["ids"].to_pylist(), strict=True))
-        self.word_bytes.update(zip(own, found["decoded"].to_pylist(), strict=True))
-
-    def code_words(self, lists: Sequence[Sequence[str]]) -> tuple[list[bytes], list[bytes]]:
-        """Ids and decoded bytes of each list of words, joined; new words are coded."""
-        known, plain = self.word_ids, self.word_bytes
-        if new := list(dict.fromkeys([w for words in lists for w in words if w not in known])):
+        ids = [i.encode() for i in found["ids"].to_pylist()]
+        self.words.put(dict(zip([words[w] for w in found["w"].to_pylist()], ids, strict=True)))
+
+    def code_words(self, lists: Sequence[Sequence[str]]) -> list[bytes]:
+        """Decimal ids of each list of words, joined by spaces; new words are coded."""
+        if new := self.words.missing(set().union(*lists)):
             self.learn(new)
-        return [b" ".join([known[w] for w in words]) for words in lists], [b"".join([plain[w] for w in words]) for words in lists]
+        known = self.words.young
+        return [b" ".join([known[w] for w in words]) for words in lists]
 
     def split(self, chunk: str) -> list[str]:
         """The matches of a chunk with a space before it; letters with ASCII punctuation after them need no search."""
@@ -127,59 +141,83 @@ class Coder:
             return [" " + word] if len(word) == len(chunk) else [" " + word, chunk[len(word) :]]
         return self.find(" " + chunk)
 
-    def code(self, texts: Sequence[str]) -> list[tuple[bytes, bytes, int]]:
-        """For each text its decimal ids joined by spaces, the bytes that they decode to and their number.
+    def code(self, texts: Sequence[str]) -> list[bytes]:
+        """The decimal ids of each text, joined by spaces.
 
         A single space between other characters begins a match whatever stands around it, so texts
-        are cut there and their chunks looked up; a text with other white space at a cut is matched whole.
+        are cut there and their chunks looked up; a window with other white space at a cut is matched whole.
         """
-        if len(self.word_ids) > CACHED_WORDS:
-            self.word_ids.clear()
-            self.word_bytes.clear()
-        if len(self.chunk_ids) > CACHED_CHUNKS:
-            self.chunk_ids.clear()
-            self.chunk_bytes.clear()
-        known, plain, cut = self.chunk_ids, self.chunk_bytes, [t.split(" ") for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, parts = [], []
+        for i, text in enumerate(texts):
+            for part in windows(text):
+                owners.append(i)
+                parts.append(part)
+        for begin, end in slices(parts, WINDOW):
+            for i, ids in zip(owners[begin:end], self.looked_up(parts[begin:end]), strict=True):
+                if ids:
+                    out[i].append(ids)
+        return [b" ".join(ids) for ids in out]
+
+    def looked_up(self, texts: Sequence[str]) -> list[bytes]:
+        cut = [t.split(" ") for t in texts]
         distinct = set().union(*cut)
-        new = distinct.difference(known)
-        known.update(dict.fromkeys(new, False))
+        new = self.chunks.missing(distinct)
         decided = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        ids, decoded = self.code_words([self.split(c) for c in decided])
-        known.update(zip(decided, ids, strict=True))
-        plain.update(zip(decided, decoded, strict=True))
-        # Smaller tables of the chunks at hand stay in the processor's cache.
-        known, plain = {c: known[c] for c in distinct}, {c: plain.get(c, b"") for c in distinct}
-        first_ids, first_bytes = self.code_words([self.find(parts[0]) for parts in cut])
+        self.chunks.put(dict.fromkeys(new, False) | dict(zip(decided, self.code_words([self.split(c) for c in decided]), strict=True)))
+        # A smaller table of the chunks at hand stays in the processor's cache.
+        known = {c: self.chunks.young[c] for c in distinct}
+        first = self.code_words([self.find(parts[0]) for parts in cut])
         out, whole = [], []
         for i, parts in enumerate(cut):
-            ids = list(map(known.__getitem__, parts))
-            if False in ids:
+            found = list(map(known.__getitem__, parts))
+            if parts[0] and found[0] is False or False in found[1:]:
                 whole.append(i)
-                out.append((b"", b"", 0))
+                out.append(b"")
                 continue
-            ids[0], decoded = first_ids[i], list(map(plain.__getitem__, parts))
-            decoded[0] = first_bytes[i]
-            joined = b" ".join(ids)
-            out.append((joined, b"".join(decoded), joined.count(b" ") + 1))
-        for i, ids, decoded in zip(whole, *self.code_words([self.find(texts[i]) for i in whole]), strict=True):
-            out[i] = (ids, decoded, ids.count(b" ") + 1 if ids else 0)
+            found[0] = first[i]
+            out.append(b" ".join(found) if first[i] else b" ".join(found[1:]))
+        for i, ids in zip(whole, self.code_words([self.find(texts[i]) for i in whole]), strict=True):
+            out[i] = ids
         return out
 
+    def decode(self, ids: Sequence[np.ndarray]) -> Iterator[bytes]:
+        """The bytes of each run of ids, by ordered aggregation."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.db.register("coded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "p": np.arange(int(sizes.sum()), dtype=np.int32), "tok": np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)}))
+        found = self.db.sql("SELECT d, string_agg(bytes, '' ORDER BY p) AS text FROM coded JOIN tokens USING (tok) GROUP BY d").to_arrow_table()
+        self.db.unregister("coded")
+        texts = dict(zip(found["d"].to_pylist(), found["text"].to_pylist(), strict=True))
+        return (texts.get(i, "").encode("latin-1") for i in range(len(ids)))
+
+    def decoded_hashes(self, coded: Sequence[bytes]) -> list[str]:
+        """SHA-256 of the bytes that the ids of each text decode to; long texts a part after another."""
+        sums = [hashlib.sha256() for _ in coded]
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+        count = 0
+
+        def flush() -> None:
+            for i, plain in zip(owners, self.decode(held), strict=True):
+                sums[i].update(plain)
+
+        for i, text in enumerate(coded):
+            ids = np.array(text.split(), np.int32)
+            for at in range(0, len(ids), DECODED):
+                if count + len(ids[at : at + DECODED]) > DECODED and held:
+                    flush()
+                    held, owners, count = [], [], 0
+                held.append(ids[at : at + DECODED])
+                owners.append(i)
+                count += len(held[-1])
+        if held:
+            flush()
+        return [s.hexdigest() for s in sums]
+
 
 def coder(path: str, pattern: str) -> Coder:
     """This worker's coder."""
-    if (path, pattern) not in coders:
-        coders[path, pattern] = Coder(path, pattern)
-    return coders[path, pattern]
-
-
-def decode(ids: Sequence[int], path: str, pattern: str) -> bytes:
-    """The bytes of ``ids``, by ordered aggregation."""
-    db = coder(path, pattern).db
-    db.register("ids", pa.table({"p": pa.array(range(len(ids)), pa.int64()), "tok": pa.array(ids, pa.int32())}))
-    found = db.execute("SELECT unhex(string_agg(hex(bytes), '' ORDER BY p)) FROM ids JOIN tokens USING (tok)").fetchall()[0][0]
-    db.unregister("ids")
-    return found or b""
+    return resident(("coder", path, pattern), lambda: Coder(vocabulary(path), pattern))
 
 
 def coding(path: str, pattern: str):
@@ -189,7 +227,7 @@ def coding(path: str, pattern: str):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, end in slices(texts, 4 << 20):
                 coded = own.code(texts[begin:end])
-                columns = (names[begin:end], [c[2] for c in coded], [hashlib.sha256(c[0]).hexdigest() for c in coded], [hashlib.sha256(c[1]).hexdigest() for c in coded])
+                columns = (names[begin:end], [c.count(b" ") + 1 if c else 0 for c in coded], [hashlib.sha256(c).hexdigest() for c in coded], own.decoded_hashes(coded))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CODED_ARROW, strict=True)], schema=CODED_ARROW)
 
     return run

@@ -11,8 +11,9 @@ Copies collapse before the shuffle, so a text that makes up a third of the rows
 row from each input partition to its owner, and only classes of two rows or more join back.
 
 Defined results: null text counts as empty, empty texts are one class; of equal texts the row with
-the most code points stays, then the one with the smallest ``doc_id``, null ids last; rows that
-repeat both id and text share one verdict; other columns are ignored.
+the most code points stays, of as long ones that with the smallest ``doc_id``, null ids last; rows that
+repeat both id and text share one verdict; texts of any length are compared whole; an empty table gives no
+rows; other columns, whatever their names, are ignored by ``mark`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import sized, text_or_empty, written
+from crossfactor.llm.common import fresh, sized, text_or_empty, vacate, written
 
 #: Bytes of labels that a trie holds before it evicts subtrees.
 TRIE_BYTES = 48 << 20
 EMIT_BYTES = 4 << 20
-NO_ID = (1 << 63) - 1
+#: A null id goes by this, beyond all long values.
+NO_ID = 1 << 63
 
 PARTIAL = "__norm binary, __chars int, __id long, __n long"
 PARTIAL_ARROW = pa.schema([("__norm", pa.binary()), ("__chars", pa.int32()), ("__id", pa.int64()), ("__n", pa.int64())])
@@ -130,6 +132,7 @@ class Emitter:
 
 def local_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collapse the copies within an input partition."""
+    vacate()
     trie, out = PatriciaTrie(), Emitter()
     for batch in batches:
         for norm, chars, doc_id in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -142,6 +145,7 @@ def local_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def owner_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the partial terminals of equal byte strings; rows come sorted by length and hash."""
+    vacate()
     trie, out, last = PatriciaTrie(), Emitter(), b""
     for batch in batches:
         for norm, chars, doc_id, rows, size, mixed in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -180,5 +184,7 @@ def mark(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = written(mark(docs).where("not kept").select(F.col("doc_id").alias("__drop"), F.col("text_sha256").alias("__drop_sha")), "exact-dropped")
-    return docs.join(sized(dropped, 250_000), F.col("doc_id").eqNullSafe(F.col("__drop")) & (F.sha2(normalised(), 256) == F.col("__drop_sha")), "left_anti")
+    name, sha = fresh(docs, "drop"), fresh(docs, "drop_sha")
+    dropped = written(mark(docs).where("not kept").select(F.col("doc_id").alias(name), F.unhex("text_sha256").alias(sha)), "exact-dropped")
+    # Only rows whose id and text are both those of a dropped row go: a repeated id alone says nothing.
+    return docs.join(sized(dropped, 40), F.col("doc_id").eqNullSafe(F.col(name)) & (F.unhex(F.sha2(normalised(), 256)) == F.col(sha)), "left_anti")

@@ -16,17 +16,21 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Powers of a base that a worker keeps: 8 bytes each.
+KEPT = SLICE_BYTES + 4096
 powers: dict[int, np.ndarray] = {}
 
 
 def power_table(base: int, size: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64, kept between calls."""
+    """base**0, base**1, ... modulo 2**64; the first ``KEPT`` stay between calls, longer tables do not."""
     have = powers.get(base)
     if have is None or len(have) < size:
-        out = np.full(max(size, SLICE_BYTES + 4096), base, U64)
+        out = np.full(max(size, KEPT), base, U64)
         out[0] = 1
         with np.errstate(over="ignore"):
-            powers[base] = have = np.multiply.accumulate(out)
+            have = np.multiply.accumulate(out)
+        if size <= KEPT:
+            powers[base] = have
     return have[:size]
 
 

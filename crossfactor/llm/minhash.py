@@ -19,8 +19,9 @@ misses it with 1e-4 (3.9 standard deviations). Other pairs of its class may stil
 
 Defined results: documents without words (null, empty or white space) are each in a class of
 their own, as are documents similar to none; a text of fewer than five words is one shingle;
-of a class the smallest ``doc_id`` stays; rows that repeat id and text share one verdict; null ids
-are last and a class of null ids only has a null class; other columns are ignored.
+texts of any length are compared whole; of a class the smallest ``doc_id`` stays; rows that repeat id and
+text share one verdict; null ids are last and a class of null ids only has a null class; an empty table gives no
+rows; other columns, whatever their names, are ignored by ``classify`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import sized, small, text_or_empty, written
+from crossfactor.llm.common import fresh, sized, text_or_empty, vacate, working_tables, written
 from crossfactor.llm.hashing import U64, mixed, shingles, slices
 
 WIDTH = 5
@@ -43,10 +44,10 @@ REGISTERS = BANDS * ROWS
 LEADER_ROUNDS = 2
 #: Registers of a sketch, a byte each, and the part that must agree: 0.73 by chance corrected for equal bytes.
 SKETCH, NEAR = 480, 0.73
-#: Nodes of a bucket in a block, about.
-BLOCK = 800
-#: Links of 32 bytes that one task may join; more are joined by stars over all executors.
-ONE_TASK_LINKS = 1_000_000
+#: Nodes of a bucket in a block, about, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 800, 8 << 20
+#: Links that one task may join, about 400 bytes each in its tables; more are joined by stars over all executors.
+ONE_TASK_LINKS = 200_000
 
 SIGNED = "doc_id long, __node binary, __bands array<long>"
 SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("__node", pa.binary()), ("__bands", pa.list_(pa.int64()))])
@@ -92,6 +93,7 @@ def banded(held: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vacate()
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for begin, end in slices(texts):
@@ -136,6 +138,7 @@ def parted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes with both texts: the pairs that are similar enough."""
+    vacate()
     last: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         nodes, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -158,6 +161,7 @@ def similar(pairs: DataFrame, content: DataFrame) -> DataFrame:
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task; the root is the smallest node."""
+    vacate()
     above: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -186,7 +190,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     Links counted to be few are joined in one task; else alternating large and small stars join them,
     in rounds that are logarithmic in the longest chain.
     """
-    if small(edges, one_task):
+    if edges.limit(one_task + 1).count() <= one_task:
         return written(edges.select("__a", "__b").coalesce(1).mapInArrow(joined, "__node binary, __label binary"), "near-labels")
     edges = written(edges.select("__a", "__b").where("__a <> __b"), "near-edges")
     before = None
@@ -209,36 +213,47 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b")]
 
 
+def split(rows: DataFrame, by_key: DataFrame) -> DataFrame:
+    """``rows`` joined by bucket with a row a bucket: a sort-merge join, so that adaptive execution splits the rows of a hot bucket over tasks."""
+    return rows.join(by_key.hint("merge"), "__key")
+
+
 def link(signed: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(__node, __label) of the nodes that are similar to another; None if there are none."""
+    with working_tables(docs.sparkSession):
+        labels = linked(signed, docs)
+        return None if labels is None else written(labels, "near-classes", lasting=True)
+
+
+def linked(signed: DataFrame, docs: DataFrame) -> DataFrame | None:
     nodes = signed.where("__node is not null").groupBy("__node").agg(F.min(F.struct("__bands")).alias("__s"))
     rows = nodes.select("__node", F.explode("__s.__bands").alias("__key"))
     shared = rows.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__node").alias("__leader")).where("__n > 1")
-    bucket = written(rows.join(shared.select("__key", "__leader"), "__key"), "near-buckets")
+    bucket = written(split(rows, shared.select("__key", "__leader")), "near-buckets")
     tested = written(bucket.where("__node <> __leader").select(*ordered(F.col("__node"), F.col("__leader"))).distinct(), "near-pairs")
     if tested.isEmpty():
         return None
     wanted = written(bucket.select(F.col("__node").alias("__want")).distinct(), "near-nodes")
     named = docs.select(node().alias("__node"), text_or_empty().cast("binary").alias("__text"))
-    content = written(named.join(sized(wanted), F.col("__node") == F.col("__want"), "left_semi").dropDuplicates(["__node"]), "near-texts")
+    content = written(named.join(sized(wanted, 16), F.col("__node") == F.col("__want"), "left_semi").dropDuplicates(["__node"]), "near-texts")
     edges = written(similar(tested, content), "near-links")
     labels, turn = components(edges), 0
     while True:
         known = bucket.select("__key", "__node").join(labels, "__node", "left").select("__key", "__node", F.coalesce("__label", "__node").alias("__label"))
         mixed_up = known.groupBy("__key").agg(F.min("__label").alias("__low"), F.max("__label").alias("__high")).where("__low <> __high").select("__key")
-        rest = written(known.join(mixed_up, "__key"), "near-open")
+        rest = written(split(known, mixed_up), "near-open")
         if rest.isEmpty():
             return labels
         if turn == LEADER_ROUNDS:
             found = written(block_links(rest, content), "near-links")
             return labels if found.isEmpty() else components(edges.unionAll(found))
-        fresh = written(leader_pairs(rest, turn).distinct().join(tested, ["__a", "__b"], "left_anti"), "near-pairs")
+        fresh_pairs = written(leader_pairs(rest, turn).distinct().join(tested, ["__a", "__b"], "left_anti"), "near-pairs")
         turn += 1
-        if fresh.isEmpty():
+        if fresh_pairs.isEmpty():
             turn = LEADER_ROUNDS
             continue
-        tested = tested.unionAll(fresh)
-        found = written(similar(fresh, content), "near-links")
+        tested = tested.unionAll(fresh_pairs)
+        found = written(similar(fresh_pairs, content), "near-links")
         if not found.isEmpty():
             edges = edges.unionAll(found)
             labels = components(edges)
@@ -249,10 +264,11 @@ def leader_pairs(rest: DataFrame, turn: int) -> DataFrame:
     rank = F.xxhash64("__node", F.lit(turn))
     heads = rest.groupBy("__key", "__label").agg(F.min(F.struct(rank.alias("__r"), F.col("__node").alias("__node"))).alias("__h")).select("__key", F.struct(F.col("__label").alias("__of"), F.col("__h.__node").alias("__head")).alias("__e"))
     ends = heads.groupBy("__key").agg(F.array(F.min("__e"), F.max("__e")).alias("__ends"))
-    return rest.join(ends, "__key").select("__node", "__label", F.explode("__ends").alias("__e")).where("__label <> __e.__of").select(*ordered(F.col("__node"), F.col("__e.__head")))
+    return split(rest, ends).select("__node", "__label", F.explode("__ends").alias("__e")).where("__label <> __e.__of").select(*ordered(F.col("__node"), F.col("__e.__head")))
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vacate()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for begin, end in slices(texts):
@@ -297,14 +313,16 @@ def compare(table: pa.Table) -> pa.Table:
 
 
 def block_links(rest: DataFrame, content: DataFrame) -> DataFrame:
-    """Links that join nodes of a bucket which are in different components."""
+    """Links that join nodes of a bucket which are in different components. Blocks are bounded in nodes and in bytes."""
     own = rest.select(F.col("__node").alias("__want")).distinct()
     marked = content.join(own, F.col("__node") == F.col("__want"), "left_semi").select("__node", "__text").mapInArrow(sketch, "__of binary, __text binary, __sketch binary, __keys binary")
-    sizes = rest.groupBy("__key").agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
-    dealt = rest.join(sizes, "__key").withColumn("__block", F.pmod(F.xxhash64("__node"), "__blocks"))
+    marked = written(marked, "near-sketches")
+    sizes = rest.join(marked.select("__of", F.octet_length("__text").alias("__bytes")), F.col("__node") == F.col("__of"))
+    sizes = sizes.groupBy("__key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("__bytes") / BLOCK_BYTES)).alias("__blocks"))
+    dealt = split(rest, sizes).withColumn("__block", F.pmod(F.xxhash64("__node"), "__blocks"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
     dealt = dealt.select("__key", F.least("__block", "__other").alias("__i"), F.greatest("__block", "__other").alias("__j"), "__block", "__node", "__label")
-    both = dealt.join(written(marked, "near-sketches"), F.col("__node") == F.col("__of")).drop("__of")
+    both = dealt.join(marked, F.col("__node") == F.col("__of")).drop("__of")
     return both.groupBy("__key", "__i", "__j").applyInArrow(compare, "__a binary, __b binary")
 
 
@@ -338,5 +356,6 @@ def classified(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = written(classified(docs).where("not kept").select(F.col("doc_id").alias("__drop"), F.col("__node").alias("__drop_node")).distinct(), "near-dropped")
-    return docs.join(sized(dropped), F.col("doc_id").eqNullSafe(F.col("__drop")) & (node() == F.col("__drop_node")), "left_anti")
+    name, of = fresh(docs, "drop"), fresh(docs, "drop_node")
+    dropped = written(classified(docs).where("not kept").select(F.col("doc_id").alias(name), F.col("__node").alias(of)).distinct(), "near-dropped")
+    return docs.join(sized(dropped, 24), F.col("doc_id").eqNullSafe(F.col(name)) & (node() == F.col(of)), "left_anti")

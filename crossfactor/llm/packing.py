@@ -7,10 +7,11 @@ exchanged for one, or two for one, if that increases the sum of squared fills, s
 fuller and the emptiest empty, until no exchange between any two of the group's bins helps or the
 bins are as few as the total allows.
 Pieces of each group's bins that are still under the ``loose`` fill meet again in the next level, in
-groups of the same size, until one group is left or the levels end; no group ever grows with the input.
+groups of the same size, until one group is left or a level saves no bin; no group ever grows with the input.
 
-Defined results: null text is empty and gives the end id alone; repeated rows are packed each;
-an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts give the end id alone; a long text is cut into full pieces and a last one;
+repeated rows are packed each; of pieces of one length any may go first; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from crossfactor.llm.tokens import encoder
 
 LENGTH = 2048
 GROUP_PIECES = 20_000
-LEVELS = 5
 #: Bins of a group that are filled less than this, as part of the length, are packed again with others'.
 LOOSE = 0.98
 #: Underfull bins, the emptiest, that are exchanged pair by pair before the search over all of them.
@@ -298,18 +298,23 @@ def packed(level: int, room: int, last: bool):
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    left, done, level = written(pieces(docs, path, length), "pack-pieces"), None, 0
+    left, done, level, before = written(pieces(docs, path, length), "pack-pieces", lasting=True), None, 0, None
     while True:
         count = left.count()
         groups = max(1, -(-count // group_pieces))
-        salted = left.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        last = groups == 1 or level == LEVELS - 1
-        out = salted.groupBy("__group").applyInPandas(packed(level, length, last), PIECES + ", sequence_id long, offset long, __again boolean")
-        if not last:
-            out = written(out, "pack-level")
-        stay = out.where("not __again").drop("__again")
+        salted = left.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)))
+        # One group is the end; so is a level whose bins are as many as those that its pieces came from, which are then as good.
+        out = salted.groupBy("__group").applyInPandas(packed(level, length, groups == 1), PIECES + ", sequence_id long, offset long, __again boolean")
+        if groups > 1:
+            out = written(out, "pack-level", lasting=True)
+            bins = out.select("sequence_id").distinct().count()
+        last = groups == 1 or before is not None and bins >= before
+        if groups > 1 and last and bins > before:
+            out = earlier
+        stay = out.drop("__again") if last else out.where("not __again").drop("__again")
         done = stay if done is None else done.unionAll(stay)
         if last:
             return done
-        left = out.where("__again").select("doc_id", "piece", "start", "length", "ids_crc32")
+        earlier = out.where("__again")
+        left, before = earlier.select("doc_id", "piece", "start", "length", "ids_crc32"), earlier.select("sequence_id").distinct().count()
         level += 1

@@ -7,10 +7,17 @@ values different ones, and a pseudonym is valid again. E-mail addresses and secr
 are digits and letters too, are permuted character by character within their classes.
 
 A Feistel round adds a keyed SHA-256 of one half to the other, modulo the half's size; halves may
-differ in size, so a network permutes exactly the values of a format: 146,097 days are 189 x 773.
+differ in size, so a network permutes exactly the values of a format: 146,097 days are 189 x 773. Day-first
+dates with slashes are walked along their cycle until the day is over 12 again, so that they read as day-first.
+Telephone numbers keep their country code; ten digits with an area code of the North American plan get
+such a code and exchange again, others keep a leading 0 or 1.
 
-Defined results: null texts stay null; invalid values, other text and other columns stay as they
-are; an empty table gives no rows; repeated rows get the same text.
+The key reaches the rows as the result of a scalar subquery, so no plan, event log or page of the user interface shows it.
+
+Defined results: null texts stay null, empty ones empty; invalid values, other text and other columns, whatever
+their names, stay as they are; where formats overlap the first in the list wins; repeated rows get the same
+text; an empty table gives no rows; texts of any length are matched whole, by patterns that neither recurse
+nor go back. Runs of over 4,096 characters after a key word are data, not secrets, and stay.
 """
 
 from __future__ import annotations
@@ -18,22 +25,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossfactor.llm.common import fresh
+
 ROUNDS = 8
 #: The days of 400 Gregorian years, as two factors for the halves.
 FIRST_YEAR, DAYS, DAY_HALVES = 1800, 146_097, (189, 773)
+#: Steps within which a day-first date is reached again; that none is has a chance of 1e-26.
+WALK = 64
 
 EDGE, END = r"(?<![\w.+\-])", r"(?![\w\-]|\.\d)"
 #: Formats of the values, in order of preference where they overlap.
 FORMATS = {
-    "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "secret": r"""(?<=\b(?i:token|secret|password|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{16,}""",
+    "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
+    "secret": r"""(?<=\b(?i:token|secret|password|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{16,4096}+(?![A-Za-z0-9+/_\-])""",
     "address": EDGE + r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)" + END,
     "date": EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + END,
     "card": EDGE + r"(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?:[ \-]\d{3})?|\d{4}[ \-]\d{6}[ \-]\d{5})" + END,
     "social": EDGE + r"\d{3}-\d{2}-\d{4}" + END,
     "phone": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}" + END,
+    "pairs": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-]\d{1,2}|0\d)(?:[ .\-]\d{2}){4}" + END,
     "plus": r"(?<![\w.\-])\+\d{9,14}" + END,
 }
+#: What a text must hold for a value to be in it.
+HINT = r"""[0-9@]|[=:]\s{0,2}["']?[A-Za-z0-9+/_\-]{16}"""
 ALL = "|".join(f"(?:{p})" for p in FORMATS.values())
 
 
@@ -42,8 +56,8 @@ def quoted(pattern: str) -> str:
 
 
 def draw(key: str, use: str, turn: str, half: str) -> str:
-    """SQL: 60 keyed bits of a half, from 15 hex digits of a SHA-256."""
-    return f"cast(conv(substring(sha2(concat('{key}|{use}|', {turn}, '|', {half}), 256), 1, 15), 16, 10) as bigint)"
+    """SQL: 60 keyed bits of a half, from 15 hex digits of a SHA-256. ``key`` is SQL, too."""
+    return f"cast(conv(substring(sha2(concat({key}, '|{use}|', {turn}, '|', {half}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def feistel(key: str, use: str, left: str, right: str, sizes: tuple[str, str]) -> str:
@@ -66,6 +80,29 @@ def digits_permuted(key: str, use: str, digits: str) -> str:
     return named(run, "r", f"concat(lpad(cast(r.a as string), {cut}, '0'), lpad(cast(r.b as string), length({digits}) - {cut}, '0'))")
 
 
+def national(key: str, p: str) -> str:
+    """SQL: the digits of a telephone number, without country code, permuted among those of its kind.
+
+    Ten digits that begin with 2 to 9 are an area of 800, an exchange of 800 (of 200 if it begins with 0 or 1) and
+    four digits; a leading 0 or 1 stays; the first of other digits stays within 2 to 9.
+    """
+    area, exchange, line = f"(cast(substring({p}, 1, 3) as bigint) - 200)", f"cast(substring({p}, 4, 3) as bigint)", f"cast(substring({p}, 7, 4) as bigint)"
+
+    def plan(first: int, many: int) -> str:
+        half = 80_000 if many == 800 else 40_000  # half * half = 800 * many * 10,000
+        number = f"(({area} * {many} + {exchange} - {first}) * 10000 + {line})"
+        moved = feistel(key, f"phone{many}", f"{number} div {half}", f"{number} % {half}", (str(half), str(half)))
+        return named(named(moved, "r", f"r.a * {half} + r.b"), "n", f"format_string('%03d%03d%04d', n div {many * 10_000} + 200, n div 10000 % {many} + {first}, n % 10000)")
+
+    cut = f"(length({p}) div 2)"
+    least = f"(2 * cast(pow(10, {cut} - 1) as bigint))"
+    sizes = (f"(4 * {least})", f"cast(pow(10, length({p}) - {cut}) as bigint)")
+    moved = feistel(key, f"phone', length({p}), '", f"substring({p}, 1, {cut}) - {least}", f"substring({p}, {cut} + 1)", sizes)
+    other = named(moved, "r", f"concat(cast(r.a + {least} as string), lpad(cast(r.b as string), length({p}) - {cut}, '0'))")
+    trunk = f"concat(substring({p}, 1, 1), {digits_permuted(key, 'trunk', f'substring({p}, 2)')})"
+    return f"case when substring({p}, 1, 1) < '2' then {trunk} when length({p}) <> 10 then {other} when substring({p}, 4, 1) < '2' then {plan(0, 200)} else {plan(200, 800)} end"
+
+
 def refilled(shape: str, digits: str) -> str:
     """SQL: ``shape`` with its digits replaced, in order, by those of ``digits``."""
     step = f"case when c between '0' and '9' then struct(concat(s.o, substring({digits}, s.n, 1)) as o, s.n + 1 as n) else struct(concat(s.o, c) as o, s.n as n) end"
@@ -86,7 +123,7 @@ def characters_permuted(key: str, use: str, value: str, lower: str = "26") -> st
         mask = f"regexp_replace(regexp_replace(regexp_replace({half}, '[a-z]', 'a'), '[A-Z]', 'A'), '[0-9]', '0')"
         move = "cast(conv(substring(sha2(concat(h, ':', i), 256), 1, 8), 16, 10) as bigint)"
         kinds = " ".join(f"when c between '{low}' and '{high}' then char(ascii('{low}') + (ascii(c) - ascii('{low}') + {move}) % {n})" for low, high, n in classes)
-        return named(f"sha2(concat('{key}|{use}|', t, '|', {mask}, '|', {other}), 256)", "h", f"array_join(transform(split({half}, ''), (c, i) -> case {kinds} else c end), '')")
+        return named(f"sha2(concat({key}, '|{use}|', t, '|', {mask}, '|', {other}), 256)", "h", f"array_join(transform(split({half}, ''), (c, i) -> case {kinds} else c end), '')")
 
     cut = f"(length({value}) div 2)"
     start = f"struct(substring({value}, 1, {cut}) as a, substring({value}, {cut} + 1) as b)"
@@ -98,13 +135,17 @@ def pseudonym(key: str, m: str = "m") -> str:
     d = f"regexp_replace({m}, '[^0-9]', '')"
     is_ = lambda name: f"regexp_like({m}, '^(?:{quoted(FORMATS[name])})$')"
     # Dates: the parts by form, a real day of the 400 years, its number permuted and printed in the same form.
-    printed = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}/": "MM/dd/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
-    form = "case " + " ".join(f"when regexp_like({m}, '{quoted(p)}') then '{f}'" for p, f in printed.items()) + " end"
-    iso = f"case when regexp_like({m}, '^\\\\d{{4}}') then concat(substring(d, 1, 4), '-', substring(d, 5, 2), '-', substring(d, 7, 2)) when contains({m}, '/') then concat(substring(d, 5, 4), '-', substring(d, 1, 2), '-', substring(d, 3, 2)) else concat(substring(d, 5, 4), '-', substring(d, 3, 2), '-', substring(d, 1, 2)) end"
-    day = f"datediff(try_cast({iso} as date), date'{FIRST_YEAR}-01-01')"
+    turned = f"(contains({m}, '/') and substring(d, 1, 2) > '12' and substring({m}, 3, 1) = '/')"
+    printed = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}\.": "dd.MM.yyyy"}
+    form = "case " + " ".join(f"when regexp_like({m}, '{quoted(p)}') then '{f}'" for p, f in printed.items()) + f" when {turned} then 'dd/MM/yyyy' else 'MM/dd/yyyy' end"
+    iso = f"case when regexp_like({m}, '^\\\\d{{4}}') then concat(substring(d, 1, 4), '-', substring(d, 5, 2), '-', substring(d, 7, 2)) when contains({m}, '/') and not {turned} then concat(substring(d, 5, 4), '-', substring(d, 1, 2), '-', substring(d, 3, 2)) else concat(substring(d, 5, 4), '-', substring(d, 3, 2), '-', substring(d, 1, 2)) end"
+    zero = f"date'{FIRST_YEAR}-01-01'"
+    day = f"datediff(try_cast({iso} as date), {zero})"
     big, low = DAY_HALVES[1], DAY_HALVES[0]
-    moved = feistel(key, "date", f"n div {big}", f"n % {big}", (str(low), str(big)))
-    date = named(day, "n", f"case when n >= 0 and n < {DAYS} then {named(moved, 'r', f'date_format(date_add(date{chr(39)}{FIRST_YEAR}-01-01{chr(39)}, cast(r.a * {big} + r.b as int)), {form})')} else {m} end")
+    step = lambda n: named(feistel(key, "date", f"{n} div {big}", f"{n} % {big}", (str(low), str(big))), "r", f"cast(r.a * {big} + r.b as int)")
+    # A day-first date goes on along its cycle until it reads as day-first; others take one step.
+    moved = f"aggregate(sequence(1, {WALK}), {step('n')}, (x, i) -> case when {turned} and day(date_add({zero}, x)) <= 12 then {step('x')} else x end)"
+    date = named(day, "n", f"case when n >= 0 and n < {DAYS} then date_format(date_add({zero}, {moved}), {form}) else {m} end")
     # Social security numbers: areas 1 to 899 but 666, groups 1 to 99, serials 1 to 9999.
     area, group, serial = "cast(substring(d, 1, 3) as int)", "cast(substring(d, 4, 2) as int)", "cast(substring(d, 6, 4) as int)"
     moved = feistel(key, "social", f"({area} - 1 - case when {area} > 666 then 1 else 0 end) * 99 + {group} - 1", f"{serial} - 1", (str(898 * 99), "9999"))
@@ -119,25 +160,29 @@ def pseudonym(key: str, m: str = "m") -> str:
     check = f"(10 - {luhn('concat(b, chr(48))')} % 10) % 10"
     card = f"case when {luhn('d')} % 10 = 0 and not regexp_like(d, '^0+$') then {named(body, 'b', refilled(m, f'concat(b, {check})'))} else {m} end"
     # Telephone numbers: the country code stays; 7 to 15 digits are valid.
-    code = f"length(regexp_replace(regexp_extract({m}, '^([+][0-9]{{1,3}})[ .(-]', 1), '[^0-9]', ''))"
-    rest = named(digits_permuted(key, "phone", f"substring(d, {code} + 1)"), "p", refilled(m, f"concat(substring(d, 1, {code}), p)"))
-    phone = f"case when length(d) between 7 and 15 then {rest} else {m} end"
+    code = f"case when regexp_like({m}, '^[+]1[0-9]{{10}}$') then 1 else length(regexp_replace(regexp_extract({m}, '^([+][0-9]{{1,3}})[ .(-]', 1), '[^0-9]', '')) end"
+    rest = named(f"substring(d, {code} + 1)", "p", named(national(key, "p"), "q", refilled(m, f"concat(substring(d, 1, length(d) - length(p)), q)")))
+    phone = f"case when length(d) between 7 and 15 and length(d) - ({code}) >= 4 then {rest} else {m} end"
     mail = f"concat({characters_permuted(key, 'mail', f'substring_index({m}, {chr(39)}@{chr(39)}, 1)')}, substring({m}, instr({m}, '@')))"
     secret = f"case when regexp_like({m}, '^[0-9a-f]+$') then {characters_permuted(key, 'hex', m, '6')} else {characters_permuted(key, 'secret', m)} end"
-    return named(d, "d", f"case when contains({m}, '@') then {mail} when {is_('address')} then {address} when {is_('date')} then {date} when {is_('social')} then {social} when {is_('card')} then {card} when {is_('phone')} or {is_('plus')} then {phone} when length({m}) >= 16 and regexp_like({m}, '[A-Za-z]') then {secret} else {m} end")
+    return named(d, "d", f"case when contains({m}, '@') then {mail} when {is_('address')} then {address} when {is_('date')} then {date} when {is_('social')} then {social} when {is_('card')} then {card} when {is_('phone')} or {is_('pairs')} or {is_('plus')} then {phone} when length({m}) >= 16 and regexp_like({m}, '[A-Za-z]') then {secret} else {m} end")
 
 
-def mask(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``text``, and ``__found``, the number of values that were replaced."""
-    pattern = quoted(ALL)
-    out = docs.withColumn("__match", F.expr(f"case when regexp_like(`{text}`, '[0-9@]') then regexp_extract_all(`{text}`, '{pattern}', 0) else array() end"))
-    out = out.withColumn("__new", F.expr(f"transform(__match, m -> {pseudonym(key)})"))
-    between = f"split(`{text}`, '{pattern}', -1)"
-    joined = f"case when size(__match) > 0 then array_join(transform({between}, (x, i) -> concat(x, coalesce(get(__new, i), ''))), '') else `{text}` end"
-    found = "size(filter(sequence(0, size(__match)), i -> coalesce(get(__match, i) <> get(__new, i), false)))"
-    return out.withColumns({text: F.expr(joined), "__found": F.expr(found)}).drop("__match", "__new")
+def mask(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``; with ``found``, also a column of that name for the number of values that were replaced."""
+    match, new, secret = (fresh(docs, n) for n in ("match", "new", "key"))
+    pattern, own = quoted(ALL), f"`{text}`"
+    out = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    out = out.withColumn(match, F.expr(f"case when regexp_like({own}, '{quoted(HINT)}') then regexp_extract_all({own}, '{pattern}', 0) else array() end"))
+    out = out.withColumn(new, F.expr(f"transform({match}, m -> {pseudonym(secret)})"))
+    between = f"split({own}, '{pattern}', -1)"
+    joined = F.expr(f"case when size({match}) > 0 then array_join(transform({between}, (x, i) -> concat(x, coalesce(get({new}, i), ''))), '') else {own} end")
+    columns = [joined.alias(c) if c.lower() == text.lower() else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    if found is not None:
+        columns.append(F.expr(f"size(filter(sequence(0, size({match})), i -> coalesce(get({match}, i) <> get({new}, i), false)))").alias(found))
+    return out.select(*columns)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: doc_id, text with pseudonyms, n_replaced."""
-    return mask(docs.select("doc_id", "text"), key).withColumnRenamed("__found", "n_replaced")
+    return mask(docs.select("doc_id", "text"), key, found="n_replaced")

@@ -81,15 +81,15 @@ WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS tex
 {draws(grown, "later")},
 o AS (
   SELECT d.doc_id, octet_length(encode(d.text)) + 1 AS size, now.shard, later.shard AS grown_shard,
-         ('0x' || substr(md5(key), 1, 8))::BIGINT % {sharding.SLOT_BLOCKS} AS block,
+         key,
          CASE WHEN d.text = '' THEN 0 ELSE xor(4294967295, list_reduce(
            list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(d.text)), '..'), lambda h: ('0x' || h)::BIGINT)),
            lambda a, b: {crc_step()})) END AS text_crc32
   FROM d JOIN now USING (row) JOIN later USING (row)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
-FROM o
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key || ':' || text_crc32 || ':' || size), 1, 8))::BIGINT % blocks, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM o, (SELECT greatest({sharding.SLOT_BLOCKS}, ceil(count(*) / {sharding.BLOCK_ROWS * len(tree.leaves())})::BIGINT) AS blocks FROM documents) c
 """
 
 

@@ -8,8 +8,12 @@ keeps its draw. If a weight changes, rows move only into or out of the subtrees
 ``grow`` adds a shard as a region of its own: only the new region's draw is new, so rows move into
 the new shard and nowhere else (the ``key`` law: the id and the shard count decide).
 
-Defined results: null ids draw as the text ``null``; null texts have no bytes; repeated ids land in
-one shard in neighbouring slots; other columns are ignored.
+Slots are counted in blocks of rows, whose number follows the rows: a block is a hash of id, size and text, so one
+id, or none, on many rows fills many blocks.
+
+Defined results: null ids draw as the text ``null``; null and empty texts have no bytes; texts of any length count
+whole; repeated ids land in one shard, repeated rows in slots next to one another; of equal draws the first child
+wins; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import text_or_empty
+from crossfactor.llm.common import sized, text_or_empty, written
 
-#: Blocks of rows per shard for slot numbers: each is sorted in one task.
-SLOT_BLOCKS = 64
+#: Blocks of rows per shard for slot numbers, at least, and rows of a block, about: each block is sorted in one task.
+SLOT_BLOCKS, BLOCK_ROWS = 64, 500_000
 
 
 @dataclass(frozen=True)
@@ -87,19 +91,20 @@ def descend(docs: DataFrame, tree: Tree, key: str, out: str) -> DataFrame:
     return docs.withColumn(out, F.col(place).cast("int")).drop(*(f"__{out}_{level}" for level in range(3)))
 
 
-def block() -> Column:
-    return F.expr(f"cast(conv(substr(md5(__key), 1, 8), 16, 10) as bigint) % {SLOT_BLOCKS}")
+def block(blocks: int) -> Column:
+    return F.expr(f"cast(conv(substr(md5(concat_ws(':', __key, text_crc32, size)), 1, 8), 16, 10) as bigint) % {blocks}")
 
 
 def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    blocks = max(SLOT_BLOCKS, -(-docs.count() // (BLOCK_ROWS * len(tree.leaves()))))
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
-    placed = descend(keyed, tree, "__key", "shard").withColumn("__block", block())
+    placed = descend(keyed, tree, "__key", "shard").withColumn("__block", block(blocks))
     counts = placed.groupBy("shard", "__block").count()
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = written(counts.select(F.col("shard").alias("__of"), F.col("__block").alias("__at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")), "shard-blocks")
     placed = descend(placed, grown, "__key", "grown_shard") if grown else placed.withColumn("grown_shard", F.lit(None).cast("int"))
     inside = Window.partitionBy("shard", "__block").orderBy("doc_id", "text_crc32", "size")
     numbered = placed.withColumn("__rank", F.row_number().over(inside))
-    # At most SLOT_BLOCKS rows a shard: a proven bound.
-    return numbered.join(F.broadcast(starts), ["shard", "__block"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"), "grown_shard")
+    out = numbered.join(sized(starts, 24), (F.col("shard") == F.col("__of")) & (F.col("__block") == F.col("__at")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"), "grown_shard")

@@ -7,12 +7,14 @@ descriptor with the checksum flag and the magic number. Ids are little-endian un
 document may span frames. A reader takes the table from the end of the file, the index from the
 last frame, and decompresses only the frames that hold the documents asked for.
 
-Rows are dealt by ranges of ``doc_id``, so files follow one another in ascending order. A task writes
+Rows are dealt by ranges of ``doc_id``, and of a hash of the text within one, so files follow one another in
+ascending order and one id on many rows fills many files; their number follows the bytes. A task writes
 under a name of its own attempt and only reported files count, so a lost or repeated task leaves
 no wrong data. The manifest has a row per file; starts are sums of it.
 
-Defined results: null text is empty and gives the end id alone; null ids come first; repeated ids
-follow one another; an empty table gives no files and no rows; other columns are ignored.
+Defined results: null and empty texts give the end id alone; null ids come first; repeated ids and rows
+follow one another; a long text spans frames; an empty table gives no files and no rows; other columns, whatever
+their names, are ignored. The files stay: they are the output.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from crossfactor.llm.hashing import slices
 from crossfactor.llm.tokens import encoder
 
 FRAME_BYTES = 1 << 18
+#: Bytes of text in a file, about.
+FILE_BYTES = 128 << 20
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -161,8 +165,10 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 0) -> DataFrame:
     """Write ``docs`` as token files into the shared folder ``to``; returns the manifest with each file's start."""
     fs, root = folder(to)
     fs.create_dir(root, recursive=True)
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("__text")).repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("__text"), F.xxhash64("text").alias("__hash"))
+    dealt = own.repartitionByRange(count, "doc_id", "__hash").sortWithinPartitions("doc_id", "__hash").drop("__hash")
     manifest = written(dealt.mapInArrow(writing(path, to, end_id), MANIFEST), "ids-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0)))

@@ -2,25 +2,32 @@
 
 A text is cut only where the tokenizer's own splits fall whatever stands on either side, so the
 ids of a text are those of its chunks joined. The library encodes each distinct chunk once per
-worker, a run of letters and the punctuation after it apart; the rest are look-ups. A text with a
-place that this cannot decide is encoded whole.
+worker, a run of letters and the punctuation after it apart; the rest are look-ups. A stretch with a
+place that this cannot decide, or with the string of a special token, goes to the library as it is.
+
+Long texts are taken in windows that end at such cuts, so a worker holds about ``SLICE_BYTES`` of text as
+chunks, and its tables are bounded in bytes.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Chunks and words that a worker keeps at most; when reached, that table starts anew.
-CACHED_CHUNKS, CACHED_WORDS = 800_000, 1_200_000
+from crossfactor.llm.common import SLICE_BYTES, Kept, resident
+from crossfactor.llm.hashing import slices
+
+#: Bytes that a worker's tables of chunks and of words take.
+CHUNK_BYTES, WORD_BYTES = 96 << 20, 40 << 20
 #: ASCII punctuation that always ends a run of letters; the apostrophe does not, as in "can't".
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-
-encoders: dict[tuple[str, str], Encoder] = {}
+#: A space between printable ASCII characters: no split of either style looks across it.
+CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 
 
 def byte_letters() -> dict[int, int]:
@@ -29,90 +36,111 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def windows(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """Parts of about ``size`` bytes that end before a space at which a cut is safe; a text without such spaces is one part."""
+    begin = 0
+    while len(text) - begin > size and (found := CUT.search(text, begin + size)):
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:]
+
+
 class Encoder:
-    """``style`` is ``words`` if the tokenizer lowers case and drops white space, or ``bytes`` if a space leads a token."""
+    """``style`` is ``words`` if the tokenizer lowers case and drops white space, or ``bytes`` if a space leads a token.
+
+    With ``special_as_text`` the strings of special tokens are ordinary text; without, they give their tokens, as by a plain call of the library.
+    """
 
-    def __init__(self, path: str, style: str) -> None:
+    def __init__(self, path: str, style: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special)) if special else None
         self.merge = self.tokenizer.model.tokenize
         self.style, self.letters = style, byte_letters()
         self.lead = chr(self.letters[ord(" ")]) if style == "bytes" else ""
-        self.chunks: dict[bytes, bytes | bool] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.chunks, self.words = Kept(CHUNK_BYTES), Kept(WORD_BYTES)
 
     def raw(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, word: bytes) -> bytes | None:
-        """Ids of a run of letters that the normalizer leaves as it is, by the tokenizer's model; None for others."""
-        found = self.words.get(word)
-        if found is None:
-            text = word.decode()
-            if not text.isalpha() or self.style == "words" and not (text == text.lower() and unicodedata.is_normalized("NFC", text)):
-                return None
-            shown = self.lead + text if text.isascii() else self.lead + word.decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.merge(shown)]
-            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+    def whole(self, text: bytes) -> bytes:
+        """Ids by the library alone."""
+        return b"".join(self.raw([w.decode()])[0] for w in windows(text, SLICE_BYTES // 16))
+
+    def plain(self, word: bytes) -> str | None:
+        """What the model sees of a run of letters that the normalizer leaves as it is; None for other words."""
+        text = word.decode()
+        if not text.isalpha() or self.style == "words" and not (text == text.lower() and unicodedata.is_normalized("NFC", text)):
+            return None
+        return self.lead + text if text.isascii() else self.lead + word.decode("latin-1").translate(self.letters)
 
     def learn(self, chunks: Sequence[bytes]) -> None:
         """Encode new chunks; in the ``bytes`` style False marks one at which a cut decides nothing."""
-        whole = []
-        for chunk in chunks:
-            word = chunk.rstrip(MARKS)
-            ids = self.word(word) if word else None
+        words = [c.rstrip(MARKS) for c in chunks]
+        # A word by itself, marks after it with a space before them, which no word holds.
+        tails = [b" " + c[len(w) :] if len(w) < len(c) else b"" for c, w in zip(chunks, words, strict=True)]
+        fresh: dict[bytes, bytes | None] = {}
+        for word in self.words.missing(set(words) - {b""}):
+            shown = self.plain(word)
+            if shown is not None:
+                ids = [t.id for t in self.merge(shown)]
+                fresh[word] = struct.pack(f"<{len(ids)}I", *ids)
+        marks = self.words.missing(set(tails) - {b""})
+        fresh |= zip(marks, self.raw([m[1:].decode() for m in marks]), strict=True)
+        self.words.put(fresh)
+        known, whole, new = self.words.young, [], {}
+        for chunk, word, tail in zip(chunks, words, tails, strict=True):
+            ids = known.get(word) if word else None
             if ids is None:
                 whole.append(chunk)
-                continue
-            if len(word) < len(chunk):
-                tail = chunk[len(word) :]
-                key = b" " + tail  # no word holds a space
-                if key not in self.words:
-                    self.words[key] = self.raw([tail.decode()])[0]
-                ids += self.words[key]
-            self.chunks[chunk] = ids
+            else:
+                new[chunk] = ids + known[tail] if tail else ids
         texts = [c.decode() for c in whole]
         if self.style == "bytes":
             undecided = [not t or t[0].isspace() or t[-1].isspace() for t in texts]
-            self.chunks.update((c, False) for c, u in zip(whole, undecided, strict=True) if u)
+            new.update((c, False) for c, u in zip(whole, undecided, strict=True) if u)
             whole, texts = [c for c, u in zip(whole, undecided, strict=True) if not u], [" " + t for t, u in zip(texts, undecided, strict=True) if not u]
-        self.chunks.update(zip(whole, self.raw(texts), strict=True))
+        new.update(zip(whole, self.raw(texts), strict=True))
+        self.chunks.put(new)
 
-    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
+    def looked_up(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Ids of each text by its chunks."""
         cut = [t.lower().split() if self.style == "words" else t.split(b" ") for t in texts]
         distinct = set().union(*cut)
-        self.learn(list(distinct.difference(self.chunks)))
+        self.learn(self.chunks.missing(distinct))
         # A smaller table of the chunks at hand stays in the processor's cache.
-        known = {c: self.chunks[c] for c in distinct}
+        known = {c: self.chunks.young[c] for c in distinct}
         # The first chunk has no space before it.
         first = self.raw([c[0].decode() for c in cut]) if self.style == "bytes" else None
         out: list[bytes] = []
-        whole: list[int] = []
         for i, chunks in enumerate(cut):
             parts = list(map(known.__getitem__, chunks))
-            if False in parts:
-                whole.append(i)
-                out.append(b"")
-                continue
-            if first is not None:
+            if first is not None and not (chunks[0] and parts[0] is False):
                 parts[0] = first[i]
-            out.append(b"".join(parts))
-        for i, ids in zip(whole, self.raw([texts[i].decode() for i in whole]), strict=True):
-            out[i] = ids
+            out.append(self.whole(texts[i]) if False in parts else b"".join(parts))
         return out
 
-
-def encoder(path: str, style: str) -> Encoder:
+    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, parts = [], []
+        for i, text in enumerate(texts):
+            if self.special and self.special.search(text):
+                out[i].append(self.whole(text))
+            else:
+                for part in windows(text):
+                    owners.append(i)
+                    parts.append(part)
+        for begin, end in slices(parts):
+            for i, ids in zip(owners[begin:end], self.looked_up(parts[begin:end]), strict=True):
+                out[i].append(ids)
+        return [b"".join(ids) for ids in out]
+
+
+def encoder(path: str, style: str, special_as_text: bool = False) -> Encoder:
     """This worker's encoder."""
-    if (path, style) not in encoders:
-        encoders[path, style] = Encoder(path, style)
-    return encoders[path, style]
+    return resident(("encoder", path, style, special_as_text), lambda: Encoder(path, style, special_as_text))

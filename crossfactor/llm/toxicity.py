@@ -2,13 +2,16 @@
 
 A document is a bag of sentences. A sentence's score is the logistic of the summed weights of its
 hashed words and word beginnings, which inflected words share; a document's is the noisy-or of its sentences. The weights are learned from document
-labels alone, by Adam on the document likelihood, in one task over a documented, bounded sample of
-labelled rows, and are broadcast: their size is fixed by ``BUCKETS``. The learned sentence scores
-then say which sentences offend.
+labels alone, by Adam on the document likelihood, in one task over a documented sample of
+labelled rows, bounded in rows and bytes, and are broadcast: their size is fixed by ``BUCKETS``. Up to half of
+the sample is toxic, and rows count by the inverse of their class's share in it, so that scores keep the labels' rate.
+The learned sentence scores then say which sentences offend.
 
 Defined results: null and empty texts have no sentences and get the score of one empty sentence; null
-ids count as held out; ids that repeat in the labels count once, toxic if any row says so; with no
-labelled rows all scores are 0; other columns are ignored.
+ids count as held out; ids that repeat in the labels count once, toxic if any row says so, and of documents that
+share a labelled id the smallest text is learned from; texts longer than ``TEXT_BYTES`` are scored, whole, but not
+learned from; repeated rows get the same score each; an empty table gives no rows; with no labelled rows all
+scores are 0; other columns are ignored, whatever their names; there are no ties.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import text_or_empty
+from crossfactor.llm.common import text_or_empty, vacate, working_tables, written
 from crossfactor.llm.hashing import U64, byte_spans, slices, span_hashes
 from crossfactor.llm.langid import held_out
 
@@ -28,12 +31,12 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Bytes of the word beginnings that are features too.
 STEMS = (4, 5, 6, 7)
-#: Labelled rows to learn from, about: a hash of the id takes that share of them.
-SAMPLE_ROWS = 10_000
+#: Labelled rows to learn from, about, and the bytes of their texts: hashes of ids take that share of them. No longer text than ``TEXT_BYTES`` is among them.
+SAMPLE_ROWS, SAMPLE_BYTES, TEXT_BYTES = 10_000, 32 << 20, 1 << 20
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 60, 0.1, 0.2
-#: Documents of the sample that must hold a word for it to get a weight.
-MIN_DOCUMENTS = 10
+#: Share of the sample's documents that must hold a word for it to get a weight, and two documents at least: the others could only be learned by heart.
+MIN_SHARE = 0.001
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -67,19 +70,19 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def frequent(bags: list[tuple]) -> np.ndarray:
-    """Which buckets enough documents hold: the others could only be learned by heart."""
+    """Which buckets enough documents hold."""
     held = np.zeros(BUCKETS, np.int32)
     for bucket, sentence, owner, _ in bags:
         held += np.bincount(np.unique(owner[sentence].astype(np.int64) * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS).astype(np.int32)
-    return held >= MIN_DOCUMENTS
+    return held >= max(2, MIN_SHARE * sum(b[3] for b in bags))
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -z))
 
 
-def learn(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], labels: np.ndarray) -> np.ndarray:
-    """Weights by bucket and, last, the bias. Each bag: buckets, sentences, owners and number of texts of a slice."""
+def learn(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], labels: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Weights by bucket and, last, the bias. Each bag: buckets, sentences, owners and number of texts of a slice. ``worth`` says how much each text counts."""
     often = frequent(bags)
     kept = [often[b[0]] for b in bags]
     shift_s, shift_t = np.cumsum([0, *(len(b[2]) for b in bags)]), np.cumsum([0, *(b[3] for b in bags)])
@@ -90,12 +93,12 @@ def learn(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], labels: np
     weights = np.zeros(BUCKETS + 1)
     weights[-1] = -6.0
     first, second = np.zeros_like(weights), np.zeros_like(weights)
-    toxic = labels.astype(bool)
+    toxic, worth = labels.astype(bool), worth / worth.mean()
     for step in range(1, STEPS + 1):
         z = weights[-1] + np.bincount(sentence, weights[bucket], minlength=count)
         mass = np.bincount(owner, np.logaddexp(0, z), minlength=texts)  # -log of the chance that no sentence offends
         none = np.exp(-mass)
-        slope = np.where(toxic, -none / np.maximum(1 - none, 1e-12), 1.0)
+        slope = worth * np.where(toxic, -none / np.maximum(1 - none, 1e-12), 1.0)
         by_sentence = slope[owner] * logistic(z) / texts
         gradient = np.append(np.bincount(bucket, by_sentence[sentence], minlength=BUCKETS), by_sentence.sum())
         gradient[:-1] += DECAY / texts * weights[:-1]
@@ -106,25 +109,40 @@ def learn(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], labels: np
 
 
 def trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bags, labels = [], []
+    vacate()
+    bags, labels, worth = [], [], []
     for batch in batches:
         texts = batch.column(0).to_pylist()
         labels += batch.column(1).to_pylist()
+        worth += batch.column(2).to_pylist()
         for begin, end in slices(texts):
             bucket, sentence, owner, _, _ = sentences(texts[begin:end])
             bags.append((bucket, sentence, owner, end - begin))
     if labels:
-        yield pa.RecordBatch.from_arrays([pa.array([learn(bags, np.array(labels)).tobytes()])], names=["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([learn(bags, np.array(labels), np.array(worth)).tobytes()])], names=["weights"])
+
+
+def share(rate: Column | float, *names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(1 << 40)) < F.lit(float(1 << 40)) * rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
     """Weights from the labelled rows that are not held out."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out(4, 2) & F.col("doc_id").isNotNull())
-    rate = sample_rows / max(marks.count(), 1)
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(rate, 1) * 1_000_000)
-    marks = marks.where(pick).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
-    own = docs.where(pick).select("doc_id", text_or_empty().cast("binary").alias("__text")).join(marks, "doc_id")
-    rows = own.select("__text", "__toxic").coalesce(1).mapInArrow(trainer, "weights binary").collect()
+    marks = marks.groupBy(F.col("doc_id").alias("__of")).agg(F.max("toxic").cast("int").alias("__toxic"))
+    toxic, clean = marks.agg(F.coalesce(F.sum("__toxic"), F.lit(0)), F.count_if(F.col("__toxic") == 0)).first()
+    taken = min(toxic, sample_rows // 2)
+    rates = F.when(F.col("__toxic") == 1, F.lit(taken / max(toxic, 1))).otherwise(F.lit(min(1.0, (sample_rows - taken) / max(clean, 1))))
+    # About ``sample_rows`` rows of 16 bytes: a proven bound, so the documents stay where they are and only the sample moves.
+    marks = F.broadcast(marks.withColumn("__rate", rates).where(share(F.col("__rate"), "__of")))
+    own = docs.where(F.octet_length(text_or_empty()) <= TEXT_BYTES).select(F.col("doc_id").alias("__of"), text_or_empty().cast("binary").alias("__text")).join(marks, "__of")
+    own = own.groupBy("__of").agg(F.min("__text").alias("__text"), F.first("__toxic").alias("__toxic"), (1 / F.first("__rate")).alias("__worth"))
+    with working_tables(docs.sparkSession):
+        own = written(own, "toxicity-sample")
+        size = own.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+        if size > SAMPLE_BYTES:
+            own = own.where(share(SAMPLE_BYTES / size, "__text", "__of"))
+        rows = own.repartition(1).sortWithinPartitions("__of").select("__text", "__toxic", "__worth").mapInArrow(trainer, "weights binary").collect()
     return np.frombuffer(rows[0][0], np.float32) if rows else None
 
 
@@ -147,6 +165,7 @@ OFFENDING_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())
 
 def scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for begin, end in slices(texts):

@@ -128,7 +128,7 @@ def byte_file():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-HARD = [t or "" for _, t in ROWS if t != LONG] + ["CAN'T, it's. ÉÀ, Σας Å. é. İ, ﬁ, x̸,", "<|endoftext|> x<|endoftext|>", "a　b c\x1cd \x1c e", "x\n \ny", " lead", "tail "]
+HARD = [t or "" for _, t in ROWS if t != LONG] + ["CAN'T, it's. ÉÀ, Σας Å. é. İ, ﬁ, x̸,", "<|endoftext|> x<|endoftext|>", "hi <|endoftext|> there <|ENDOFTEXT|> <|startoftext|>", "a　b c\x1cd \x1c e", "x\n \ny", " lead", "tail "]
 
 
 @pytest.mark.parametrize(("path", "style"), [(word_file(), "words"), (byte_file(), "bytes")])
@@ -136,7 +136,6 @@ def test_cached_ids_are_the_librarys(path, style):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(7)
     texts = HARD + ["".join(rng.choices("aAé' .,\n\t!9#ñ ́", k=rng.randint(1, 30))) for _ in range(3000)]
     for _ in range(2):
