@@ -306,12 +306,61 @@ def test_bpe(docs, empty):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     rng = random.Random(3)
     texts = ["x" * 4000, "ab" * 2000, "".join(rng.choices("abcde", k=900)), *("".join(rng.choices("aAé' .\n9", k=rng.randint(1, 40))) for _ in range(500))]
-    for t, (ids, decoded, n) in zip(texts, bpe.coder(path, public_tokenizers.PATTERN).code(texts), strict=True):
-        assert ids.decode() == " ".join(map(str, plain.encode_ordinary(t))) and decoded == t.encode() and n == len(plain.encode_ordinary(t))
-    assert bpe.decode(plain.encode_ordinary(BASE), path, public_tokenizers.PATTERN) == BASE.encode()
+    own = bpe.coder(path, public_tokenizers.PATTERN)
+    for t, ids in zip(texts, own.code(texts), strict=True):
+        assert ids.decode() == " ".join(map(str, plain.encode_ordinary(t)))
+    numbers = [plain.encode_ordinary(t) for t in texts]
+    assert list(own.decode([np.array(n, np.int32) for n in numbers])) == [t.encode() for t in texts]
+    assert own.decoded_hashes([" ".join(map(str, n)).encode() for n in numbers]) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    # Ids that are wrong show in what they decode to.
+    wrong = b" ".join(own.code(["one two"])[0].split()[::-1])
+    assert own.decoded_hashes([wrong]) != [hashlib.sha256(b"one two").hexdigest()]
     assert bpe.round_trip(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def contracted(word, ranks):
+    """Byte-pair merges one at a time: the leftmost pair of minimum rank."""
+    parts = [bytes([b]) for b in word]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+@pytest.mark.parametrize("long", [0, 1 << 20])
+def test_both_contractions_over_random_merges(monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG", long)
+    rng = random.Random(11)
+    for _ in range(6):
+        tokens = {bytes([b]) for b in range(256)}
+        pool = [b"a", b"b", b"c"]
+        while len(pool) < 30:
+            new = rng.choice(pool) + rng.choice(pool)
+            if new not in tokens:
+                tokens.add(new)
+                pool.append(new)
+        own = pool[3:]
+        rng.shuffle(own)  # ranks without order: a longer token may go before its parts
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(own)}
+        words = ["".join(rng.choices("abc", k=rng.randint(1, 60))) for _ in range(80)] + ["a" * n for n in range(1, 20)]
+        got = bpe.Coder(ranks, r"\S+| ").code(words)
+        assert got == [" ".join(map(str, contracted(w.encode(), ranks))).encode() for w in words]
+
+
+def test_windows_do_not_change_ids(monkeypatch):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(path), special_tokens={})
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    monkeypatch.setattr(bpe.windows, "__defaults__", (50,))
+    monkeypatch.setattr(bpe, "DECODED", 16)
+    texts = [t or "" for t in TEXTS.values() if t != LONG]
+    coded = bpe.coder(path, public_tokenizers.PATTERN).code(texts)
+    assert coded == [" ".join(map(str, plain.encode_ordinary(t))).encode() for t in texts]
+    assert bpe.coder(path, public_tokenizers.PATTERN).decoded_hashes(coded) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
 def weights_of(text):
     w = (text or "").encode().split()
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
