@@ -1,12 +1,17 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written
-as Parquet to the shared folder and read again. All stages but the last return the columns of
-``documents``; the last returns the packed pieces.
+as Parquet to the shared folder and read again, and the table before it is removed. All stages but the last return
+the columns of ``documents``; the last returns the packed pieces.
+
+Defined results: null, empty and letterless texts have no language and go first; documents with null or repeated
+ids are judged by their own row and text; of equal texts one row stays; texts of any length are taken whole; other
+columns, whatever their names, pass through; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,21 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossfactor.llm import exact_dedup, langid, minhash, packing, pii
-from crossfactor.llm.common import read_documents, sized, written
+from crossfactor.llm.common import read_documents, remove, shared_folder, working_tables
 from crossfactor.llm.queries import PII_KEY
 
 #: Documents go whose language is unknown, less sure than this, or makes their 3-grams less likely than chance by more than a factor e on average (STRANGE).
 SURE = 0.5
 #: Names and keys in a short text alone take it a little below 0.
 STRANGE = -1.0
+#: Setting of the session with the key of the pseudonyms; Spark redacts settings of such names.
+KEY_SETTING = "crossfactor.pii.secret"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A verdict depends on the text alone, so its hash finds the rows, whatever their ids.
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    rejected = langid.likened(docs, key=text).where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < SURE) | (F.col("likeness") < STRANGE))
-    rejected = written(rejected.select(F.col("doc_id").alias("__drop")).distinct(), "lang-dropped")
-    return docs.join(sized(rejected), text == F.col("__drop"), "left_anti")
+    return langid.spoken(docs, SURE, STRANGE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.mask(docs, PII_KEY).drop("__found")
+    masked = pii.mask(docs, spark.conf.get(KEY_SETTING, PII_KEY))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
+    docs, before = read_documents(spark, sf_dir), None
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with working_tables(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(kept.schema).parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
