@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import Kept, resident, text_or_empty
+from crossfactor.llm.common import Kept, resident, text_or_empty, tidy
 from crossfactor.llm.hashing import slices
 
 #: Bytes that a worker's tables of words and of chunks take.
@@ -221,6 +221,7 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 def coding(path: str, pattern: str):
+    @tidy(keeps=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +143,24 @@ class Kept:
         self.held += sum(map(len, values)) + sum(map(len, filter(None, values.values()))) + self.row_bytes * len(values)
 
 
+def tidy(keeps: bool = False):
+    """Of a function from batches to batches: one that returns its task's memory at the end and, unless it ``keeps`` a resident, drops what other operators left."""
+
+    def decorate(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+        @functools.wraps(task)
+        def tidied(batches: Iterator) -> Iterator:
+            if not keeps:
+                vacate()
+            try:
+                yield from task(batches)
+            finally:
+                give_back()
+
+        return tidied
+
+    return decorate
+
+
 def vacate() -> None:
     """Drop what other operators keep in this worker."""
     if residents:
@@ -150,6 +170,7 @@ def vacate() -> None:
 
 def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

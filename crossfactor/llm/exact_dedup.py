@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import fresh, sized, text_or_empty, vacate, written
+from crossfactor.llm.common import fresh, sized, text_or_empty, tidy, written
 
 #: Bytes of labels that a trie holds before it evicts subtrees.
 TRIE_BYTES = 48 << 20
@@ -130,9 +130,9 @@ class Emitter:
             self.rows, self.bytes = [], 0
 
 
+@tidy()
 def local_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collapse the copies within an input partition."""
-    vacate()
     trie, out = PatriciaTrie(), Emitter()
     for batch in batches:
         for norm, chars, doc_id in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -143,9 +143,9 @@ def local_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
+@tidy()
 def owner_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the partial terminals of equal byte strings; rows come sorted by length and hash."""
-    vacate()
     trie, out, last = PatriciaTrie(), Emitter(), b""
     for batch in batches:
         for norm, chars, doc_id, rows, size, mixed in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):

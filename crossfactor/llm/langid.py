@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import fresh, sampled, text_or_empty, vacate
+from crossfactor.llm.common import fresh, sampled, text_or_empty, tidy
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -82,9 +82,9 @@ def grams(run: list[tuple[int, str, int]]) -> Iterator[np.ndarray]:
             yield ((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))[begins]
 
 
+@tidy()
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) rows to (lang, bucket, n) rows, summed within the batch; bucket -1 counts documents."""
-    vacate()
     for batch in batches:
         langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
@@ -142,8 +142,8 @@ def score(texts: list[str], table: np.ndarray, priors: np.ndarray) -> tuple[np.n
 
 
 def predictor(model):
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         names, table, priors = model.value
         for batch in batches:
             texts, known = batch.column(2).to_pylist(), np.array(batch.column(3).to_pylist(), bool)
@@ -184,8 +184,8 @@ def spoken(docs: DataFrame, sure: float, strange: float, sample_rows: int = SAMP
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text, known = docs.columns.index(next(c for c in docs.columns if c.lower() == "text")), len(docs.columns)
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         _, table, priors = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]

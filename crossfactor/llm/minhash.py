@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import fresh, sized, text_or_empty, vacate, working_tables, written
+from crossfactor.llm.common import fresh, sized, text_or_empty, tidy, working_tables, written
 from crossfactor.llm.hashing import U64, mixed, shingles, slices
 
 WIDTH = 5
@@ -92,8 +93,8 @@ def banded(held: np.ndarray, bands: int = BANDS) -> np.ndarray:
         return mixed(key + np.arange(bands, dtype=U64))
 
 
+@tidy()
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vacate()
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for begin, end in slices(texts):
@@ -136,19 +137,18 @@ def parted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@tidy()
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes with both texts: the pairs that are similar enough."""
-    vacate()
     last: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        nodes, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        need = {n: t for n, t in zip(nodes, texts, strict=True) if n not in last}
-        last = {n: last[n] for n in set(nodes) if n in last} | dict(zip(need, parted(list(need.values())), strict=True))
-        others = batch.column(3).to_pylist()
         keep = np.zeros(batch.num_rows, bool)
-        for begin, end in slices(others):
-            for i, right in zip(range(begin, end), parted(others[begin:end]), strict=True):
-                keep[i] = probability_jaccard(last[nodes[i]], right) >= SIMILARITY
+        sizes = sum(pc.binary_length(batch.column(k)).to_numpy() for k in (2, 3))
+        for begin, end in slices([range(n) for n in sizes.tolist()]):
+            nodes, _, texts, others = (c.to_pylist() for c in batch.slice(begin, end - begin).columns)
+            need = {n: t for n, t in zip(nodes, texts, strict=True) if n not in last}
+            last = {n: last[n] for n in set(nodes) if n in last} | dict(zip(need, parted(list(need.values())), strict=True))
+            keep[begin:end] = [probability_jaccard(last[n], right) >= SIMILARITY for n, right in zip(nodes, parted(others), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["__a", "__b"]).filter(pa.array(keep))
 
 
@@ -159,9 +159,9 @@ def similar(pairs: DataFrame, content: DataFrame) -> DataFrame:
     return both.select("__a", "__b", "__text_a", "__text_b").mapInArrow(verify, "__a binary, __b binary")
 
 
+@tidy()
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task; the root is the smallest node."""
-    vacate()
     above: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -267,8 +267,8 @@ def leader_pairs(rest: DataFrame, turn: int) -> DataFrame:
     return split(rest, ends).select("__node", "__label", F.explode("__ends").alias("__e")).where("__label <> __e.__of").select(*ordered(F.col("__node"), F.col("__e.__head")))
 
 
+@tidy()
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vacate()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for begin, end in slices(texts):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import text_or_empty, written
+from crossfactor.llm.common import text_or_empty, tidy, written
 from crossfactor.llm.hashing import slices
 from crossfactor.llm.tokens import encoder
 
@@ -44,6 +44,7 @@ PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 def cut(path: str, length: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy(keeps=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()

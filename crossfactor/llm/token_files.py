@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import shared_folder, text_or_empty, written
+from crossfactor.llm.common import shared_folder, text_or_empty, tidy, written
 from crossfactor.llm.hashing import slices
 from crossfactor.llm.tokens import encoder
 
@@ -140,6 +140,7 @@ def folder(path: str) -> tuple[pa.fs.FileSystem, str]:
 def writing(path: str, to: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy(keeps=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import text_or_empty, vacate, working_tables, written
+from crossfactor.llm.common import text_or_empty, tidy, working_tables, written
 from crossfactor.llm.hashing import U64, byte_spans, slices, span_hashes
 from crossfactor.llm.langid import held_out
 
@@ -108,8 +108,8 @@ def learn(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], labels: np
     return weights.astype(np.float32)
 
 
+@tidy()
 def trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vacate()
     bags, labels, worth = [], [], []
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -164,8 +164,8 @@ OFFENDING_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())
 
 
 def scorer(shared):
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for begin, end in slices(texts):
