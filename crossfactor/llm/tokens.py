@@ -22,8 +22,8 @@ import numpy as np
 from crossfactor.llm.common import SLICE_BYTES, Kept, resident
 from crossfactor.llm.hashing import slices
 
-#: Bytes that a worker's tables of chunks and of words take.
-CHUNK_BYTES, WORD_BYTES = 40 << 20, 16 << 20
+#: Bytes that a worker's tables of chunks and of words take, by style.
+TABLE_BYTES = {"words": (40 << 20, 16 << 20), "bytes": (96 << 20, 40 << 20)}
 #: ASCII punctuation that always ends a run of letters; the apostrophe does not, as in "can't".
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: A space between printable ASCII characters: no split of either style looks across it.
@@ -62,7 +62,7 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.style, self.letters = style, byte_letters()
         self.lead = chr(self.letters[ord(" ")]) if style == "bytes" else ""
-        self.chunks, self.words = Kept(CHUNK_BYTES), Kept(WORD_BYTES)
+        self.chunks, self.words = map(Kept, TABLE_BYTES[style])
 
     def raw(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
