@@ -22,7 +22,7 @@ nor go back. Runs of over 4,096 characters after a key word are data, not secret
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossfactor.llm.common import fresh
@@ -168,11 +168,20 @@ def pseudonym(key: str, m: str = "m") -> str:
     return named(d, "d", f"case when contains({m}, '@') then {mail} when {is_('address')} then {address} when {is_('date')} then {date} when {is_('social')} then {social} when {is_('card')} then {card} when {is_('phone')} or {is_('pairs')} or {is_('plus')} then {phone} when length({m}) >= 16 and regexp_like({m}, '[A-Za-z]') then {secret} else {m} end")
 
 
+def held(spark: SparkSession, key: str) -> DataFrame:
+    """The key as a local table of one row, which plans show without its values."""
+    values = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 1)
+    values[0] = key
+    rows = spark._jvm.java.util.ArrayList()
+    rows.add(spark._jvm.org.apache.spark.sql.RowFactory.create(values))
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, spark._jvm.org.apache.spark.sql.types.StructType.fromDDL("key string")), spark)
+
+
 def mask(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; with ``found``, also a column of that name for the number of values that were replaced."""
     match, new, secret = (fresh(docs, n) for n in ("match", "new", "key"))
     pattern, own = quoted(ALL), f"`{text}`"
-    out = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    out = docs.withColumn(secret, held(docs.sparkSession, key).scalar())
     out = out.withColumn(match, F.expr(f"case when regexp_like({own}, '{quoted(HINT)}') then regexp_extract_all({own}, '{pattern}', 0) else array() end"))
     out = out.withColumn(new, F.expr(f"transform({match}, m -> {pseudonym(secret)})"))
     between = f"split({own}, '{pattern}', -1)"

@@ -457,6 +457,14 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_no_plan_shows_the_key(spark):
+    own = spark.createDataFrame([(1, "card 4111111111111111")], "doc_id int, text string")
+    masked = pii.pseudonymise(own, "it's a key")
+    masked.collect()
+    plans = masked._jdf.queryExecution().toString()
+    assert "a key" not in plans and "LocalTableScan" in plans
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.sql("select cast(date_add(date'1800-01-01', cast(id as int)) as string) as text from range(0, 146097, 7)").withColumn("doc_id", F.lit(1))
     got = [r.text for r in pii.pseudonymise(days, "k").collect()]
