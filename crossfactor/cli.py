@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="crossfactor")
     out.add_argument("data_dir")
     out.add_argument("--config", required=True)
+    out.add_argument("--previews", action="store_true", help="show the first rows of each stage's table")
     for flag, key, kind in OVERRIDES:
         out.add_argument(flag, dest=key, type=kind)
     return out
@@ -80,7 +81,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     except (OSError, ValueError) as error:
         args.error(str(error))
     spark = spark or SparkSession.builder.appName("crossfactor").getOrCreate()
-    began, progress = time.monotonic(), TerminalProgress(6)
+    began, progress = time.monotonic(), TerminalProgress(6, previews=given["previews"])
     source = YearlyParquetSource(spark, given["data_dir"])
     window = analysis_window(source, config.run.years, config.run.end_date)
     model, weight, residualizer = models(config)
@@ -98,6 +99,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     with progress.stage("Write artifacts"):
         manifest = write_artifacts(result, config.output.directory)
     days = result.fitted.diagnostics().agg(F.count("*").alias("dates"), F.sum("n_observations").alias("rows"), F.min("n_observations").alias("least"), F.max("n_observations").alias("most"), F.min("date").alias("first"), F.max("date").alias("last")).first()
+    result.release()
     seconds = time.monotonic() - began
     progress.summary("\n".join(f"{r.artifact}: {r.rows:,} rows in {r.path}" for r in manifest.collect()))
     progress.summary(f"{days.dates:,} dates {days.first} to {days.last}, {days.least:,} to {days.most:,} names; {days.dates / seconds:.1f} fits/s, {days.rows / seconds:,.0f} rows/s, {size_text(days.rows * 8 * (2 + len(model.names)) / seconds)}/s")

@@ -1,8 +1,10 @@
 """Recursively updated market beta.
 
 Market returns, bootstrap betas, members, weights and base exposures are relational and parallel. Only
-the clipped recursion couples dates: one ordered scan a model key holds two arrays by ticker, reads betas
-before each date's fit and updates them after it, so all fits then run in parallel on its output.
+the clipped recursion couples dates, and it is serial within a model: one ordered scan a model key reads a
+date's rows at a time from a sorted partition, reads betas before that date's fit and updates them after it.
+It holds that date and two numbers a ticker, so its memory follows the tickers and not the history. All fits
+then run in parallel on its output, and models and markets scan beside one another.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +33,13 @@ def market_returns(panel: DataFrame, index: DataFrame | None = None, cap: str =
     return rows.groupBy("date").agg((F.sum(w * r) / F.sum(w)).alias("market_return"))
 
 
+def market_return_over(window: WindowSpec, cap: str = "lagged_cap") -> Column:
+    """The same as a column over a window of the index's rows."""
+    w, r = F.col(cap), F.col("return")
+    used = F.when(finite(w) & (w > 0) & finite(r), w)
+    return F.try_divide(F.sum(used * r).over(window), F.sum(used).over(window))
+
+
 @dataclass(frozen=True)
 class RecursiveBeta:
     """Adds the factor ``name`` after those of ``base``."""
@@ -83,47 +93,68 @@ class RecursiveBeta:
     def scan(self, rows: DataFrame, order: Sequence[str], winsor: float, unscaled: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
         """``rows`` (date, ticker, return, regression_weight, base factors, market_return, initial_beta) with the beta.
 
-        ``key`` columns name independent models or markets: each is scanned in a task of its own.
+        ``key`` columns name independent models or markets: each is a sorted run of rows in one task.
         """
         schema = T.StructType([*rows.schema.fields, T.StructField(self.name, T.DoubleType())])
-        keyed = rows.withColumn("__model", F.struct(*key) if key else F.lit(0))
-        scanned = keyed.groupBy("__model").applyInPandas(self._scanner(tuple(order), winsor, tuple(unscaled)), schema)
-        return scanned
-
-    def _scanner(self, order: tuple[str, ...], winsor: float, unscaled: tuple[str, ...]):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.drop(columns="__model").sort_values(["date", "ticker"], kind="stable").reset_index(drop=True)
-            slot, tickers = pd.factorize(group["ticker"])
-            first = group.groupby(slot)["initial_beta"].first().reindex(range(len(tickers))).to_numpy(float)
-            state = BetaState(self, np.where(np.isnan(first), self.initial_beta, first))
-            out = np.empty(len(group))
-            r, w, g = (group[c].to_numpy(float) for c in ("return", "regression_weight", "market_return"))
-            x = {n: group[n].to_numpy(float) for n in self.base.names}
-            edges = np.flatnonzero(np.concatenate(([True], (group["date"].to_numpy()[1:] != group["date"].to_numpy()[:-1])))).tolist() + [len(group)]
-            fitted = False
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                at = slot[a:b]
-                beta = out[a:b] = state.read(at)
-                table = np.column_stack([beta if n == self.name else x[n][a:b] for n in order])
-                found = fit(r[a:b], table, w[a:b], winsor, [n not in unscaled for n in order])
-                if found is None:
-                    if not fitted and usable(r[a:b], table, w[a:b]).sum() > 1 + len(order) and np.ptp(beta) == 0:
-                        raise ValueError(f"all {self.name} exposures are equal before the first fit: no ticker passed the bootstrap; lower min_periods or give more history")
-                    continue
-                fitted = True
-                state.update(at, r[a:b], g[a], found.coefficients[0], found.centers[order.index(self.name)])
-            return group.assign(**{self.name: out})
+        dealt = rows.repartition(*key) if key else rows.repartition(1)
+        return dealt.sortWithinPartitions(*key, "date", "ticker").mapInArrow(self._scanner(tuple(order), winsor, tuple(unscaled), tuple(key)), schema)
+
+    def _scanner(self, order: tuple[str, ...], winsor: float, unscaled: tuple[str, ...], key: tuple[str, ...]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, state, slots, fitted = None, None, {}, False
+            for name, part in equal_runs(batches, (*key, "date")):
+                if state is None or name[:-1] != model:
+                    model, state, slots, fitted = name[:-1], BetaState(self, np.zeros(0)), {}, False
+                r, w, g, given = (part[c].to_numpy() for c in ("return", "regression_weight", "market_return", "initial_beta"))
+                tickers, fresh = part["ticker"].to_pylist(), []
+                for ticker, beta in zip(tickers, given, strict=True):
+                    if ticker not in slots:
+                        slots[ticker] = len(slots)
+                        fresh.append(self.initial_beta if np.isnan(beta) else beta)
+                state.add(np.array(fresh, float))
+                at = np.array([slots[t] for t in tickers])
+                beta = state.read(at)
+                table = np.column_stack([beta if n == self.name else part[n].to_numpy() for n in order])
+                found = fit(r, table, w, winsor, [n not in unscaled for n in order])
+                if found is not None:
+                    fitted = True
+                    state.update(at, r, g[0], found.coefficients[0], found.centers[order.index(self.name)])
+                elif not fitted and usable(r, table, w).sum() > 1 + len(order) and np.ptp(beta) == 0:
+                    raise ValueError(f"all {self.name} exposures are equal before the first fit: no ticker passed the bootstrap; lower min_periods or give more history")
+                yield from part.append_column(self.name, pa.array(beta)).combine_chunks().to_batches()
 
         return run
 
 
+def equal_runs(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Neighbouring rows with equal values of ``columns``, and those values, over the bounds of batches."""
+    name, held = None, []
+    for batch in batches:
+        ends = sorted(set().union(*(pc.run_end_encode(batch[c]).run_ends.to_pylist() for c in columns)))
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+            own = tuple(batch[c][begin].as_py() for c in columns)
+            if held and own != name:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = own
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
 class BetaState:
     """Numerators and denominators by ticker slot."""
 
     def __init__(self, model: RecursiveBeta, betas: np.ndarray) -> None:
         self.model = model
-        self.numerators = betas * model.prior_variance
-        self.denominators = np.full(len(betas), model.prior_variance)
+        self.numerators = self.denominators = np.zeros(0)
+        self.add(betas)
+
+    def add(self, betas: np.ndarray) -> None:
+        """Slots for more tickers, at these betas."""
+        if len(betas):
+            self.numerators = np.append(self.numerators, betas * self.model.prior_variance)
+            self.denominators = np.append(self.denominators, np.full(len(betas), self.model.prior_variance))
 
     def read(self, slots: np.ndarray) -> np.ndarray:
         return self.numerators[slots] / self.denominators[slots]
@@ -139,11 +170,3 @@ class BetaState:
         numerator = self.model.decay * self.numerators[at] + market * target[valid]
         beta = np.clip(numerator / denominator, self.model.lower, self.model.upper)
         self.denominators[at], self.numerators[at] = denominator, beta * denominator
-
-
-def model_rows(groups: Iterator[DataFrame]) -> DataFrame:
-    """Union of the scans' inputs of several models, for one job over all of them."""
-    first, *rest = list(groups)
-    for other in rest:
-        first = first.unionByName(other)
-    return first

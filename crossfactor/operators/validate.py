@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import DataFrame
@@ -46,6 +47,12 @@ def count_not_finite(frame: DataFrame) -> DataFrame:
     return frame.agg(out.alias("bad"))
 
 
+def not_finite(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, bad): a row a table, in one job."""
+    counts = [count_not_finite(frame).select(F.lit(name).alias("table"), "bad") for name, frame in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def reconstruction_error(rows: DataFrame, count: int) -> DataFrame:
     """(max_error,): the largest difference between a return and its parts."""
     rest = F.col("return") - F.col("__f0") - F.col("specific_return")
@@ -97,7 +104,7 @@ class CoverageValidation:
 @dataclass(frozen=True)
 class FiniteOutputValidation:
     def validate(self, result: Result) -> ValidationResult:
-        bad = {name: int(count_not_finite(frame).first()[0]) for name, frame in result.tables().items()}
+        bad = {row["table"]: int(row["bad"]) for row in not_finite(result.tables()).collect()}
         return ValidationResult("finite_outputs", not any(bad.values()), f"{sum(bad.values())} values are not finite", {k: float(v) for k, v in bad.items()})
 
 

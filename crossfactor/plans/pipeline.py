@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.functions.columns import percentage_return, previous_session
-from crossfactor.operators.beta import RecursiveBeta, market_returns
+from crossfactor.functions.columns import by_date, percentage_return, previous_session
+from crossfactor.operators.beta import RecursiveBeta, market_return_over
 from crossfactor.operators.calendar import AnalysisWindow, history_start, with_ordinals
 from crossfactor.operators.factors import FactorModel
 from crossfactor.operators.fit import Fitted, GroupedResidualizer, Residualizer
@@ -17,7 +17,7 @@ from crossfactor.operators.universe import UniverseBuilder
 from crossfactor.operators.validate import Validation, ValidationError, ValidationResult
 from crossfactor.operators.weights import WeightModel
 from crossfactor.progress import NullProgress, Progress
-from crossfactor.sources.market import MarketDataSource
+from crossfactor.sources.market import MarketDataSource, require_unique
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,11 @@ class Result:
     universe: DataFrame
     validations: list[ValidationResult] = field(default_factory=list)
 
+    def release(self) -> None:
+        """Free what the run kept, once its tables are written."""
+        self.fitted.rows.unpersist()
+        self.universe.unpersist()
+
     def tables(self) -> dict[str, DataFrame]:
         f = self.fitted
         return {"epsilon": f.specific_returns(), "r": f.returns(), "X": f.exposures(), "f": f.factor_returns(), "diagnostics": f.diagnostics(), "regression_weights": f.regression_weights()}
@@ -42,11 +47,11 @@ def cross_sections(panel: DataFrame, universe: DataFrame, model: FactorModel, we
     base = model.base if isinstance(model, RecursiveBeta) else model
     rows = base.exposures(panel).withColumn("regression_weight", weights.column())
     members = universe.where("in_universe").select("date", "ticker")
-    kept = members.join(rows.select("date", "ticker", "return", "regression_weight", *base.names), ["date", "ticker"], "left")
+    kept = members.join(rows.select("date", "ticker", "return", "regression_weight", "lagged_cap", *base.names), ["date", "ticker"], "left")
     if not isinstance(model, RecursiveBeta):
-        return kept
-    # One row a session, and one row a ticker of the first snapshot's history: AQE decides on their measured sizes.
-    kept = kept.join(market_returns(panel, members), "date", "left").join(model.bootstrap(panel, universe), "ticker", "left")
+        return kept.drop("lagged_cap")
+    # The members' market return is a window over their own rows; the bootstrap has one row a ticker of the first snapshot's history.
+    kept = kept.withColumn("market_return", market_return_over(by_date())).drop("lagged_cap").join(model.bootstrap(panel, universe), "ticker", "left")
     winsor = getattr(residualizer, "winsor_quantile", 0.0)
     unscaled = getattr(residualizer, "unscaled_factors", ())
     return model.scan(kept, residualizer.factor_order, winsor, unscaled)
@@ -64,26 +69,50 @@ def run_pipeline(
     returns: Callable[[], Column] = percentage_return,
     progress: Progress | None = None,
 ) -> Result:
-    """Run all stages; raises ValidationError, with nothing written, if a check fails."""
+    """Run all stages; raises ValidationError, with nothing written, if a check fails.
+
+    The universe and the panel are read once and kept while the fits are made; the result keeps the fitted rows.
+    """
     if set(residualizer.factor_order) != set(factors.names):
         raise ValueError(f"the residualizer's factors {residualizer.factor_order} are not the model's {factors.names}")
     steps = progress or NullProgress()
-    with steps.stage("Build universe"):
-        universe = universe_builder.build(source, window).persist()
-    with steps.stage("Load market data"):
-        days = max(factors.history_business_days, weights.history_business_days)
-        panel = source.load(history_start(window.start, days), window.end, universe.select("ticker").distinct())
-    with steps.stage("Prepare factors"):
-        panel = prepared_panel(panel, returns)
-    with steps.stage("Residualize returns"):
-        fitted = residualizer.fit(cross_sections(panel, universe, factors, weights, residualizer))
-        # Five checks and four sinks read the fitted rows.
-        fitted = Fitted(fitted.rows.persist(), fitted.factors)
-        if fitted.rows.isEmpty():
-            raise ValueError("no dates had enough valid observations")
-    result = Result(fitted, universe)
-    with steps.stage("Validate outputs"):
-        found = [v.validate(result) for v in validations]
-    if failures := [f for f in found if not f.passed]:
-        raise ValidationError(failures)
+    held: list[DataFrame] = []
+
+    def kept(frame: DataFrame) -> DataFrame:
+        held.append(frame.persist())
+        return frame
+
+    try:
+        with steps.stage("Build universe"):
+            universe = kept(universe_builder.build(source, window))
+            steps.table("universe", universe)
+        with steps.stage("Load market data"):
+            days = max(factors.history_business_days, weights.history_business_days)
+            loaded = kept(source.load(history_start(window.start, days), window.end, universe.select("ticker").distinct()))
+            require_unique(loaded)
+            steps.table("panel", loaded)
+        with steps.stage("Prepare factors"):
+            panel = kept(prepared_panel(loaded, returns))
+        with steps.stage("Residualize returns"):
+            fitted = residualizer.fit(cross_sections(panel, universe, factors, weights, residualizer))
+            # Five checks and four sinks read the fitted rows.
+            fitted = Fitted(kept(fitted.rows), fitted.factors)
+            if fitted.rows.isEmpty():
+                raise ValueError("no dates had enough valid observations")
+            steps.table("fitted", fitted.specific_returns())
+        result = Result(fitted, universe)
+        with steps.stage("Validate outputs"):
+            found = []
+            for check in validations:
+                found.append(check.validate(result))
+                steps.update(f"{found[-1].name}: {found[-1].message}")
+        if failures := [f for f in found if not f.passed]:
+            raise ValidationError(failures)
+    except BaseException:
+        for frame in held:
+            frame.unpersist()
+        raise
+    # The fitted rows are complete in the cache once a check has read them all.
+    for frame in (panel, loaded):
+        frame.unpersist()
     return Result(fitted, universe, found)

@@ -8,10 +8,21 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Protocol, TextIO
 
+from pyspark.sql import DataFrame
+
+from crossfactor.operators.report import profile
+
+#: Rows of a table that a preview shows.
+PREVIEW = 3
+
 
 class Progress(Protocol):
     def stage(self, name: str): ...
 
+    def update(self, text: str) -> None: ...
+
+    def table(self, name: str, frame: DataFrame) -> None: ...
+
     def summary(self, text: str) -> None: ...
 
 
@@ -20,15 +31,25 @@ class NullProgress:
     def stage(self, name: str) -> Iterator[None]:
         yield
 
+    def update(self, text: str) -> None:
+        pass
+
+    def table(self, name: str, frame: DataFrame) -> None:
+        pass
+
     def summary(self, text: str) -> None:
         pass
 
 
 class TerminalProgress:
-    """A line when a stage begins and ends; colors only on a terminal."""
+    """A line when a stage begins and ends, and at most one in ``every`` seconds within it; colors only on a terminal.
 
-    def __init__(self, total: int, stream: TextIO | None = None, color: bool | None = None) -> None:
+    ``previews`` shows of each stage's table the counts and the first rows, at the price of a job.
+    """
+
+    def __init__(self, total: int, stream: TextIO | None = None, color: bool | None = None, previews: bool = False, every: float = 0.5) -> None:
         self.total, self.done, self.stream = total, 0, stream or sys.stderr
+        self.previews, self.every, self.shown = previews, every, float("-inf")
         self.color = self.stream.isatty() if color is None else color
 
     def paint(self, text: str, code: int) -> str:
@@ -46,5 +67,17 @@ class TerminalProgress:
             raise
         print(self.paint(f"{label} done in {time.monotonic() - began:.1f} s", 32), file=self.stream, flush=True)
 
+    def update(self, text: str) -> None:
+        now = time.monotonic()
+        if now - self.shown >= self.every:
+            self.shown = now
+            print(f"  {text}", file=self.stream, flush=True)
+
+    def table(self, name: str, frame: DataFrame) -> None:
+        if self.previews:
+            counts = ", ".join(f"{value:,} {what}" for what, value in profile(frame).first().asDict().items())
+            rows = "\n".join("    " + ", ".join(f"{k}={v}" for k, v in row.asDict().items()) for row in frame.limit(PREVIEW).collect())
+            print(f"  {name}: {counts}\n{rows}", file=self.stream, flush=True)
+
     def summary(self, text: str) -> None:
         print(text, file=self.stream, flush=True)

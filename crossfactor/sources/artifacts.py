@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from crossfactor.plans.pipeline import Result
 
 NAMES = ("epsilon", "r", "X", "f")
 
 
-def rename(df: DataFrame, source: str, target: str) -> None:
-    """Move a folder within its file system; the target is replaced."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(path(target), True)
-    if not fs.rename(path(source), path(target)):
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder in the place of another of its file system. The old one goes only once the new one stands there, and comes back if that fails."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, place, old = path(source), path(target), path(f"{target}.old-{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(place)
+    if had and not fs.rename(place, old):
+        raise OSError(f"cannot set {target} aside")
+    if not fs.rename(new, place):
+        if had:
+            fs.rename(old, place)
         raise OSError(f"cannot move {source} to {target}")
+    if had:
+        fs.delete(old, True)
 
 
 def write_artifacts(result: Result, directory: str, files: int | None = None) -> DataFrame:
@@ -28,14 +35,16 @@ def write_artifacts(result: Result, directory: str, files: int | None = None) ->
     tables, rows = result.tables(), []
     staging = f"{directory}/.staging-{uuid.uuid4().hex}"
     spark = result.universe.sparkSession
-    for name in NAMES:
-        out = tables[name] if files is None else tables[name].coalesce(files)
-        out.write.option("compression", "zstd").parquet(f"{staging}/{name}.parquet")
-    for name in NAMES:
-        rename(result.universe, f"{staging}/{name}.parquet", f"{directory}/{name}.parquet")
-        rows.append((name, spark.read.parquet(f"{directory}/{name}.parquet").count(), f"{directory}/{name}.parquet"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        for name in NAMES:
+            out = tables[name] if files is None else tables[name].coalesce(files)
+            out.write.option("compression", "zstd").parquet(f"{staging}/{name}.parquet")
+        for name in NAMES:
+            replace(spark, f"{staging}/{name}.parquet", f"{directory}/{name}.parquet")
+            rows.append((name, spark.read.parquet(f"{directory}/{name}.parquet").count(), f"{directory}/{name}.parquet"))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return spark.createDataFrame(rows, "artifact string, rows long, path string")
 
 
