@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossfactor.operators import beta, calendar, factors, fit, report, universe, validate, weights
-from crossfactor.plans.pipeline import cross_sections, prepared_panel
+from crossfactor.functions.columns import padded_ticker
+from crossfactor.plans.pipeline import Result, cross_sections, prepared_panel, run_pipeline
 from crossfactor.sources.market import FrameSource, event_panel, weekly_panel
 from crossfactor.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-WINDOW = calendar.AnalysisWindow(dt.date(1996, 7, 1), dt.date(2001, 7, 1))
-SIZE, WINSOR = 60, 0.01
+#: All sessions that have the history of the beta's bootstrap before them.
+WINDOW = calendar.AnalysisWindow(dt.date(1995, 7, 3), dt.date(2001, 12, 31))
+#: Names of the universe that fits, beta and reports work on, as in a production run; and of the short lists.
+SIZE, LIST = 1000, 60
+WINSOR = 0.01
 MOMENTUM, REVERSAL, BETA = (12, 4, 8), (52, 13, 39), (26, 13, 0.97)
 ORDER = ("SIZE", "MOM")
 MODEL = factors.CharacteristicModel((factors.size_factor(), factors.momentum_factor(*MOMENTUM)))
@@ -30,10 +34,15 @@ def rounded(frame: DataFrame, digits: int = 8) -> DataFrame:
     return frame.select(*(((F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in frame.schema.fields))
 
 
-#: Shared DuckDB CTEs: the weekly panel, its windows, universe and two-factor fit.
-CTES = f"""
+def padded_sql(key: str) -> str:
+    return f"CASE WHEN length({key}::VARCHAR) < 6 THEN lpad({key}::VARCHAR, 6, '0') ELSE {key}::VARCHAR END"
+
+
+def ctes(size: int = SIZE) -> str:
+    """Shared DuckDB CTEs: the weekly panel, its windows, a universe of so many names, and the two-factor fit."""
+    return f"""
 panel AS (
-  SELECT date_trunc('week', l_shipdate)::DATE AS date, lpad(l_suppkey::VARCHAR, 6, '0') AS ticker,
+  SELECT date_trunc('week', l_shipdate)::DATE AS date, {padded_sql("l_suppkey")} AS ticker,
          100 * (avg(l_tax::DOUBLE) - avg(l_discount::DOUBLE)) AS return_percent,
          sum(l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE)) AS market_cap
   FROM lineitem GROUP BY 1, 2),
@@ -57,7 +66,7 @@ uni AS (
   SELECT eff.date, ticker, row_number() OVER (PARTITION BY eff.date ORDER BY market_cap DESC, ticker) AS member_rank
   FROM panel JOIN eff ON panel.date = eff.snap
   WHERE eff.date BETWEEN DATE '{WINDOW.start}' AND DATE '{WINDOW.end}'
-  QUALIFY member_rank <= {SIZE}),
+  QUALIFY member_rank <= {size}),
 u0 AS (
   SELECT date, ticker, ret, w, size_x, mom_x, count(*) OVER (PARTITION BY date) AS n
   FROM uni JOIN x USING (date, ticker) WHERE ret IS NOT NULL AND w > 0 AND size_x IS NOT NULL AND mom_x IS NOT NULL),
@@ -79,23 +88,28 @@ fr AS (SELECT date, any_value(a) AS i, any_value(f1) AS f1, any_value(f2) AS f2
 """
 
 
-def oracle(name: str, sql: str, digits: int = 8, doubles: str = "") -> None:
+def oracle(name: str, sql: str, digits: int = 8, doubles: str = "", size: int = SIZE) -> None:
     """SQL of a query: ``doubles`` names the columns to round."""
     names = doubles.split()
     replaced = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in names)
-    ORACLE[name] = f"WITH {CTES.strip()} SELECT * {f'REPLACE ({replaced})' if names else ''} FROM ({sql}) _o"
+    ORACLE[name] = f"WITH {ctes(size).strip()} SELECT * {f'REPLACE ({replaced})' if names else ''} FROM ({sql}) _o"
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly_panel(spark, sf_dir)
 
 
+def source(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """The panel, kept: universes, lags, bootstrap and sections of a query read it several times."""
+    return FrameSource(panel(spark, sf_dir).persist())
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepared_panel(panel(spark, sf_dir))
+    return prepared_panel(source(spark, sf_dir).frame)
 
 
 def daily_universe(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
-    return universe.DailyTopUniverse(size).build(FrameSource(panel(spark, sf_dir)), WINDOW)
+    return universe.DailyTopUniverse(size).build(source(spark, sf_dir), WINDOW)
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,15 +123,29 @@ def fitted(spark: SparkSession, sf_dir: str) -> fit.Fitted:
     return RESIDUALIZER.fit(sections(spark, sf_dir))
 
 
-def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, doubles: str = "", digits: int = 8) -> None:
+def disturbed(spark: SparkSession, sf_dir: str) -> fit.Fitted:
+    """Fits whose residuals are off by a thousandth of the return, so that the checks' values are not all zero."""
+    own = fitted(spark, sf_dir)
+    return fit.Fitted(own.rows.withColumn("specific_return", F.col("specific_return") + F.col("return") / 1000), own.factors)
+
+
+def with_holes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a run whose residuals are null and returns infinite for some tickers."""
+    own = fitted(spark, sf_dir)
+    ends = lambda digit: F.col("ticker").endswith(digit)
+    rows = own.rows.withColumn("specific_return", F.when(~ends("7"), F.col("specific_return"))).withColumn("return", F.when(ends("3"), F.lit(float("inf"))).otherwise(F.col("return")))
+    return Result(fit.Fitted(rows, own.factors), rows).tables()
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, doubles: str = "", digits: int = 8, size: int = SIZE) -> None:
     QUERIES[name] = lambda spark, sf_dir: rounded(run(spark, sf_dir), digits)
     if sql is not None:
-        oracle(name, sql, digits, doubles)
+        oracle(name, sql, digits, doubles, size)
 
 
 register("panel", panel, "SELECT * FROM panel", "return_percent market_cap", 6)
-ORACLE["panel_events"] = """
-SELECT ts::DATE AS date, lpad(user_id::VARCHAR, 6, '0') AS ticker, round(avg(value) / 10 - 5, 6) + 0.0 AS return_percent, round(sum(value), 6) + 0.0 AS market_cap
+ORACLE["panel_events"] = f"""
+SELECT ts::DATE AS date, {padded_sql("user_id")} AS ticker, round(avg(value) / 10 - 5, 6) + 0.0 AS return_percent, round(sum(value), 6) + 0.0 AS market_cap
 FROM events GROUP BY 1, 2"""
 register("panel_events", event_panel, None, digits=6)
 register("calendar", lambda s, d: calendar.sessions(panel(s, d)), "SELECT date, k::INT AS k FROM cal")
@@ -127,13 +155,13 @@ register("scan_range_tickers", lambda s, d: FrameSource(panel(s, d)).load(dt.dat
 register("prev_session_lag", lambda s, d: calendar.previous_session_values(panel(s, d), "market_cap"), "SELECT date, ticker, lagged_cap AS previous FROM p", "previous", 6)
 register(
     "universe_fixed",
-    lambda s, d: universe.FixedTopUniverse(SIZE).build(FrameSource(panel(s, d)), WINDOW),
+    lambda s, d: universe.FixedTopUniverse(LIST).build(FrameSource(panel(s, d)), WINDOW),
     f"""SELECT c.date, m.ticker, true AS in_universe, m.member_rank::INT AS member_rank FROM cal c,
     (SELECT ticker, row_number() OVER (ORDER BY market_cap DESC, ticker) AS member_rank FROM panel
-     WHERE market_cap > 0 AND date = (SELECT max(date) FROM panel WHERE date < (SELECT min(date) FROM cal WHERE date >= '{WINDOW.start}')) QUALIFY member_rank <= {SIZE}) m
+     WHERE market_cap > 0 AND date = (SELECT max(date) FROM panel WHERE date < (SELECT min(date) FROM cal WHERE date >= '{WINDOW.start}')) QUALIFY member_rank <= {LIST}) m
     WHERE c.date BETWEEN '{WINDOW.start}' AND '{WINDOW.end}'""",
 )
-register("universe_daily", daily_universe, "SELECT date, ticker, true AS in_universe, member_rank::INT AS member_rank FROM uni")
+register("universe_daily", lambda s, d: daily_universe(s, d, LIST), "SELECT date, ticker, true AS in_universe, member_rank::INT AS member_rank FROM uni", size=LIST)
 register("universe_dates", lambda s, d: universe.universe_dates(daily_universe(s, d)), "SELECT DISTINCT date FROM uni")
 register("returns", lambda s, d: prepared(s, d).select("date", "ticker", "return"), 'SELECT date, ticker, ret AS "return" FROM p', '"return"')
 for name, factor, column in (
@@ -146,12 +174,12 @@ for name, factor, column in (
     register(name, lambda s, d, f=factor: factors.CharacteristicModel((f,)).exposures(prepared(s, d)).select("date", "ticker", F.col(f.name).alias("exposure")), f"SELECT date, ticker, {column} AS exposure FROM x", "exposure")
 register(
     "exposures_dense",
-    lambda s, d: MODEL.dense(prepared(s, d)).where("SIZE is not null and MOM is not null"),
-    f"""SELECT date, ticker, ln(c) AS "SIZE", m AS "MOM" FROM (
+    lambda s, d: MODEL.dense(prepared(s, d)),
+    f"""SELECT date, ticker, CASE WHEN c > 0 THEN ln(c) END AS "SIZE", m AS "MOM" FROM (
       SELECT g.date, g.ticker, lag(market_cap) OVER (PARTITION BY g.ticker ORDER BY g.k) AS c,
              CASE WHEN count(ret) OVER m >= {MOMENTUM[2]} THEN exp(sum(ln(1 + ret)) OVER m) - 1 END AS m
       FROM (SELECT date, k, ticker FROM cal, (SELECT DISTINCT ticker FROM panel)) g LEFT JOIN p USING (date, ticker)
-      WINDOW m AS (PARTITION BY g.ticker ORDER BY g.k ROWS BETWEEN {sum(MOMENTUM[:2]) - 1} PRECEDING AND {MOMENTUM[1]} PRECEDING)) WHERE c > 0 AND m IS NOT NULL""",
+      WINDOW m AS (PARTITION BY g.ticker ORDER BY g.k ROWS BETWEEN {sum(MOMENTUM[:2]) - 1} PRECEDING AND {MOMENTUM[1]} PRECEDING))""",
     '"SIZE" "MOM"',
 )
 register("weights_sqrt_cap", lambda s, d: prepared(s, d).select("date", "ticker", weights.SquareRootCapWeights().column().alias("regression_weight")), "SELECT date, ticker, w AS regression_weight FROM x", "regression_weight", 6)
@@ -177,16 +205,26 @@ register("sequential_fit_r", lambda s, d: fitted(s, d).returns(), 'SELECT date,
 register("fit_weights", lambda s, d: fitted(s, d).regression_weights(), "SELECT date, ticker, w AS regression_weight FROM e", "regression_weight", 6)
 register("ols_fit", lambda s, d: fit.joint_ols(ORDER, WINSOR).fit(sections(s, d)).factor_returns(), 'SELECT date, any_value(a) AS "INTERCEPT", any_value((b1 * g22 - b2 * g12) / (g11 * g22 - g12 * g12)) AS "SIZE", any_value((b2 * g11 - b1 * g12) / (g11 * g22 - g12 * g12)) AS "MOM" FROM u6 GROUP BY date', '"INTERCEPT" "SIZE" "MOM"')
 register("ols_fit_epsilon", lambda s, d: fit.joint_ols(ORDER, WINSOR).fit(sections(s, d)).specific_returns(), "SELECT date, ticker, eps AS specific_return FROM e", "specific_return")
-register("sequential_ols_f", lambda s, d: fit.sequential_ols(("SIZE",)).fit(sections(s, d).where(fit.all_finite(ORDER)).withColumn("regression_weight", F.lit(1.0))).factor_returns(), 'SELECT date, avg(ret) AS "INTERCEPT", covar_pop(ret, size_x) / stddev_pop(size_x) AS "SIZE" FROM u0 GROUP BY date HAVING count(*) > 2', '"INTERCEPT" "SIZE"')
 register("kernel_fit_f", lambda s, d: fit.kernel_residualizer(ORDER, WINSOR).fit(sections(s, d)).factor_returns(), 'SELECT date, i AS "INTERCEPT", f1 AS "SIZE", f2 AS "MOM" FROM fr', '"INTERCEPT" "SIZE" "MOM"')
 register("diagnostics", lambda s, d: fitted(s, d).diagnostics(), "SELECT date, count(*) AS n_observations, 3::INT AS rank, 1 - sum(w * eps * eps) / sum(w * (ret - a) ** 2) AS r_squared, sum(w * eps) / sum(w) AS residual_mean FROM e GROUP BY date", "r_squared residual_mean")
-register("reconstruction", lambda s, d: validate.reconstruction_error(fitted(s, d).rows, 2).select((F.col("max_error") <= 1e-12).alias("passed")), "SELECT max(abs(ret - a - f1 * q1 - f2 * q2 - eps)) <= 1e-12 AS passed FROM e")
-register("orthogonality", lambda s, d: validate.moments(fitted(s, d).rows, 2), "SELECT date, abs(sum(w * eps) / sum(w)) AS m0, abs(sum(w * q1 * eps) / sum(w)) AS m1, abs(sum(w * q2 * eps) / sum(w)) AS m2 FROM e GROUP BY date", "m0 m1 m2")
-register("stage_moments", lambda s, d: validate.stage_moments(fitted(s, d).rows, 2), "SELECT date, abs(sum(w * (ret - a)) / sum(w)) AS m0, abs(sum(w * q1 * (ret - a - f1 * q1)) / sum(w)) AS m1, abs(sum(w * q2 * eps) / sum(w)) AS m2 FROM e GROUP BY date", "m0 m1 m2")
-register("finite_outputs", lambda s, d: validate.count_not_finite(fitted(s, d).specific_returns()), "SELECT count(*) FILTER (eps IS NULL OR NOT isfinite(eps)) AS bad FROM e")
+#: Residuals as ``disturbed`` has them.
+OFF = "(SELECT * REPLACE (eps + ret / 1000 AS eps) FROM e)"
+register("reconstruction", lambda s, d: validate.reconstruction_error(disturbed(s, d).rows, 2), f"SELECT max(abs(ret - a - f1 * q1 - f2 * q2 - eps)) AS max_error FROM {OFF}", "max_error")
+register("orthogonality", lambda s, d: validate.moments(disturbed(s, d).rows, 2), f"SELECT date, abs(sum(w * eps) / sum(w)) AS m0, abs(sum(w * q1 * eps) / sum(w)) AS m1, abs(sum(w * q2 * eps) / sum(w)) AS m2 FROM {OFF} GROUP BY date", "m0 m1 m2", 10)
+register(
+    "stage_moments",
+    lambda s, d: validate.stage_moments(fitted(s, d).rows.withColumn("return", F.col("return") + F.col("__q1") / 1000), 2),
+    "SELECT date, abs(sum(w * (r - a)) / sum(w)) AS m0, abs(sum(w * q1 * (r - a - f1 * q1)) / sum(w)) AS m1, abs(sum(w * q2 * (r - a - f1 * q1 - f2 * q2)) / sum(w)) AS m2 FROM (SELECT *, ret + q2 / 1000 AS r FROM e) GROUP BY date",
+    "m0 m1 m2",
+    10,
+)
+register("finite_outputs", lambda s, d: validate.not_finite(with_holes(s, d)), """SELECT * FROM (VALUES ('X', 0), ('f', 0), ('regression_weights', 0), ('diagnostics', 0)) t("table", bad)
+  UNION ALL SELECT 'epsilon', count(*) FILTER (ticker LIKE '%7') FROM e
+  UNION ALL SELECT 'r', count(*) FILTER (ticker LIKE '%3') FROM e""")
+register("passed_checks", lambda s, d: validate.reconstruction_error(fitted(s, d).rows, 2).select((F.col("max_error") <= 1e-12).alias("passed")), "SELECT max(abs(ret - a - f1 * q1 - f2 * q2 - eps)) <= 1e-12 AS passed FROM e")
 register("coverage", lambda s, d: fitted(s, d).rows.agg(F.count_distinct("date").alias("fitted")).crossJoin(daily_universe(s, d).agg(F.count_distinct("date").alias("expected"))).withColumn("coverage", F.col("fitted") / F.col("expected")), "SELECT *, fitted / expected AS coverage FROM (SELECT count(DISTINCT date) AS fitted FROM e), (SELECT count(DISTINCT date) AS expected FROM uni)", "coverage")
-register("turnover", lambda s, d: report.turnover(daily_universe(s, d)), """SELECT date, count(*) FILTER (b.ticker IS NULL) AS entered, count(*) AS members, count(*) FILTER (b.ticker IS NULL) / count(*) AS turnover
-  FROM (SELECT date, ticker, dense_rank() OVER (ORDER BY date) AS k FROM uni) a LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY date) + 1 AS k FROM uni) b USING (ticker, k) WHERE k > 1 GROUP BY date""", "turnover")
+register("turnover", lambda s, d: report.turnover(daily_universe(s, d, LIST)), """SELECT date, count(*) FILTER (b.ticker IS NULL) AS entered, count(*) AS members, count(*) FILTER (b.ticker IS NULL) / count(*) AS turnover
+  FROM (SELECT date, ticker, dense_rank() OVER (ORDER BY date) AS k FROM uni) a LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY date) + 1 AS k FROM uni) b USING (ticker, k) WHERE k > 1 GROUP BY date""", "turnover", size=LIST)
 register("autocorr", lambda s, d: report.autocorrelation(fitted(s, d).specific_returns(), "specific_return"), """SELECT ticker, count(*) AS pairs, corr(eps, prev) AS autocorrelation FROM (
   SELECT ticker, eps, CASE WHEN lag(k) OVER w = k - 1 THEN lag(eps) OVER w END AS prev FROM (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM e) WINDOW w AS (PARTITION BY ticker ORDER BY k)) WHERE prev IS NOT NULL GROUP BY ticker HAVING count(*) >= 60""", "autocorrelation")
 register("cap_coverage", lambda s, d: report.cap_coverage(panel(s, d), (5, 20, 50)), "SELECT date, sum(market_cap) FILTER (r <= 5) / sum(market_cap) AS share_5, sum(market_cap) FILTER (r <= 20) / sum(market_cap) AS share_20, sum(market_cap) FILTER (r <= 50) / sum(market_cap) AS share_50 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY market_cap DESC, ticker) AS r FROM panel WHERE market_cap > 0) GROUP BY date", "share_5 share_20 share_50")
@@ -200,8 +238,8 @@ register("table_profile", lambda s, d: report.profile(fitted(s, d).specific_retu
 register("observation_range", lambda s, d: fitted(s, d).diagnostics().agg(F.min("n_observations").alias("least"), F.max("n_observations").alias("most"), F.min("date").alias("first"), F.max("date").alias("last")), "SELECT min(n) AS least, max(n) AS most, min(date) AS first, max(date) AS last FROM (SELECT date, count(*) AS n FROM e GROUP BY date)")
 
 
-def beta_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_sections(prepared(spark, sf_dir), daily_universe(spark, sf_dir), BETA_MODEL, weights.SquareRootCapWeights(), BETA_RESIDUALIZER)
+def beta_sections(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+    return cross_sections(prepared(spark, sf_dir), daily_universe(spark, sf_dir, size), BETA_MODEL, weights.SquareRootCapWeights(), BETA_RESIDUALIZER)
 
 
 BETA_RESIDUALIZER = fit.sequential_wls(BETA_ORDER, WINSOR, ("MKT",))
@@ -225,15 +263,88 @@ BETA_SQL = f"""WITH RECURSIVE {BOOT},
         SELECT *, least(greatest(b, quantile_cont(CASE WHEN uw IS NOT NULL THEN b END, 0.01::DOUBLE) OVER ()), quantile_cont(CASE WHEN uw IS NOT NULL THEN b END, 0.99::DOUBLE) OVER ()) AS bw FROM (
           SELECT s.j, s.ticker, nn, dd, nn / dd AS b, member, ret, uw, a, max(n) OVER () AS n, g FROM s JOIN grid ON grid.j = s.j AND grid.ticker = s.ticker)))))
 SELECT days.date, s.ticker, nn / dd AS beta FROM s JOIN days USING (j) JOIN mem ON mem.j = s.j AND mem.ticker = s.ticker"""
+
+
+def fit_sql(rows: str, factors: Sequence[tuple[str, str, bool]]) -> str:
+    """CTEs of a sequential weighted fit of ``rows`` (date, ticker, ret, w and factor columns), with coefficients i and f1... .
+
+    ``factors``: name, column, scaled. Each step removes a factor's direction from the returns and from the factors after it.
+    """
+    n, date = range(1, len(factors) + 1), "OVER (PARTITION BY date)"
+    low = ", ".join(f"least(greatest({c}, quantile_cont({c}, {WINSOR}::DOUBLE) {date}), quantile_cont({c}, {1 - WINSOR}::DOUBLE) {date}) AS x{j}" for j, (_, c, _) in zip(n, factors, strict=True))
+    out = [
+        f"g0 AS (SELECT date, ticker, ret, w, {low} FROM (SELECT *, count(*) {date} AS n FROM ({rows})) WHERE n > {len(factors) + 1})",
+        "g1 AS (SELECT *, " + ", ".join(f"x{j} - sum(w * x{j}) {date} / sum(w) {date} AS y{j}" for j in n) + f", sum(w * ret) {date} / sum(w) {date} AS i FROM g0)",
+        "s0 AS (SELECT date, ticker, ret, w, i, ret - i AS rest, " + ", ".join(f"y{j} / sqrt(sum(w * y{j} ** 2) {date} / sum(w) {date}) AS z{j}" if scaled else f"y{j} AS z{j}" for j, (_, _, scaled) in zip(n, factors, strict=True)) + " FROM g1)",
+    ]
+    for j in n:
+        later = "".join(f", z{k} - sum(w * z{j} * z{k}) {date} / sum(w * z{j} ** 2) {date} * z{j} AS z{k}" for k in n if k > j)
+        before = "".join(f", z{k}" for k in n if k <= j) + "".join(f", f{k}" for k in n if k < j)
+        out.append(f"a{j} AS (SELECT *, sum(w * z{j} * rest) {date} / sum(w * z{j} ** 2) {date} AS f{j} FROM s{j - 1}), s{j} AS (SELECT date, ticker, ret, w, i, rest - f{j} * z{j} AS rest{before}, f{j}{later} FROM a{j})")
+    return ", ".join(out)
+
+
+#: The ordered fit without weights; at 12 digits, as means of few short decimals end at the eighth.
+OLS_FIT = fit_sql("SELECT date, ticker, ret, 1 AS w, size_x, mom_x FROM u0", (("SIZE", "size_x", True), ("MOM", "mom_x", True)))
+register("sequential_ols_f", lambda s, d: fit.sequential_ols(ORDER, WINSOR).fit(sections(s, d).where(fit.all_finite(ORDER)).withColumn("regression_weight", F.lit(1.0))).factor_returns(), f'WITH {OLS_FIT} SELECT date, any_value(i) AS "INTERCEPT", any_value(f1) AS "SIZE", any_value(f2) AS "MOM" FROM s2 GROUP BY date', '"INTERCEPT" "SIZE" "MOM"', 12)
+BETA_FIT = fit_sql(f"SELECT u0.*, beta FROM u0 JOIN ({BETA_SQL}) USING (date, ticker)", (("MKT", "beta", False), ("SIZE", "size_x", True), ("MOM", "mom_x", True)))
 register("recursive_beta", lambda s, d: beta_sections(s, d).select("date", "ticker", F.col("MKT").alias("beta")), BETA_SQL, "beta")
-register("beta_fit_f", lambda s, d: BETA_RESIDUALIZER.fit(beta_sections(s, d)).factor_returns())
+register("beta_fit_f", lambda s, d: BETA_RESIDUALIZER.fit(beta_sections(s, d)).factor_returns(), f'WITH {BETA_FIT} SELECT date, any_value(i) AS "INTERCEPT", any_value(f1) AS "MKT", any_value(f2) AS "SIZE", any_value(f3) AS "MOM" FROM s3 GROUP BY date', '"INTERCEPT" "MKT" "SIZE" "MOM"')
+
+
+def two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betas of two models, the long universe and the short list, scanned side by side in one job."""
+    names = ("date", "ticker", "return", "regression_weight", *BETA_MODEL.base.names, "market_return", "initial_beta")
+    rows = [beta_sections(spark, sf_dir, size).select(F.lit(size).alias("names"), *names) for size in (SIZE, LIST)]
+    return BETA_MODEL.scan(rows[0].unionByName(rows[1]), BETA_ORDER, WINSOR, ("MKT",), ("names",)).select("names", "date", "ticker", F.col("MKT").alias("beta"))
+
+
+register("beta_two_models", two_models)
+ORACLE["beta_two_models"] = " UNION ALL ".join(f"SELECT {size}::INT AS names, date, ticker, round(beta, 8) + 0.0 AS beta FROM (WITH {ctes(size).strip()} SELECT * FROM ({BETA_SQL}))" for size in (SIZE, LIST))
+
+
+MONDAY = dt.date(1990, 1, 1)
+
+
+def dated_by_day(spark: SparkSession, sf_dir: str, start: dt.date) -> tuple[FrameSource, calendar.AnalysisWindow]:
+    """The panel with its weeks dated as business days, by which runs count history, and the window from ``start`` on."""
+    own = source(spark, sf_dir).frame
+    before = own.where(F.col("date") < F.lit(start)).agg(F.count_distinct("date")).first()[0]
+    daily = calendar.with_ordinals(own).withColumn("date", F.date_add(F.lit(MONDAY), F.expr("cast((k - 1) div 5 * 7 + (k - 1) % 5 as int)")))
+    return FrameSource(daily), calendar.AnalysisWindow(MONDAY + dt.timedelta(days=before // 5 * 7 + before % 5), dt.date(2100, 1, 1))
+
+
+CHECKS = (validate.CoverageValidation(0.9), validate.FiniteOutputValidation(), validate.ReconstructionValidation(), validate.OrthogonalityValidation(), validate.SequentialOrthogonalityValidation())
+
+
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from source to checked tables: their rows and sums."""
+    daily, window = dated_by_day(spark, sf_dir, WINDOW.start)
+    result = run_pipeline(source=daily, window=window, universe_builder=universe.DailyTopUniverse(SIZE), factors=BETA_MODEL, weights=weights.SquareRootCapWeights(), residualizer=BETA_RESIDUALIZER, validations=CHECKS)
+    tables = result.tables()
+    f, e = tables["f"], tables["epsilon"]
+    return e.agg(F.count("*").alias("rows"), F.sum(F.abs("specific_return")).alias("residuals")).join(f.agg(F.count("*").alias("dates"), F.sum(F.abs("MKT")).alias("market"), F.sum(F.abs("MOM")).alias("momentum")))
+
+
+register("whole_run", whole_run, f"WITH {BETA_FIT} SELECT * FROM (SELECT count(*) AS rows, sum(abs(rest)) AS residuals FROM s3), (SELECT count(*) AS dates, sum(abs(f2)) AS market, sum(abs(f3)) AS momentum FROM (SELECT date, any_value(f1) AS f2, any_value(f3) AS f3 FROM s3 GROUP BY date))", "residuals market momentum", 7)
+register("padded_codes", lambda s, d: panel(s, d).select(F.expr("cast(cast(ticker as bigint) * 7919 as string)").alias("code")).distinct().select("code", padded_ticker(F.col("code")).alias("ticker")), f"SELECT code, {padded_sql('code')} AS ticker FROM (SELECT DISTINCT (ticker::BIGINT * 7919)::VARCHAR AS code FROM panel)")
+def as_text(field: T.StructField) -> Column:
+    """Times and lists as text, other columns as they are."""
+    if isinstance(field.dataType, T.TimestampType):
+        return F.date_format(field.name, "yyyy-MM-dd HH:mm:ss").alias(field.name)
+    if isinstance(field.dataType, T.ArrayType):
+        own = F.col(field.name)
+        return F.array_join(F.transform(own, lambda v: v.cast("decimal(24,3)")) if isinstance(field.dataType.elementType, T.DoubleType) else own, " ").alias(field.name)
+    return F.col(field.name)
+
+
 register(
     "historical_events",
-    lambda s, d: events.historical_events(daily_universe(s, d), prepared(s, d), prepared(s, d).select("date", "ticker", weights.SquareRootCapWeights().column().alias("regression_weight")), "TEST", "1w").select("event_id", "source_sequence", "kind", "ticker", "return_value"),
-    """SELECT event_id, row_number() OVER (ORDER BY date, o, ticker) - 1 AS source_sequence, kind, ticker, return_value FROM (
-      SELECT 'TEST:1w:' || date || 'T00:00:00:open' AS event_id, date, 0 AS o, 'period_opened' AS kind, NULL AS ticker, NULL AS return_value FROM (SELECT DISTINCT date FROM uni)
-      UNION ALL SELECT 'TEST:1w:' || date || 'T00:00:00:return:' || ticker, date, 1, 'return_observed', ticker, ret FROM uni JOIN x USING (date, ticker) WHERE w > 0 AND ret IS NOT NULL
-      UNION ALL SELECT 'TEST:1w:' || date || 'T00:00:00:close', date, 2, 'period_closed', NULL, NULL FROM (SELECT DISTINCT date FROM uni))""",
+    lambda s, d: events.historical_events(daily_universe(s, d), prepared(s, d), prepared(s, d).select("date", "ticker", weights.SquareRootCapWeights().column().alias("regression_weight")), "TEST", "1w").select(*(as_text(c) for c in events.EVENT.fields)),
+    """SELECT event_id, row_number() OVER (ORDER BY date, o, ticker) - 1 AS source_sequence, kind, 'TEST' AS market, '1w' AS interval, strftime(date, '%Y-%m-%d %H:%M:%S') AS as_of, strftime(date, '%Y-%m-%d %H:%M:%S') AS known_at, CASE WHEN o = 1 THEN strftime(date, '%Y-%m-%d %H:%M:%S') END AS effective_at, ticker, return_value, tickers, regression_weights FROM (
+      SELECT 'TEST:1w:' || date || 'T00:00:00:open' AS event_id, date, 0 AS o, 'period_opened' AS kind, NULL AS ticker, NULL AS return_value, string_agg(ticker, ' ' ORDER BY ticker) AS tickers, string_agg(w::DECIMAL(24, 3)::VARCHAR, ' ' ORDER BY ticker) AS regression_weights FROM uni JOIN x USING (date, ticker) WHERE w > 0 GROUP BY date
+      UNION ALL SELECT 'TEST:1w:' || date || 'T00:00:00:return:' || ticker, date, 1, 'return_observed', ticker, ret, NULL, NULL FROM uni JOIN x USING (date, ticker) WHERE w > 0 AND ret IS NOT NULL
+      UNION ALL SELECT 'TEST:1w:' || date || 'T00:00:00:close', date, 2, 'period_closed', NULL, NULL, NULL, NULL FROM (SELECT DISTINCT date FROM uni))""",
     "return_value",
 )
 register("event_dedup", lambda s, d: events.deduplicated(s.read.parquet(f"{d}/events.parquet").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("event_id"), F.col("user_id").alias("content"), F.col("event_id").alias("offset"))))
