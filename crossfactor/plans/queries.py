@@ -310,7 +310,7 @@ def dated_by_day(spark: SparkSession, sf_dir: str, start: dt.date) -> tuple[Fram
     """The panel with its weeks dated as business days, by which runs count history, and the window from ``start`` on."""
     own = source(spark, sf_dir).frame
     before = own.where(F.col("date") < F.lit(start)).agg(F.count_distinct("date")).first()[0]
-    daily = calendar.with_ordinals(own).withColumn("date", F.date_add(F.lit(MONDAY), F.expr("cast((k - 1) div 5 * 7 + (k - 1) % 5 as int)")))
+    daily = calendar.with_ordinals(own).withColumn("date", F.date_add(F.lit(MONDAY), F.expr("cast((k - 1) div 5 * 7 + (k - 1) % 5 as int)"))).drop("k")
     return FrameSource(daily), calendar.AnalysisWindow(MONDAY + dt.timedelta(days=before // 5 * 7 + before % 5), dt.date(2100, 1, 1))
 
 
