@@ -23,7 +23,7 @@ from crossfactor.llm.common import SLICE_BYTES, Kept, resident
 from crossfactor.llm.hashing import slices
 
 #: Bytes that a worker's tables of chunks and of words take, by style.
-TABLE_BYTES = {"words": (40 << 20, 16 << 20), "bytes": (96 << 20, 40 << 20)}
+TABLE_BYTES = {"words": (40 << 20, 16 << 20), "bytes": (36 << 20, 24 << 20)}
 #: ASCII punctuation that always ends a run of letters; the apostrophe does not, as in "can't".
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: A space between printable ASCII characters: no split of either style looks across it.
