@@ -199,6 +199,22 @@ def test_batch_equals_live_replay_and_stream(spark, tmp_path):
     assert read_log(spark, str(tmp_path / "log")).count() == len(logged)
 
 
+def test_late_events_are_rejected_and_the_stream_goes_on(spark, tmp_path):
+    _, frame_, make = live_case(spark)
+    logged = [x.event for x in events_of(frame_)]
+    late = next(e for e in logged if e.kind == "return_observed")
+    ends = [i for i, e in enumerate(logged) if e.kind == "period_closed"]
+    again = Event("late", late.source_sequence, late.kind, late.key, late.known_at, late.effective_at, late.ticker, late.return_value)
+    given = logged[: ends[0] + 1] + [again] + logged[ends[0] + 1 : ends[1] + 1]
+    JsonLinesLog(tmp_path / "log" / "events.jsonl").append_many(given)
+    query = stream(stream_log(spark, str(tmp_path / "log")), make, finals_only=True).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("late").collect()
+    bad = [r for r in got if r.status == "rejected"]
+    assert [(r.input_offset, r.ticker) for r in bad] == [(ends[0] + 2, late.ticker)] and "no period" in bad[0].error
+    assert {r.as_of.date() for r in got if r.status == "final"} == {logged[e].key.as_of.date() for e in ends[:2]}
+
+
 def opened(k="a", tickers=("A", "B"), weights=(1.0, 2.0)):
     return Event(k, 0, "period_opened", PeriodKey("KRX", "1m", dt.datetime(2024, 1, 1)), dt.datetime(2024, 1, 1), tickers=tickers, regression_weights=weights)
 
