@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossfactor.llm.common import shared_folder, text_or_empty, tidy, written
-from crossfactor.llm.hashing import slices
-from crossfactor.llm.tokens import encoder
+from crossfactor.llm.common import ROW_BYTES, shared_folder, text_or_empty, tidy, written
+from crossfactor.llm.tokens import RUN_BYTES, encoder
 
 FRAME_BYTES = 1 << 18
 #: Bytes of text in a file, about.
@@ -137,6 +136,21 @@ def folder(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
 
 
+def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Ids and texts of rows that follow one another, of about ``size`` bytes, batch ends or not; a longer text is a run of its own."""
+    names, texts, held = [], [], 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if names and held + len(text) > size:
+                yield names, texts
+                names, texts, held = [], [], 0
+            names.append(name)
+            texts.append(text)
+            held += len(text) + ROW_BYTES
+    if names:
+        yield names, texts
+
+
 def writing(path: str, to: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -145,16 +159,14 @@ def writing(path: str, to: str, end_id: int):
         from pyspark import TaskContext
 
         part, writer, name, docs, ids = TaskContext.get().partitionId(), None, "", 0, 0
-        for batch in batches:
-            texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for begin, stop in slices(texts):
-                if writer is None:
-                    fs, root = folder(to)
-                    name = f"part-{part:05d}-{uuid.uuid4().hex}.ids.zst"
-                    writer = Writer(fs.open_output_stream(f"{root}/{name}", compression=None))
-                for doc_id, found in zip(names[begin:stop], encoder(path, "bytes").encode(texts[begin:stop]), strict=True):
-                    writer.add(doc_id, found + end)
-                    docs, ids = docs + 1, ids + len(found) // 4 + 1
+        for names, texts in runs(batches, RUN_BYTES):
+            if writer is None:
+                fs, root = folder(to)
+                name = f"part-{part:05d}-{uuid.uuid4().hex}.ids.zst"
+                writer = Writer(fs.open_output_stream(f"{root}/{name}", compression=None))
+            for doc_id, found in zip(names, encoder(path, "bytes").encode(texts), strict=True):
+                writer.add(doc_id, found + end)
+                docs, ids = docs + 1, ids + len(found) // 4 + 1
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([docs]), pa.array([ids])], names=["path", "part", "docs", "ids"])

@@ -10,10 +10,12 @@ import itertools
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,38 @@ def test_cached_ids_are_the_librarys(path, style):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_byte_ids_at_every_kind_of_cut():
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(byte_file()), random.Random(8)
+    texts = [f"a{c}b {c}{c} {c}\n{c}\n\n{c}, x{c} \n{c}'s{c}" for c in map(chr, [*range(0x530), *range(0x2000, 0x2070), 0x1680, 0x180E, 0x3000, 0xFEFF, 0x1F600])]
+    for letters in ["a \n.'s", "  \n\na×÷й1 \r\x85\u00a0\u2003\u3000.", "x\x1c\t \n,\x00\x7fβ中"]:
+        texts += ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(2000)]
+    texts += ["w" * 100_000, " " * 70_000, "", " ".join(prose(9, i) for i in range(3000))]
+    got = encoder(byte_file(), "bytes").encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_share_calls_of_the_library():
+    rng, calls = random.Random(9), []
+    texts = [" ".join("".join(rng.choices("abcdefghé", k=9)) for _ in range(100)).encode() for _ in range(50)]
+    own = encoder(byte_file(), "bytes")
+    sys.setprofile(lambda frame, event, arg: calls.append(arg.__name__) if event == "c_call" else None)
+    try:
+        own.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert 0 < calls.count("tokenize") + calls.count("encode_batch_fast") < 10
+
+
+def test_rows_are_encoded_in_runs_across_batches():
+    rows = [(None, b"x" * 40), (1, b""), (1, b"y" * 400), (2, b"z" * 5000), (3, b"w")]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in rows]
+    found = list(token_files.runs(iter(batches), 1000))
+    assert [(i, t) for names, texts in found for i, t in zip(names, texts, strict=True)] == rows
+    assert [len(names) for names, _ in found] == [3, 1, 1] and list(token_files.runs(iter([]), 1000)) == []
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
