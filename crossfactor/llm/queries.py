@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from crossfactor.llm import bpe, exact_dedup, langid, minhash, packing, pii, quality, sharding, token_files, toxicity
+from crossfactor.llm import bpe, clustering, exact_dedup, inner_products, langid, minhash, packing, pii, quality, runs, sharding, token_files, toxicity
 from crossfactor.llm.common import read_documents
+from crossfactor.llm.vectors import STEPS, read_embeddings
 
 #: The key of the pseudonyms; production sets its own.
 PII_KEY = "crossfactor-test-key"
@@ -168,3 +169,62 @@ def op5_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read_documents(spark, sf_dir), PII_KEY)
+
+
+@query
+def op11_weighted_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.label(read_embeddings(spark, sf_dir))
+
+
+def integers_sql(components: int | None) -> str:
+    """Vectors without null or non-finite components, as integers."""
+    length = f" AND len(embedding) = {components}" if components else ""
+    return f"""
+  SELECT vec_id, list_transform(embedding, lambda x: floor({STEPS} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true){length}"""
+
+
+def clustering_sql(clusters: int, rounds: int, components: int) -> str:
+    """Lloyd rounds as chained subqueries: the first nearest centroid, then exact floors of means."""
+    apart = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    parts = [
+        f"d AS ({integers_sql(components)}), e AS (SELECT *, row_number() OVER () AS row FROM d)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, 'null')), v) - 1 AS k, v AS c FROM e QUALIFY k < {clusters})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT row, vec_id, v, k, {apart} AS distance FROM e, c{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, k) = 1)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT k, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, {components + 1}) r(j) GROUP BY k, j)")
+            parts.append(f"m{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY k)")
+            parts.append(f"c{i + 1} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, k::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+ORACLE["op11_weighted_clustering"] = clustering_sql(clustering.CLUSTERS, clustering.ROUNDS, clustering.COMPONENTS)
+
+
+@query
+def op12_norm_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.search(read_embeddings(spark, sf_dir))
+
+
+ORACLE["op12_norm_sorted_search"] = f"""
+WITH d AS ({integers_sql(None)}), e AS (SELECT *, row_number() OVER () AS row FROM d),
+s AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM e q JOIN e c ON q.row <> c.row WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(read_documents(spark, sf_dir))
