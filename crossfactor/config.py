@@ -52,7 +52,7 @@ class Window:
 
     def __post_init__(self) -> None:
         check(min(self.lookback_days, self.skip_days, self.min_periods) > 0, "windows must be positive")
-        check(self.min_periods <= self.lookback_days, "min_periods cannot exceed lookback_days")
+        check(self.min_periods <= self.lookback_days, "a window has no room for so many min_periods")
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class MarketBeta:
 
     def __post_init__(self) -> None:
         check(min(self.lookback_days, self.min_periods) > 0, "windows must be positive")
-        check(self.min_periods <= self.lookback_days, "min_periods cannot exceed lookback_days")
+        check(self.min_periods <= self.lookback_days, "a window has no room for so many min_periods")
         check(0 < self.decay < 1, "decay must be in (0, 1)")
 
 
@@ -78,7 +78,7 @@ class Factors:
     def __post_init__(self) -> None:
         object.__setattr__(self, "order", tuple(self.order))
         expected = {"SIZE", "HML", "MOM"} | ({"MKT"} if self.market_beta.enabled else set())
-        check(len(self.order) == len(expected) and set(self.order) == expected, f"factors.order must hold exactly {sorted(expected)}")
+        check(len(self.order) == len(expected) and set(self.order) == expected, f"factors.order is to name each of {sorted(expected)} once")
 
 
 @dataclass(frozen=True)

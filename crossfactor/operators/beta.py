@@ -1,28 +1,23 @@
 """Recursively updated market beta.
 
 Market returns, bootstrap betas, members, weights and base exposures are relational and parallel. Only
-the clipped recursion couples dates, and it is serial within a model: one ordered scan a model key reads a
-date's rows at a time from a sorted partition, reads betas before that date's fit and updates them after it.
-It holds that date and two numbers a ticker, so its memory follows the tickers and not the history. All fits
-then run in parallel on its output, and models and markets scan beside one another.
+the clipped recursion couples dates: it is a prepared model of the ordered scan, which reads betas before a date's
+fit and updates them after it. It holds two numbers a ticker, so its memory follows the tickers and not the history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from crossfactor.functions.columns import finite, previous_session
+from crossfactor.functions.columns import by_date, finite, previous_session
 from crossfactor.operators.calendar import with_ordinals
 from crossfactor.operators.factors import FactorModel, check_names
-from crossfactor.operators.kernel import fit, usable
+from crossfactor.operators.kernel import Fit, usable
+from crossfactor.operators.scan import Day, OrderedModel, Slots
 
 
 def market_returns(panel: DataFrame, index: DataFrame | None = None, cap: str = "lagged_cap") -> DataFrame:
@@ -41,7 +36,7 @@ def market_return_over(window: WindowSpec, cap: str = "lagged_cap") -> Column:
 
 
 @dataclass(frozen=True)
-class RecursiveBeta:
+class RecursiveBeta(OrderedModel):
     """Adds the factor ``name`` after those of ``base``."""
 
     base: FactorModel
@@ -64,8 +59,12 @@ class RecursiveBeta:
         check_names(self.names)
 
     @property
-    def names(self) -> tuple[str, ...]:
-        return (*self.base.names, self.name)
+    def own(self) -> tuple[str, ...]:
+        return (self.name,)
+
+    @property
+    def inputs(self) -> tuple[str, ...]:
+        return ("market_return", "initial_beta")
 
     @property
     def history_business_days(self) -> int:
@@ -90,56 +89,36 @@ class RecursiveBeta:
         clipped = F.least(F.greatest(F.col("__c") / F.col("__v"), F.lit(self.lower)), F.lit(self.upper))
         return beta.select("ticker", clipped.alias("initial_beta"))
 
-    def scan(self, rows: DataFrame, order: Sequence[str], winsor: float, unscaled: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
-        """``rows`` (date, ticker, return, regression_weight, base factors, market_return, initial_beta) with the beta.
+    def with_inputs(self, members: DataFrame, panel: DataFrame, universe: DataFrame) -> DataFrame:
+        """The members' market return, a window over their own rows, and the bootstrap, one row a ticker of the first snapshot's history."""
+        return members.withColumn("market_return", market_return_over(by_date())).join(self.bootstrap(panel, universe), "ticker", "left")
 
-        ``key`` columns name independent models or markets: each is a sorted run of rows in one task.
-        """
-        schema = T.StructType([*rows.schema.fields, T.StructField(self.name, T.DoubleType())])
-        dealt = rows.repartition(*key) if key else rows.repartition(1)
-        return dealt.sortWithinPartitions(*key, "date", "ticker").mapInArrow(self._scanner(tuple(order), winsor, tuple(unscaled), tuple(key)), schema)
-
-    def _scanner(self, order: tuple[str, ...], winsor: float, unscaled: tuple[str, ...], key: tuple[str, ...]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, state, slots, fitted = None, None, {}, False
-            for name, part in equal_runs(batches, (*key, "date")):
-                if state is None or name[:-1] != model:
-                    model, state, slots, fitted = name[:-1], BetaState(self, np.zeros(0)), {}, False
-                r, w, g, given = (part[c].to_numpy() for c in ("return", "regression_weight", "market_return", "initial_beta"))
-                tickers, fresh = part["ticker"].to_pylist(), []
-                for ticker, beta in zip(tickers, given, strict=True):
-                    if ticker not in slots:
-                        slots[ticker] = len(slots)
-                        fresh.append(self.initial_beta if np.isnan(beta) else beta)
-                state.add(np.array(fresh, float))
-                at = np.array([slots[t] for t in tickers])
-                beta = state.read(at)
-                table = np.column_stack([beta if n == self.name else part[n].to_numpy() for n in order])
-                found = fit(r, table, w, winsor, [n not in unscaled for n in order])
-                if found is not None:
-                    fitted = True
-                    state.update(at, r, g[0], found.coefficients[0], found.centers[order.index(self.name)])
-                elif not fitted and usable(r, table, w).sum() > 1 + len(order) and np.ptp(beta) == 0:
-                    raise ValueError(f"all {self.name} exposures are equal before the first fit: no ticker passed the bootstrap; lower min_periods or give more history")
-                yield from part.append_column(self.name, pa.array(beta)).combine_chunks().to_batches()
-
-        return run
-
-
-def equal_runs(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Neighbouring rows with equal values of ``columns``, and those values, over the bounds of batches."""
-    name, held = None, []
-    for batch in batches:
-        ends = sorted(set().union(*(pc.run_end_encode(batch[c]).run_ends.to_pylist() for c in columns)))
-        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
-            own = tuple(batch[c][begin].as_py() for c in columns)
-            if held and own != name:
-                yield name, pa.Table.from_batches(held)
-                held = []
-            name = own
-            held.append(batch.slice(begin, end - begin))
-    if held:
-        yield name, pa.Table.from_batches(held)
+    def prepare(self) -> PreparedBeta:
+        return PreparedBeta(self)
+
+
+class PreparedBeta:
+    """The betas of a scan: read before a date's fit, moved after it."""
+
+    def __init__(self, model: RecursiveBeta) -> None:
+        self.model, self.slots, self.state, self.fitted = model, Slots(), BetaState(model, np.zeros(0)), False
+
+    def exposures(self, day: Day) -> dict[str, np.ndarray]:
+        self.at, fresh = self.slots.of(day.tickers)
+        given = day["initial_beta"][fresh]
+        self.state.add(np.where(np.isnan(given), self.model.initial_beta, given))
+        self.beta = self.state.read(self.at)
+        return {self.model.name: self.beta}
+
+    def update(self, day: Day, fit: Fit | None) -> None:
+        if fit is not None:
+            self.fitted = True
+            self.state.update(self.at, day.returns, day["market_return"][0], fit.coefficients[0], fit.centers[fit.names.index(self.model.name)])
+            return
+        base = self.model.base.names
+        enough = usable(day.returns, np.column_stack([day[n] for n in base]), day.weights).sum() > 2 + len(base)
+        if not self.fitted and enough and np.ptp(self.beta) == 0:
+            raise ValueError(f"all {self.model.name} exposures are equal before the first fit: no ticker passed the bootstrap; lower min_periods or give more history")
 
 
 class BetaState:

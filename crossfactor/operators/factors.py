@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from crossfactor.functions.columns import by_ticker, finite, previous_session
 from crossfactor.operators.calendar import with_ordinals
 
+if TYPE_CHECKING:
+    from crossfactor.operators.fit import Fitted, OwnFit
+
 #: Names that factors may not take, in any case.
 RESERVED = {"date", "ticker", "return", "return_percent", "market_cap", "regression_weight", "specific_return", "intercept", "k", "in_universe", "member_rank"}
 
@@ -34,13 +37,23 @@ class Factor:
 
 
 class FactorModel(Protocol):
-    """Names, needed history, and exposures on the rows of a panel with ``return`` and ``k``."""
+    """Names, needed history, and exposures on the rows of a panel with ``return`` and ``k``.
+
+    Of members' rows with those exposures and weights, ``sections`` gives all factors and ``fit`` the fits; factors that need
+    the fits before are theirs to make, from the columns of ``with_inputs``.
+    """
 
     names: tuple[str, ...]
     history_business_days: int
 
     def exposures(self, panel: DataFrame) -> DataFrame: ...
 
+    def with_inputs(self, members: DataFrame, panel: DataFrame, universe: DataFrame) -> DataFrame: ...
+
+    def sections(self, rows: DataFrame, residualizer: OwnFit) -> DataFrame: ...
+
+    def fit(self, rows: DataFrame, residualizer: OwnFit) -> Fitted: ...
+
 
 def check_names(names: Sequence[str]) -> None:
     if len({n.lower() for n in names}) != len(names):
@@ -69,6 +82,15 @@ class CharacteristicModel:
     def exposures(self, panel: DataFrame) -> DataFrame:
         return panel.select("*", *(f.build().alias(f.name) for f in self.factors))
 
+    def with_inputs(self, members: DataFrame, panel: DataFrame, universe: DataFrame) -> DataFrame:
+        return members
+
+    def sections(self, rows: DataFrame, residualizer: OwnFit) -> DataFrame:
+        return rows.select("date", "ticker", "return", "regression_weight", *self.names)
+
+    def fit(self, rows: DataFrame, residualizer: OwnFit) -> Fitted:
+        return residualizer.fit(rows)
+
     def dense(self, panel: DataFrame) -> DataFrame:
         """Exposures on every session of every ticker, the public table; fits need observed rows only."""
         own = panel if "k" in panel.columns else with_ordinals(panel)

@@ -9,7 +9,8 @@ enough rows, spread or independent factors drop out.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from crossfactor.functions.columns import by_date, finite
 from crossfactor.operators.factors import check_names
-from crossfactor.operators.kernel import COLLAPSE
+from crossfactor.operators.kernel import COLLAPSE, Fit, usable
 from crossfactor.operators.kernel import fit as fit_one
 
 INTERCEPT = "INTERCEPT"
@@ -77,6 +78,22 @@ def factorized(rows: DataFrame, count: int) -> DataFrame:
     return rows
 
 
+def FIT_FIELDS(count: int) -> tuple[str, ...]:  # noqa: N802
+    """The columns of a fit of ``count`` factors beside date, ticker, return and regression_weight."""
+    n = range(count)
+    return ("specific_return", "__f0", *(f"__f{j + 1}" for j in n), *(f"__q{j}" for j in n), *(f"__center{j}" for j in n), *(f"__scale{j}" for j in n))
+
+
+class OwnFit(Protocol):
+    """A residualizer: all dates at once on Spark, or one date's arrays."""
+
+    factor_order: tuple[str, ...]
+
+    def fit(self, panel: DataFrame) -> Fitted: ...
+
+    def fit_date(self, returns: np.ndarray, exposures: np.ndarray, weights: np.ndarray) -> Fit | None: ...
+
+
 @dataclass(frozen=True)
 class Fitted:
     """The rows of all fits, lazily; the output tables are projections of them."""
@@ -178,6 +195,17 @@ class Residualizer:
         return Fitted(rows.select(*out), names)
 
 
+    def fit_date(self, returns: np.ndarray, exposures: np.ndarray, weights: np.ndarray) -> Fit | None:
+        """The same fit of one date, in NumPy; columns in the order of the factors."""
+        if self.uniform:
+            used = weights[usable(returns, exposures, weights)]
+            if len(used) and np.ptp(used) > 0:
+                raise ValueError("weights must be uniform")
+            weights = np.where(weights > 0, 1.0, weights)
+        found = fit_one(returns, exposures, weights, self.winsor_quantile, self.scaled, self.sequential)
+        return None if found is None else replace(found, names=self.factor_order)
+
+
 def joint_ols(factors: Sequence[str], winsor_quantile: float = 0.0, unscaled: Sequence[str] = ()) -> Residualizer:
     return Residualizer(tuple(factors), winsor_quantile, tuple(unscaled), sequential=False)
 
@@ -192,38 +220,36 @@ def sequential_wls(factors: Sequence[str], winsor_quantile: float = 0.0, unscale
 
 @dataclass(frozen=True)
 class GroupedResidualizer:
-    """A residualizer of one's own: a function of one date's pandas rows.
+    """A residualizer of one's own: a function of one date's returns, exposures in the order of the factors, and weights.
 
-    It returns None, or the coefficients (intercept first), the rows' places, their basis and residuals.
+    It returns None, or a Fit with coefficients (intercept first), the rows' places, their basis and residuals, centers and scales.
     """
 
     factor_order: tuple[str, ...]
-    run: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]
+    run: Callable[[np.ndarray, np.ndarray, np.ndarray], Fit | None]
+
+    def fit_date(self, returns: np.ndarray, exposures: np.ndarray, weights: np.ndarray) -> Fit | None:
+        found = self.run(returns, exposures, weights)
+        return None if found is None else replace(found, names=self.factor_order)
 
     def fit(self, panel: DataFrame) -> Fitted:
-        names, run = self.factor_order, self.run
-        fields = ["specific_return", *(f"__f{i}" for i in range(len(names) + 1)), *(f"__q{i}" for i in range(len(names)))]
+        names, fit_date = self.factor_order, self.fit_date
+        fields = FIT_FIELDS(len(names))
         rows = panel.select("date", "ticker", "return", "regression_weight", *names)
         schema = T.StructType([*rows.schema.fields[:4], *(T.StructField(f, T.DoubleType()) for f in fields)])
 
         def one(group: pd.DataFrame) -> pd.DataFrame:
-            found = run(group)
+            found = fit_date(group["return"].to_numpy(float), group[list(names)].to_numpy(float), group["regression_weight"].to_numpy(float))
             base = group[["date", "ticker", "return", "regression_weight"]]
             if found is None:
                 return base.iloc[:0].assign(**dict.fromkeys(fields, 0.0))
-            coefficients, places, basis, residuals = found
-            columns = {"specific_return": residuals} | {f"__f{i}": c for i, c in enumerate(coefficients)} | {f"__q{i}": basis[:, i] for i in range(basis.shape[1])}
-            return base.iloc[places].assign(**columns)
+            values = (found.residuals, *found.coefficients, *found.basis.T, *found.centers, *found.scales)
+            return base.iloc[found.rows].assign(**dict(zip(fields, values, strict=True)))
 
         return Fitted(rows.groupBy("date").applyInPandas(one, schema), names)
 
 
-def kernel_residualizer(factors: Sequence[str], winsor: float = 0.0, sequential: bool = True) -> GroupedResidualizer:
+def kernel_residualizer(factors: Sequence[str], winsor: float = 0.0, sequential: bool = True, unscaled: Sequence[str] = ()) -> GroupedResidualizer:
     """The NumPy kernel as a plug-in; also a second opinion on the windows."""
     names = tuple(factors)
-
-    def run(group: pd.DataFrame):
-        found = fit_one(group["return"].to_numpy(float), group[list(names)].to_numpy(float), group["regression_weight"].to_numpy(float), winsor, [True] * len(names), sequential)
-        return None if found is None else (found.coefficients, found.rows, found.basis, found.residuals)
-
-    return GroupedResidualizer(names, run)
+    return GroupedResidualizer(names, lambda r, x, w: fit_one(r, x, w, winsor, [n not in unscaled for n in names], sequential))

@@ -13,7 +13,10 @@ COLLAPSE = 100 * np.finfo(float).eps
 
 @dataclass(frozen=True)
 class Fit:
-    """``coefficients`` lead with the intercept; ``rows`` are the places of the usable rows in the input."""
+    """``coefficients`` lead with the intercept; ``rows`` are the places of the usable rows in the input.
+
+    ``names`` are the factors in the order of the columns, where the residualizer knows them.
+    """
 
     rows: np.ndarray
     basis: np.ndarray
@@ -21,8 +24,9 @@ class Fit:
     centers: np.ndarray
     scales: np.ndarray
     residuals: np.ndarray
-    r_squared: float
-    projection: np.ndarray
+    r_squared: float = np.nan
+    projection: np.ndarray | None = None
+    names: tuple[str, ...] = ()
 
     @property
     def rank(self) -> int:

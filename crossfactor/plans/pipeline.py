@@ -8,11 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.functions.columns import by_date, percentage_return, previous_session
-from crossfactor.operators.beta import RecursiveBeta, market_return_over
+from crossfactor.functions.columns import percentage_return, previous_session
 from crossfactor.operators.calendar import AnalysisWindow, history_start, with_ordinals
 from crossfactor.operators.factors import FactorModel
-from crossfactor.operators.fit import Fitted, GroupedResidualizer, Residualizer
+from crossfactor.operators.fit import Fitted, OwnFit
 from crossfactor.operators.universe import UniverseBuilder
 from crossfactor.operators.validate import Validation, ValidationError, ValidationResult
 from crossfactor.operators.weights import WeightModel
@@ -42,19 +41,18 @@ def prepared_panel(panel: DataFrame, returns: Callable[[], Column] = percentage_
     return own.withColumn("lagged_cap", previous_session(F.col("market_cap")))
 
 
-def cross_sections(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel, residualizer: Residualizer | GroupedResidualizer) -> DataFrame:
-    """Members of each date with return, weight and exposures; the beta is scanned if the model has one."""
-    base = model.base if isinstance(model, RecursiveBeta) else model
-    rows = base.exposures(panel).withColumn("regression_weight", weights.column())
+def member_rows(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel) -> DataFrame:
+    """Members of each date with return, weight, lagged cap, relational exposures and the model's inputs."""
+    rows = model.exposures(panel).withColumn("regression_weight", weights.column())
+    columns = [c for c in rows.columns if c not in panel.columns]
     members = universe.where("in_universe").select("date", "ticker")
-    kept = members.join(rows.select("date", "ticker", "return", "regression_weight", "lagged_cap", *base.names), ["date", "ticker"], "left")
-    if not isinstance(model, RecursiveBeta):
-        return kept.drop("lagged_cap")
-    # The members' market return is a window over their own rows; the bootstrap has one row a ticker of the first snapshot's history.
-    kept = kept.withColumn("market_return", market_return_over(by_date())).drop("lagged_cap").join(model.bootstrap(panel, universe), "ticker", "left")
-    winsor = getattr(residualizer, "winsor_quantile", 0.0)
-    unscaled = getattr(residualizer, "unscaled_factors", ())
-    return model.scan(kept, residualizer.factor_order, winsor, unscaled)
+    kept = members.join(rows.select("date", "ticker", "return", "lagged_cap", *columns), ["date", "ticker"], "left")
+    return model.with_inputs(kept, panel, universe)
+
+
+def cross_sections(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel, residualizer: OwnFit) -> DataFrame:
+    """Members of each date with return, weight and all exposures."""
+    return model.sections(member_rows(panel, universe, model, weights), residualizer)
 
 
 def run_pipeline(
@@ -64,7 +62,7 @@ def run_pipeline(
     universe_builder: UniverseBuilder,
     factors: FactorModel,
     weights: WeightModel,
-    residualizer: Residualizer | GroupedResidualizer,
+    residualizer: OwnFit,
     validations: Sequence[Validation] = (),
     returns: Callable[[], Column] = percentage_return,
     progress: Progress | None = None,
@@ -94,7 +92,7 @@ def run_pipeline(
         with steps.stage("Prepare factors"):
             panel = kept(prepared_panel(loaded, returns))
         with steps.stage("Residualize returns"):
-            fitted = residualizer.fit(cross_sections(panel, universe, factors, weights, residualizer))
+            fitted = factors.fit(member_rows(panel, universe, factors, weights), residualizer)
             # Five checks and four sinks read the fitted rows.
             fitted = Fitted(kept(fitted.rows), fitted.factors)
             if fitted.rows.isEmpty():

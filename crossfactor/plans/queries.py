@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossfactor.operators import beta, calendar, factors, fit, report, universe, validate, weights
+from crossfactor.operators import beta, calendar, factors, fit, report, universe, validate, volatility, weights
 from crossfactor.functions.columns import padded_ticker
-from crossfactor.plans.pipeline import Result, cross_sections, prepared_panel, run_pipeline
+from crossfactor.plans.pipeline import Result, cross_sections, member_rows, prepared_panel, run_pipeline
 from crossfactor.sources.market import FrameSource, event_panel, weekly_panel
 from crossfactor.streaming import events
 
@@ -238,8 +238,13 @@ register("table_profile", lambda s, d: report.profile(fitted(s, d).specific_retu
 register("observation_range", lambda s, d: fitted(s, d).diagnostics().agg(F.min("n_observations").alias("least"), F.max("n_observations").alias("most"), F.min("date").alias("first"), F.max("date").alias("last")), "SELECT min(n) AS least, max(n) AS most, min(date) AS first, max(date) AS last FROM (SELECT date, count(*) AS n FROM e GROUP BY date)")
 
 
-def beta_sections(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
-    return cross_sections(prepared(spark, sf_dir), daily_universe(spark, sf_dir, size), BETA_MODEL, weights.SquareRootCapWeights(), BETA_RESIDUALIZER)
+def ordered_rows(spark: SparkSession, sf_dir: str, model: factors.FactorModel, size: int = SIZE) -> DataFrame:
+    """What the scan of a model reads."""
+    return member_rows(prepared(spark, sf_dir), daily_universe(spark, sf_dir, size), model, weights.SquareRootCapWeights())
+
+
+def beta_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BETA_MODEL.sections(ordered_rows(spark, sf_dir, BETA_MODEL), BETA_RESIDUALIZER)
 
 
 BETA_RESIDUALIZER = fit.sequential_wls(BETA_ORDER, WINSOR, ("MKT",))
@@ -292,11 +297,40 @@ register("recursive_beta", lambda s, d: beta_sections(s, d).select("date", "tick
 register("beta_fit_f", lambda s, d: BETA_RESIDUALIZER.fit(beta_sections(s, d)).factor_returns(), f'WITH {BETA_FIT} SELECT date, any_value(i) AS "INTERCEPT", any_value(f1) AS "MKT", any_value(f2) AS "SIZE", any_value(f3) AS "MOM" FROM s3 GROUP BY date', '"INTERCEPT" "MKT" "SIZE" "MOM"')
 
 
+#: The scan's own fits, with the built-in residualizer and with one's own in its place.
+for name, residualizer in (("beta_scan_f", BETA_RESIDUALIZER), ("beta_plugin_f", fit.kernel_residualizer(BETA_ORDER, WINSOR, unscaled=("MKT",)))):
+    QUERIES[name] = lambda s, d, r=residualizer: rounded(BETA_MODEL.fit(ordered_rows(s, d, BETA_MODEL), r).factor_returns())
+    ORACLE[name] = ORACLE["beta_fit_f"]
+
+RVOL_MODEL = volatility.ResidualVolatility(factors.CharacteristicModel((factors.volatility_factor(12, 8),)), "VOL", 0.9)
+RVOL_RESIDUALIZER = fit.sequential_wls(("RVOL",))
+#: The same fold in SQL: a step a date over all names' variances, with the one-factor fit of the date.
+RVOL_SQL = f"""WITH RECURSIVE
+  days AS (SELECT date, row_number() OVER (ORDER BY date) AS j FROM (SELECT DISTINCT date FROM uni)),
+  names AS (SELECT DISTINCT ticker FROM uni),
+  mem AS (SELECT j, date, uni.ticker, ret, w, vol_x FROM uni JOIN days USING (date) LEFT JOIN x USING (date, ticker)),
+  grid AS (SELECT days.j, days.date, names.ticker, mem.ticker IS NOT NULL AS member, ret, w, vol_x FROM days CROSS JOIN names LEFT JOIN mem ON mem.j = days.j AND mem.ticker = names.ticker),
+  s AS (
+    SELECT 0::BIGINT AS j, NULL::DATE AS date, ticker, NULL::DOUBLE AS v, NULL::DOUBLE AS read, NULL::DOUBLE AS eps, NULL::DOUBLE AS i, NULL::DOUBLE AS f, false AS member FROM names
+    UNION ALL
+    SELECT j, date, ticker, CASE WHEN use AND spread > 0 THEN {RVOL_MODEL.decay} * read ** 2 + (1 - {RVOL_MODEL.decay}) * (ret - i - f * z) ** 2 ELSE v END, read,
+           CASE WHEN use AND spread > 0 THEN ret - i - f * z END, i, f, member
+    FROM (SELECT *, sum(CASE WHEN use THEN w * z * (ret - i) END) OVER () / sum(CASE WHEN use THEN w * z * z END) OVER () AS f FROM (
+      SELECT *, (read - c) / spread AS z FROM (
+        SELECT *, sqrt(sum(CASE WHEN use THEN w * (read - c) ** 2 END) OVER () / sum(CASE WHEN use THEN w END) OVER ()) AS spread FROM (
+          SELECT *, sum(CASE WHEN use THEN w * read END) OVER () / sum(CASE WHEN use THEN w END) OVER () AS c, sum(CASE WHEN use THEN w * ret END) OVER () / sum(CASE WHEN use THEN w END) OVER () AS i FROM (
+            SELECT *, ready AND count(CASE WHEN ready THEN 1 END) OVER () > 2 AS use FROM (
+              SELECT grid.j, grid.date, s.ticker, s.v, coalesce(sqrt(s.v), vol_x) AS read, grid.member, ret, w, coalesce(grid.member AND ret IS NOT NULL AND w > 0 AND coalesce(sqrt(s.v), vol_x) IS NOT NULL, false) AS ready
+              FROM s JOIN grid ON grid.j = s.j + 1 AND grid.ticker = s.ticker))))))
+  )"""
+register("residual_volatility", lambda s, d: RVOL_MODEL.sections(ordered_rows(s, d, RVOL_MODEL), RVOL_RESIDUALIZER).select("date", "ticker", "RVOL"), f'{RVOL_SQL} SELECT date, ticker, read AS "RVOL" FROM s WHERE member', '"RVOL"')
+register("residual_volatility_epsilon", lambda s, d: RVOL_MODEL.fit(ordered_rows(s, d, RVOL_MODEL), RVOL_RESIDUALIZER).specific_returns(), f"{RVOL_SQL} SELECT date, ticker, eps AS specific_return FROM s WHERE eps IS NOT NULL", "specific_return")
+
+
 def two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Betas of two models, the long universe and the short list, scanned side by side in one job."""
-    names = ("date", "ticker", "return", "regression_weight", *BETA_MODEL.base.names, "market_return", "initial_beta")
-    rows = [beta_sections(spark, sf_dir, size).select(F.lit(size).alias("names"), *names) for size in (SIZE, LIST)]
-    return BETA_MODEL.scan(rows[0].unionByName(rows[1]), BETA_ORDER, WINSOR, ("MKT",), ("names",)).select("names", "date", "ticker", F.col("MKT").alias("beta"))
+    rows = [ordered_rows(spark, sf_dir, BETA_MODEL, size).withColumn("names", F.lit(size)) for size in (SIZE, LIST)]
+    return BETA_MODEL.scan(rows[0].unionByName(rows[1]), BETA_RESIDUALIZER, ("names",)).select("names", "date", "ticker", F.col("MKT").alias("beta"))
 
 
 register("beta_two_models", two_models)
