@@ -4,24 +4,30 @@ Card numbers (Luhn), social security numbers, telephone numbers, IPv4 addresses
 found by format and validated; each valid value is permuted by a keyed Feistel network over the
 values of its own format: equal values get equal pseudonyms in every document and form, different
 values different ones, and a pseudonym is valid again. E-mail addresses and secrets after a key word, which
-are digits and letters too, are permuted character by character within their classes.
+are digits and letters too, are permuted character by character within their classes: digits, and Latin, Greek and
+Cyrillic letters of either case; other characters of a mail name stay.
 
 A Feistel round adds a keyed SHA-256 of one half to the other, modulo the half's size; halves may
-differ in size, so a network permutes exactly the values of a format: 146,097 days are 189 x 773. Day-first
-dates with slashes are walked along their cycle until the day is over 12 again, so that they read as day-first.
-Telephone numbers keep their country code; ten digits with an area code of the North American plan get
-such a code and exchange again, others keep a leading 0 or 1.
+differ in size, so a network permutes exactly the values of a format: 146,097 days are 189 x 773. Dates are walked
+along their cycle until the day is over 12 again, or 12 and less again, in every form: so day-first dates with slashes
+still read as day-first, and a day has one pseudonym however it is written. A date with slashes whose first two numbers
+are both under 13 is read month first.
+Telephone numbers keep their country code, a 1 before ten digits too; ten digits with an area code of the North
+American plan get such a code and exchange again, others keep a leading 0 or 1. IBANs, IPv6 addresses and postal
+addresses are not looked for.
 
 The key reaches the rows as the result of a scalar subquery, so no plan, event log or page of the user interface shows it.
 
 Defined results: null texts stay null, empty ones empty; invalid values, other text and other columns, whatever
 their names, stay as they are; where formats overlap the first in the list wins; repeated rows get the same
-text; an empty table gives no rows; texts of any length are matched whole, by patterns that neither recurse
-nor go back. Runs of over 4,096 characters after a key word are data, not secrets, and stay.
+text; an empty table gives no rows; texts and secrets of any length are matched whole, by patterns that neither
+recurse nor go back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,24 +36,27 @@ from crossfactor.llm.common import fresh
 ROUNDS = 8
 #: The days of 400 Gregorian years, as two factors for the halves.
 FIRST_YEAR, DAYS, DAY_HALVES = 1800, 146_097, (189, 773)
-#: Steps within which a day-first date is reached again; that none is has a chance of 1e-26.
-WALK = 64
+#: Steps within which a day of the same kind is reached again; that none is has a chance of 1e-27.
+#: In two levels, as most dates need one or two.
+WALK = (8, 16)
 
 EDGE, END = r"(?<![\w.+\-])", r"(?![\w\-]|\.\d)"
 #: Formats of the values, in order of preference where they overlap.
 FORMATS = {
-    "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
-    "secret": r"""(?<=\b(?i:token|secret|password|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{16,4096}+(?![A-Za-z0-9+/_\-])""",
+    "mail": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
+    "secret": r"""(?<=\b(?i:token|secret|password|api_key|apikey|access_key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{16,}+(?![A-Za-z0-9+/_\-])""",
     "address": EDGE + r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)" + END,
     "date": EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + END,
     "card": EDGE + r"(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?:[ \-]\d{3})?|\d{4}[ \-]\d{6}[ \-]\d{5})" + END,
     "social": EDGE + r"\d{3}-\d{2}-\d{4}" + END,
-    "phone": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}" + END,
+    "phone": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-]?|1[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}" + END,
     "pairs": r"(?<![\w.\-])(?:\+\d{1,3}[ .\-]\d{1,2}|0\d)(?:[ .\-]\d{2}){4}" + END,
     "plus": r"(?<![\w.\-])\+\d{9,14}" + END,
 }
 #: What a text must hold for a value to be in it.
 HINT = r"""[0-9@]|[=:]\s{0,2}["']?[A-Za-z0-9+/_\-]{16}"""
+#: Letters and digits that are shifted among themselves: the first and the last of each class.
+CLASSES = ("az", "AZ", "09", "\u00e0\u00f6", "\u00c0\u00d6", "\u00f8\u00fe", "\u00d8\u00de", "\u03b1\u03c9", "\u0391\u03a1", "\u03a3\u03a9", "\u0430\u044f", "\u0410\u042f")
 ALL = "|".join(f"(?:{p})" for p in FORMATS.values())
 
 
@@ -115,14 +124,16 @@ def luhn(digits: str) -> str:
     return f"aggregate(transform(reverse(split({digits}, '')), (c, i) -> {named('cast(c as int)', 'd', doubled)}), 0, (s, x) -> s + x)"
 
 
-def characters_permuted(key: str, use: str, value: str, lower: str = "26") -> str:
+def characters_permuted(key: str, use: str, value: str, classes: Sequence[str] = CLASSES) -> str:
     """SQL: letters and digits shifted within their classes by keyed hashes of the other half; the rest stays."""
-    classes = (("a", "z", lower), ("A", "Z", "26"), ("0", "9", "10"))
 
     def shifted(half: str, other: str) -> str:
-        mask = f"regexp_replace(regexp_replace(regexp_replace({half}, '[a-z]', 'a'), '[A-Z]', 'A'), '[0-9]', '0')"
+        mask = half
+        for low, high in classes:
+            mask = f"regexp_replace({mask}, '[{low}-{high}]', '{low}')"
         move = "cast(conv(substring(sha2(concat(h, ':', i), 256), 1, 8), 16, 10) as bigint)"
-        kinds = " ".join(f"when c between '{low}' and '{high}' then char(ascii('{low}') + (ascii(c) - ascii('{low}') + {move}) % {n})" for low, high, n in classes)
+        letters = lambda low, high: "".join(map(chr, range(ord(low), ord(high) + 1)))
+        kinds = " ".join(f"when c between '{low}' and '{high}' then substring('{letters(low, high)}', cast(1 + (ascii(c) - {ord(low)} + {move}) % {ord(high) - ord(low) + 1} as int), 1)" for low, high in classes)
         return named(f"sha2(concat({key}, '|{use}|', t, '|', {mask}, '|', {other}), 256)", "h", f"array_join(transform(split({half}, ''), (c, i) -> case {kinds} else c end), '')")
 
     cut = f"(length({value}) div 2)"
@@ -143,8 +154,10 @@ def pseudonym(key: str, m: str = "m") -> str:
     day = f"datediff(try_cast({iso} as date), {zero})"
     big, low = DAY_HALVES[1], DAY_HALVES[0]
     step = lambda n: named(feistel(key, "date", f"{n} div {big}", f"{n} % {big}", (str(low), str(big))), "r", f"cast(r.a * {big} + r.b as int)")
-    # A day-first date goes on along its cycle until it reads as day-first; others take one step.
-    moved = f"aggregate(sequence(1, {WALK}), {step('n')}, (x, i) -> case when {turned} and day(date_add({zero}, x)) <= 12 then {step('x')} else x end)"
+    # A date goes on along its cycle until its day is of the same kind, over 12 or not.
+    over = lambda x: f"(day(date_add({zero}, {x})) > 12)"
+    walk = lambda steps, begin, body: f"aggregate(sequence(1, {steps}), {begin}, (x, i) -> case when {over('x')} <> {over('n')} then {body} else x end)"
+    moved = walk(WALK[0], step("n"), walk(WALK[1], "x", step("x")))
     date = named(day, "n", f"case when n >= 0 and n < {DAYS} then date_format(date_add({zero}, {moved}), {form}) else {m} end")
     # Social security numbers: areas 1 to 899 but 666, groups 1 to 99, serials 1 to 9999.
     area, group, serial = "cast(substring(d, 1, 3) as int)", "cast(substring(d, 4, 2) as int)", "cast(substring(d, 6, 4) as int)"
@@ -160,11 +173,11 @@ def pseudonym(key: str, m: str = "m") -> str:
     check = f"(10 - {luhn('concat(b, chr(48))')} % 10) % 10"
     card = f"case when {luhn('d')} % 10 = 0 and not regexp_like(d, '^0+$') then {named(body, 'b', refilled(m, f'concat(b, {check})'))} else {m} end"
     # Telephone numbers: the country code stays; 7 to 15 digits are valid.
-    code = f"case when regexp_like({m}, '^[+]1[0-9]{{10}}$') then 1 else length(regexp_replace(regexp_extract({m}, '^([+][0-9]{{1,3}})[ .(-]', 1), '[^0-9]', '')) end"
+    code = f"case when regexp_like({m}, '^[+]1[0-9]{{10}}$') or length(d) = 11 and regexp_like({m}, '^1[ .-]') then 1 else length(regexp_replace(regexp_extract({m}, '^([+][0-9]{{1,3}})[ .(-]', 1), '[^0-9]', '')) end"
     rest = named(f"substring(d, {code} + 1)", "p", named(national(key, "p"), "q", refilled(m, f"concat(substring(d, 1, length(d) - length(p)), q)")))
     phone = f"case when length(d) between 7 and 15 and length(d) - ({code}) >= 4 then {rest} else {m} end"
     mail = f"concat({characters_permuted(key, 'mail', f'substring_index({m}, {chr(39)}@{chr(39)}, 1)')}, substring({m}, instr({m}, '@')))"
-    secret = f"case when regexp_like({m}, '^[0-9a-f]+$') then {characters_permuted(key, 'hex', m, '6')} else {characters_permuted(key, 'secret', m)} end"
+    secret = f"case when regexp_like({m}, '^[0-9a-f]+$') then {characters_permuted(key, 'hex', m, ('af', '09'))} else {characters_permuted(key, 'secret', m, ('az', 'AZ', '09'))} end"
     return named(d, "d", f"case when contains({m}, '@') then {mail} when {is_('address')} then {address} when {is_('date')} then {date} when {is_('social')} then {social} when {is_('card')} then {card} when {is_('phone')} or {is_('pairs')} or {is_('plus')} then {phone} when length({m}) >= 16 and regexp_like({m}, '[A-Za-z]') then {secret} else {m} end")
 
 
