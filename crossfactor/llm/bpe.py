@@ -6,10 +6,16 @@ and contracts, of each word, the leftmost pair of minimum rank until none is lef
 aggregation makes each word's ids. A text's ids are its words' ids in order. The ids of each text then
 go back to DuckDB as rows of text, position and token, and ordered aggregation decodes them.
 
-In words of more than ``LONG`` bytes a turn contracts with the leftmost pair the others of the same rank, left
-to right without overlap, where one turn for each gives the same: no token that the new token begins or
-ends has a lower rank than it, so no pair that arises goes before those that are left. Both rules have the
-same result for every word, which the tests show over random merges; a long run needs fewer turns.
+A word of more than ``LONG`` bytes is cut into pieces, which the same query contracts side by side. Two neighbouring tokens
+hold if the query makes just these two of their joined bytes. A row of tokens of which all neighbours hold is the word's coding:
+the first contraction over the bound of two tokens would also come about in those two alone, as contractions within them
+come in the same order. Neighbours within a coded piece hold, so only the seams are looked at; around those that do not
+hold, some tokens are coded again together, twice as many each time, up to the whole word. So a word takes time in proportion
+to its length, unless seams far apart depend on one another, as in a long repetition. What is coded together and longer than
+``LONG`` contracts in a turn, with the leftmost pair, the others of the same rank, left to right without overlap, where one turn
+for each gives the same: no token that the new token begins or ends has a lower rank than it, so no pair that arises goes before
+those that are left; a repetition has few ranks and so few turns. All ways have the same result for every word, which the
+tests show over random merges.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are coded
 each; an empty table gives no rows; a long text is coded in windows that end before a single space; other
@@ -20,7 +26,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,8 +41,10 @@ from crossfactor.llm.hashing import slices
 
 #: Bytes that a worker's tables of words and of chunks take.
 WORD_BYTES, CHUNK_BYTES = 96 << 20, 64 << 20
-#: Bytes of a word from which a turn contracts more than one pair.
+#: Bytes of a word beyond which it is cut, and of what is coded together beyond which a turn contracts more than one pair.
 LONG = 64
+#: Bytes of a piece, tokens on either side of a seam that are coded again at first, and bytes that a query contracts.
+PIECE, REACH, BATCH = 24, 4, 1 << 18
 #: Characters of a text that are coded at a time, and ids that are decoded at a time.
 WINDOW, DECODED = 4 << 20, 1 << 20
 #: A space between printable ASCII characters begins a match of the pattern.
@@ -89,6 +99,17 @@ def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     yield text[begin:]
 
 
+def joined(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending spans, those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 class Coder:
     """``ranks`` by token; tokens of one byte are all in it."""
 
@@ -97,10 +118,11 @@ class Coder:
         import regex
 
         self.find = regex.compile(pattern).findall
+        self.bytes = {r: t for t, r in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         unsafe = {part for a, b, r in rows for part in (a, b) if part > r}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
         merges = pa.table({"a": pa.array([r[0] for r in rows], pa.int32()), "b": pa.array([r[1] for r in rows], pa.int32()), "rank": pa.array([r[2] for r in rows], pa.int32()), "safe": pa.array([r[2] not in unsafe for r in rows])})
         # A character for each byte, so that text aggregates join bytes.
         tokens = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks])})
@@ -113,19 +135,66 @@ class Coder:
     def learn(self, words: Sequence[str]) -> None:
         """Code ``words``, distinct and new."""
         coded = [w.encode() for w in words]
-        long = [len(c) > LONG for c in coded]
-        for run in sorted(set(long)):
-            self.contract([w for w, x in zip(words, long, strict=True) if x == run], [c for c, x in zip(coded, long, strict=True) if x == run], run)
+        self.contract([w for w, c in zip(words, coded, strict=True) if len(c) <= LONG], [c for c in coded if len(c) <= LONG], False)
+        if long := [w for w, c in zip(words, coded, strict=True) if len(c) > LONG]:
+            found = self.code_long([w.encode() for w in long])
+            self.words.put({w: " ".join(map(str, ids.tolist())).encode() for w, ids in zip(long, found, strict=True)})
 
     def contract(self, words: Sequence[str], coded: Sequence[bytes], run: bool) -> None:
+        if coded:
+            self.words.put(dict(zip(words, self.contracted(coded, run), strict=True)))
+
+    def contracted(self, coded: Sequence[bytes], run: bool) -> list[bytes]:
+        """The decimal ids of each, by the recursive query."""
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         number = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
         place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.db.register("fresh", pa.table({"w": number, "p": place.astype(np.int32), "tok": self.single[np.frombuffer(b"".join(coded), np.uint8)]}))
         found = self.db.sql(contraction(run)).to_arrow_table()
         self.db.unregister("fresh")
-        ids = [i.encode() for i in found["ids"].to_pylist()]
-        self.words.put(dict(zip([words[w] for w in found["w"].to_pylist()], ids, strict=True)))
+        ids = dict(zip(found["w"].to_pylist(), found["ids"].to_pylist(), strict=True))
+        return [ids[w].encode() for w in range(len(coded))]
+
+    def arrays(self, coded: Sequence[bytes]) -> list[np.ndarray]:
+        """The ids of each, in queries of a bounded size."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(coded)
+        for run in (False, True):
+            mine = [i for i, c in enumerate(coded) if (len(c) > LONG) == run]
+            for begin, end in slices([coded[i] for i in mine], BATCH):
+                for i, ids in zip(mine[begin:end], self.contracted([coded[i] for i in mine[begin:end]], run), strict=True):
+                    out[i] = np.array(ids.split(), np.int32)
+        return out
+
+    def code_long(self, coded: Sequence[bytes]) -> list[np.ndarray]:
+        """The ids of long words: of their pieces, then around seams that do not hold."""
+        cuts = [[c[i : i + PIECE] for i in range(0, len(c), PIECE)] for c in coded]
+        distinct = list(dict.fromkeys(p for pieces in cuts for p in pieces))
+        known = dict(zip(distinct, self.arrays(distinct), strict=True))
+        rows = [np.concatenate([known[p] for p in pieces]) for pieces in cuts]
+        seams = [np.cumsum([len(known[p]) for p in pieces])[:-1] for pieces in cuts]
+        holds: dict[tuple[int, int], bool] = {}
+        reach = REACH
+        while any(map(len, seams)):
+            pairs = [list(zip(r[s - 1].tolist(), r[s].tolist(), strict=True)) for r, s in zip(rows, seams, strict=True)]
+            fresh = [x for x in dict.fromkeys(p for ps in pairs for p in ps) if x not in holds]
+            holds |= {x: ids.tolist() == list(x) for x, ids in zip(fresh, self.arrays([self.bytes[a] + self.bytes[b] for a, b in fresh]), strict=True)}
+            spans = [joined([(max(0, s - reach), min(len(r), s + reach)) for s, p in zip(ss.tolist(), ps, strict=True) if not holds[p]]) for r, ss, ps in zip(rows, seams, pairs, strict=True)]
+            again = [b"".join(map(self.bytes.__getitem__, r[a:b].tolist())) for r, own in zip(rows, spans, strict=True) for a, b in own]
+            distinct = list(dict.fromkeys(again))
+            known = dict(zip(distinct, self.arrays(distinct), strict=True))
+            found = iter(again)
+            for i, own in enumerate(spans):
+                parts, ends, before, size = [], [], 0, 0
+                for a, b in own:
+                    new = known[next(found)]
+                    parts += [rows[i][before:a], new]
+                    size += a - before
+                    ends += [size, size + len(new)]
+                    size, before = size + len(new), b
+                rows[i] = np.concatenate([*parts, rows[i][before:]])
+                seams[i] = np.array([e for e in dict.fromkeys(ends) if 0 < e < len(rows[i])], np.int64)
+            reach *= 2
+        return rows
 
     def code_words(self, lists: Sequence[Sequence[str]]) -> list[bytes]:
         """Decimal ids of each list of words, joined by spaces; new words are coded."""

@@ -11,6 +11,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -361,9 +362,10 @@ def contracted(word, ranks):
     return [ranks[p] for p in parts]
 
 
-@pytest.mark.parametrize("long", [0, 1 << 20])
-def test_both_contractions_over_random_merges(monkeypatch, long):
-    monkeypatch.setattr(bpe, "LONG", long)
+@pytest.mark.parametrize(("long", "piece", "reach"), [(0, 24, 4), (1 << 20, 24, 4), (8, 3, 1), (5, 2, 1), (0, 1, 2), (20, 7, 3)])
+def test_contractions_over_random_merges(monkeypatch, long, piece, reach):
+    for name, value in (("LONG", long), ("PIECE", piece), ("REACH", reach)):
+        monkeypatch.setattr(bpe, name, value)
     rng = random.Random(11)
     for _ in range(6):
         tokens = {bytes([b]) for b in range(256)}
@@ -381,6 +383,21 @@ def test_both_contractions_over_random_merges(monkeypatch, long):
         assert got == [" ".join(map(str, contracted(w.encode(), ranks))).encode() for w in words]
 
 
+def test_long_words():
+    """A million mixed letters in one word, repetitions, and both: as the library codes them, in a time that follows the length."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(path), special_tokens={})
+    rng = random.Random(12)
+    own = bpe.coder(path, public_tokenizers.PATTERN)
+    period = "".join(rng.choices("acgt", k=997))
+    for word in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDE", k=1_000_000)), "".join(rng.choices("acgt", k=100_000)), "abc" * 20_000, "a" * 50_001, period * 40, "a" * 3000 + period + "ab" * 3000, "".join(rng.choices(["the", "quick", "anti", "ization", "é", "日本"], k=5000))):
+        began = time.process_time()
+        assert own.code([word]) == [" ".join(map(str, plain.encode_ordinary(word))).encode()]
+        assert time.process_time() - began < 60
+
+
 def test_windows_do_not_change_ids(monkeypatch):
     import tiktoken
 
