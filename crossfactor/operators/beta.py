@@ -7,6 +7,7 @@ fit and updates them after it. It holds two numbers a ticker, so its memory foll
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,25 +102,34 @@ class PreparedBeta:
     """The betas of a scan: read before a date's fit, moved after it."""
 
     def __init__(self, model: RecursiveBeta) -> None:
-        self.model, self.slots, self.state, self.fitted = model, Slots(), BetaState(model, np.zeros(0)), False
+        self.model, self.slots, self.betas, self.fitted = model, Slots(), BetaState(model, np.zeros(0)), False
 
     def exposures(self, day: Day) -> dict[str, np.ndarray]:
         self.at, fresh = self.slots.of(day.tickers)
         given = day["initial_beta"][fresh]
-        self.state.add(np.where(np.isnan(given), self.model.initial_beta, given))
-        self.beta = self.state.read(self.at)
+        self.betas.add(np.where(np.isnan(given), self.model.initial_beta, given))
+        self.beta = self.betas.read(self.at)
         return {self.model.name: self.beta}
 
     def update(self, day: Day, fit: Fit | None) -> None:
         if fit is not None:
             self.fitted = True
-            self.state.update(self.at, day.returns, day["market_return"][0], fit.coefficients[0], fit.centers[fit.names.index(self.model.name)])
+            self.betas.update(self.at, day.returns, day["market_return"][0], fit.coefficients[0], fit.centers[fit.names.index(self.model.name)])
             return
         base = self.model.base.names
         enough = usable(day.returns, np.column_stack([day[n] for n in base]), day.weights).sum() > 2 + len(base)
         if not self.fitted and enough and np.ptp(self.beta) == 0:
             raise ValueError(f"all {self.model.name} exposures are equal before the first fit: no ticker passed the bootstrap; lower min_periods or give more history")
 
+    def state(self, tickers: Sequence[str]) -> np.ndarray:
+        at, _ = self.slots.of(tickers)
+        return np.column_stack((self.betas.numerators[at], self.betas.denominators[at]))
+
+    def restore(self, tickers: Sequence[str], rows: np.ndarray) -> None:
+        at, fresh = self.slots.of(tickers)
+        self.betas.add(np.zeros(int(fresh.sum())))
+        self.betas.numerators[at], self.betas.denominators[at] = rows.T
+
 
 class BetaState:
     """Numerators and denominators by ticker slot."""

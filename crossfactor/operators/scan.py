@@ -38,12 +38,19 @@ class Day:
 
 
 class PreparedModel(Protocol):
-    """State between dates. Dates come in order; ``update`` gets None for a date that could not be fitted."""
+    """State between dates. Dates come in order; ``update`` gets None for a date that could not be fitted.
+
+    Live periods keep the state by ticker: ``state`` gives the rows of some tickers and ``restore`` takes them.
+    """
 
     def exposures(self, day: Day) -> dict[str, np.ndarray]: ...
 
     def update(self, day: Day, fit: Fit | None) -> None: ...
 
+    def state(self, tickers: Sequence[str]) -> np.ndarray: ...
+
+    def restore(self, tickers: Sequence[str], rows: np.ndarray) -> None: ...
+
 
 class Slots:
     """Places of tickers in arrays of state, in order of their first appearance."""

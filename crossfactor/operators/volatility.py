@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,3 +56,12 @@ class PreparedVolatility:
     def update(self, day: Day, fit: Fit | None) -> None:
         if fit is not None:
             self.variances[self.at[fit.rows]] = self.model.decay * self.read[fit.rows] ** 2 + (1 - self.model.decay) * fit.residuals**2
+
+    def state(self, tickers: Sequence[str]) -> np.ndarray:
+        at, _ = self.slots.of(tickers)
+        return self.variances[at][:, None]
+
+    def restore(self, tickers: Sequence[str], rows: np.ndarray) -> None:
+        at, fresh = self.slots.of(tickers)
+        self.variances = np.append(self.variances, np.full(int(fresh.sum()), np.nan))
+        self.variances[at] = rows[:, 0]
