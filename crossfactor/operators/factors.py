@@ -10,8 +10,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import TYPE_CHECKING, Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossfactor.functions.columns import by_ticker, finite, previous_session
 from crossfactor.operators.calendar import with_ordinals
@@ -23,6 +26,10 @@ if TYPE_CHECKING:
 RESERVED = {"date", "ticker", "return", "return_percent", "market_cap", "regression_weight", "specific_return", "intercept", "k", "in_universe", "member_rank"}
 
 
+#: Rows of a dense table unless one asks for more: a century of sessions of 400,000 names.
+DENSE = 10_000_000_000
+
+
 @dataclass(frozen=True)
 class Factor:
     name: str
@@ -36,6 +43,13 @@ class Factor:
             raise ValueError("history must not be negative")
 
 
+@dataclass(frozen=True)
+class PythonFactor(Factor):
+    """A factor in the user's Python: from a ticker's session ordinals, returns and caps, in order, to its exposures; NaN for none."""
+
+    build: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
 class FactorModel(Protocol):
     """Names, needed history, and exposures on the rows of a panel with ``return`` and ``k``.
 
@@ -60,9 +74,22 @@ def check_names(names: Sequence[str]) -> None:
         raise ValueError("factor names must differ, also by more than case")
 
 
+def in_python(factors: Sequence[PythonFactor]) -> Callable[[pa.Table], pa.Table]:
+    """A ticker's rows, sorted by session, with the factors' exposures."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        given = [rows[c].to_numpy() for c in ("k", "return", "market_cap")]
+        for f in factors:
+            rows = rows.append_column(f.name, pa.array(np.asarray(f.build(*given), float), from_pandas=True))
+        return rows
+
+    return run
+
+
 @dataclass(frozen=True)
 class CharacteristicModel:
-    """Several factors in one pass: all windows share the sort by ticker."""
+    """Several factors in one pass: all windows share the sort by ticker. Those in Python take a ticker's rows at a time, all in one pass."""
 
     factors: tuple[Factor, ...]
 
@@ -80,7 +107,13 @@ class CharacteristicModel:
         return max(f.history_business_days for f in self.factors)
 
     def exposures(self, panel: DataFrame) -> DataFrame:
-        return panel.select("*", *(f.build().alias(f.name) for f in self.factors))
+        columns = [f for f in self.factors if not isinstance(f, PythonFactor)]
+        out = panel.select("*", *(f.build().alias(f.name) for f in columns))
+        if len(columns) == len(self.factors):
+            return out
+        own = [f for f in self.factors if isinstance(f, PythonFactor)]
+        schema = T.StructType([*out.schema.fields, *(T.StructField(f.name, T.DoubleType()) for f in own)])
+        return out.groupBy("ticker").applyInArrow(in_python(own), schema).select(*panel.columns, *self.names)
 
     def with_inputs(self, members: DataFrame, panel: DataFrame, universe: DataFrame) -> DataFrame:
         return members
@@ -91,9 +124,15 @@ class CharacteristicModel:
     def fit(self, rows: DataFrame, residualizer: OwnFit) -> Fitted:
         return residualizer.fit(rows)
 
-    def dense(self, panel: DataFrame) -> DataFrame:
-        """Exposures on every session of every ticker, the public table; fits need observed rows only."""
+    def dense(self, panel: DataFrame, largest: int = DENSE) -> DataFrame:
+        """Exposures on every session of every ticker, the public table; fits need observed rows only.
+
+        The grid has a row for each pair; more than ``largest`` raise before any is made.
+        """
         own = panel if "k" in panel.columns else with_ordinals(panel)
+        sizes = own.agg(F.count_distinct("date").alias("dates"), F.count_distinct("ticker").alias("tickers")).first()
+        if sizes.dates * sizes.tickers > largest:
+            raise ValueError(f"a dense table of {sizes.dates:,} sessions and {sizes.tickers:,} tickers has more than {largest:,} rows")
         grid = own.select("date", "k").distinct().crossJoin(own.select("ticker").distinct())
         return self.exposures(grid.join(own.drop("k"), ["date", "ticker"], "left")).select("date", "ticker", *self.names)
 
@@ -117,13 +156,15 @@ def momentum_factor(lookback_days: int, skip_days: int, min_periods: int, name:
         raise ValueError("windows must be positive, and min_periods within the lookback")
 
     def build() -> Column:
-        frame = by_ticker().rangeBetween(-(lookback_days + skip_days - 1), -skip_days)
-        r = F.col("return")
+        # Running sums up to two ordinals, and their differences: linear in rows, whatever the lookback.
+        r, start = F.col("return"), Window.unboundedPreceding
+        late, early = by_ticker().rangeBetween(start, -skip_days), by_ticker().rangeBetween(start, -(lookback_days + skip_days))
         valid = finite(r) & (r > -1)
-        crash = F.when(r.isNotNull() & ~F.isnan(r) & (r <= -1), 1).otherwise(0)
-        count = F.count(F.when(valid, 1)).over(frame)
-        total = F.sum(F.when(valid, F.log1p(r))).over(frame)
-        return F.when((count >= min_periods) & (F.max(crash).over(frame) == 0), F.expm1(total))
+        inside = lambda c: F.coalesce(F.sum(c).over(late), F.lit(0)) - F.coalesce(F.sum(c).over(early), F.lit(0))
+        count = inside(F.when(valid, 1))
+        crashes = inside(F.when(r.isNotNull() & ~F.isnan(r) & (r <= -1), 1))
+        total = inside(F.when(valid, F.log1p(r)))
+        return F.when((count >= min_periods) & (crashes == 0), F.expm1(total))
 
     return Factor(name, build, lookback_days + skip_days)
 

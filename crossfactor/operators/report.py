@@ -38,6 +38,17 @@ def autocorrelation(rows: DataFrame, value: str, minimum_pairs: int = 60) -> Dat
     return paired.groupBy("ticker").agg(F.count("*").alias("pairs"), F.corr(value, "__p").alias("autocorrelation")).where(F.col("pairs") >= minimum_pairs)
 
 
+def mean_autocorrelation(rows: DataFrame, value: str, minimum_pairs: int = 60) -> DataFrame:
+    """(tickers, mean, median) of the tickers' autocorrelations."""
+    found = F.when(~F.isnan("autocorrelation"), F.col("autocorrelation"))
+    return autocorrelation(rows, value, minimum_pairs).agg(F.count(found).alias("tickers"), F.avg(found).alias("mean"), F.percentile(found, F.lit(0.5)).alias("median"))
+
+
+def dispersion(rows: DataFrame) -> DataFrame:
+    """(date, raw, residual): the population deviations of a date's returns and residuals."""
+    return rows.groupBy("date").agg(F.stddev_pop("return").alias("raw"), F.stddev_pop("specific_return").alias("residual"))
+
+
 def stage_r_squared(rows: DataFrame, factors: Sequence[str]) -> DataFrame:
     """(date, one cumulative R² a factor): after each removal."""
     w, rest = F.col("regression_weight"), F.col("return") - F.col("__f0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,8 @@ from crossfactor.operators import beta, calendar, factors, fit, report, universe
 from crossfactor.functions.columns import padded_ticker
 from crossfactor.plans.pipeline import Result, cross_sections, member_rows, prepared_panel, run_pipeline
 from crossfactor.sources.market import FrameSource, event_panel, weekly_panel
-from crossfactor.streaming import events
+from crossfactor.sources.working import working_folder, written
+from crossfactor.streaming import events, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -172,6 +174,21 @@ for name, factor, column in (
     ("short_reversal", factors.reversal_factor(), "-lagged_ret"),
 ):
     register(name, lambda s, d, f=factor: factors.CharacteristicModel((f,)).exposures(prepared(s, d)).select("date", "ticker", F.col(f.name).alias("exposure")), f"SELECT date, ticker, {column} AS exposure FROM x", "exposure")
+
+
+def python_momentum(k: np.ndarray, r: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Momentum as a user writes it: a ticker's sessions one after another."""
+    lookback, skip, least = MOMENTUM
+    out = np.full(len(k), np.nan)
+    for i, now in enumerate(k):
+        window = r[(k > now - lookback - skip) & (k <= now - skip)]
+        window = window[~np.isnan(window)]
+        if len(window) >= least and (window > -1).all():
+            out[i] = np.prod(1 + window) - 1
+    return out
+
+
+register("momentum_python", lambda s, d: factors.CharacteristicModel((factors.size_factor(), factors.PythonFactor("MOM", python_momentum, sum(MOMENTUM[:2])))).exposures(prepared(s, d)).select("date", "ticker", "SIZE", "MOM"), 'SELECT date, ticker, size_x AS "SIZE", mom_x AS "MOM" FROM x', '"SIZE" "MOM"')
 register(
     "exposures_dense",
     lambda s, d: MODEL.dense(prepared(s, d)),
@@ -227,6 +244,9 @@ register("turnover", lambda s, d: report.turnover(daily_universe(s, d, LIST)), "
   FROM (SELECT date, ticker, dense_rank() OVER (ORDER BY date) AS k FROM uni) a LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY date) + 1 AS k FROM uni) b USING (ticker, k) WHERE k > 1 GROUP BY date""", "turnover", size=LIST)
 register("autocorr", lambda s, d: report.autocorrelation(fitted(s, d).specific_returns(), "specific_return"), """SELECT ticker, count(*) AS pairs, corr(eps, prev) AS autocorrelation FROM (
   SELECT ticker, eps, CASE WHEN lag(k) OVER w = k - 1 THEN lag(eps) OVER w END AS prev FROM (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM e) WINDOW w AS (PARTITION BY ticker ORDER BY k)) WHERE prev IS NOT NULL GROUP BY ticker HAVING count(*) >= 60""", "autocorrelation")
+register("mean_autocorr", lambda s, d: report.mean_autocorrelation(fitted(s, d).specific_returns(), "specific_return"), """SELECT count(autocorrelation) AS tickers, avg(autocorrelation) AS mean, quantile_cont(autocorrelation, 0.5::DOUBLE) AS median FROM (SELECT corr(eps, prev) AS autocorrelation FROM (
+  SELECT ticker, eps, CASE WHEN lag(k) OVER w = k - 1 THEN lag(eps) OVER w END AS prev FROM (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM e) WINDOW w AS (PARTITION BY ticker ORDER BY k)) WHERE prev IS NOT NULL GROUP BY ticker HAVING count(*) >= 60)""", "mean median")
+register("dispersion", lambda s, d: report.dispersion(fitted(s, d).rows), "SELECT date, stddev_pop(ret) AS raw, stddev_pop(eps) AS residual FROM e GROUP BY date", "raw residual")
 register("cap_coverage", lambda s, d: report.cap_coverage(panel(s, d), (5, 20, 50)), "SELECT date, sum(market_cap) FILTER (r <= 5) / sum(market_cap) AS share_5, sum(market_cap) FILTER (r <= 20) / sum(market_cap) AS share_20, sum(market_cap) FILTER (r <= 50) / sum(market_cap) AS share_50 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY market_cap DESC, ticker) AS r FROM panel WHERE market_cap > 0) GROUP BY date", "share_5 share_20 share_50")
 register("stage_r2", lambda s, d: report.stage_r_squared(fitted(s, d).rows, ORDER), 'SELECT date, 1 - sum(w * (ret - a - f1 * q1) ** 2) / sum(w * (ret - a) ** 2) AS "r2_SIZE", 1 - sum(w * eps ** 2) / sum(w * (ret - a) ** 2) AS "r2_MOM" FROM e GROUP BY date', '"r2_SIZE" "r2_MOM"')
 R2 = "(SELECT date, 1 - sum(w * eps * eps) / sum(w * (ret - a) ** 2) AS r_squared FROM e GROUP BY date)"
@@ -388,3 +408,27 @@ register("log_gaps", lambda s, d: events.gaps(s.read.parquet(f"{d}/events.parque
 ORACLE["log_gaps"] = "SELECT \"offset\", prior FROM (SELECT event_id AS \"offset\", lag(event_id) OVER (ORDER BY event_id) AS prior FROM events) WHERE \"offset\" <> coalesce(prior, 0) + 1"
 register("after_offset", lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("offset"), "user_id").where("offset > 500"), None)
 ORACLE["after_offset"] = "SELECT event_id AS \"offset\", user_id FROM events WHERE event_id > 500"
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as logged events, replayed by a stream: final rows. Each year is a market of its own, so years run beside one another."""
+    own, members = prepared(spark, sf_dir), daily_universe(spark, sf_dir)
+    w = own.select("date", "ticker", weights.SquareRootCapWeights().column().alias("regression_weight"))
+    history = events.with_frozen(events.historical_events(members, own, w, "TEST", "1w"), MODEL.exposures(own), ORDER)
+    logged = history.withColumn("market", F.concat(F.lit("TEST"), F.year("as_of").cast("string"))).withColumn("offset", F.col("source_sequence") + 1)
+    rows = written(logged, "events")
+    folder = working_folder(spark, "replay")
+    source = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    finals = live.stream(source, [live.LiveModel("v1", RESIDUALIZER)], finals_only=True)
+    query = finals.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(finals.schema).parquet(f"{folder}/rows")
+
+
+def live_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a period, from the live results: coefficients and the fit's record."""
+    one = replayed(spark, sf_dir).where("status = 'final'").groupBy(F.col("as_of").cast("date").alias("date")).agg(F.first("factor_returns").alias("f"), F.first("n_observations").cast("long").alias("n_observations"), F.first("rank").alias("rank"), F.first("r_squared").alias("r_squared"), F.first("centers").alias("c"), F.first("scales").alias("s"))
+    return one.select("date", *(F.col("f")[i].alias(n) for i, n in enumerate(("INTERCEPT", *ORDER))), "n_observations", "rank", "r_squared", F.col("c")[0].alias("center_size"), F.col("s")[1].alias("scale_mom"))
+
+
+register("live_finals", live_finals, """SELECT date, any_value(a) AS "INTERCEPT", any_value(f1) AS "SIZE", any_value(f2) AS "MOM", count(*) AS n_observations, 3::INT AS rank, 1 - sum(w * eps * eps) / sum(w * (ret - a) ** 2) AS r_squared, any_value(c1) AS center_size, any_value(s2) AS scale_mom FROM e GROUP BY date""", '"INTERCEPT" "SIZE" "MOM" r_squared center_size scale_mom')

@@ -10,6 +10,7 @@ import datetime as dt
 import hashlib
 import json
 import math
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -135,6 +136,19 @@ def historical_events(universe: DataFrame, returns: DataFrame, regression_weight
     return out.withColumn("source_sequence", F.col("__start") + F.col("__r") - 1).select(*(F.col(f"`{c}`") for c in EVENT.names))
 
 
+def with_frozen(events: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Events with a column ``inputs``: on opening rows, the values (date, ticker and names) of the period's tickers, in their order.
+
+    It is what a live model reads at the opening, so a stream of these events needs no other table.
+    """
+    own = F.transform("tickers", lambda t: F.struct(F.col("as_of").cast("date").alias("date"), t.alias("ticker")))
+    opened = events.where(F.col("kind") == KINDS[0]).select("event_id", F.posexplode(own).alias("__at", "__row")).select("event_id", "__at", "__row.date", "__row.ticker")
+    nan = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(float("nan")))
+    rows = opened.join(values.select("date", "ticker", *names), ["date", "ticker"], "left").groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("__at", *(nan(n).alias(n) for n in names)))).alias("__rows"))
+    columns = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col("__rows").getField(n) for n in names)))
+    return events.join(rows.select("event_id", columns.alias("inputs")), "event_id", "left").select(*events.columns, "inputs")
+
+
 def deduplicated(events: DataFrame, content: str = "content") -> DataFrame:
     """The first row of each event_id by offset; equal content only, else it raises."""
     w = Window.partitionBy("event_id")
