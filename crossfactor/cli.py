@@ -15,7 +15,7 @@ from crossfactor.operators.beta import RecursiveBeta
 from crossfactor.operators.calendar import analysis_window
 from crossfactor.plans.pipeline import run_pipeline
 from crossfactor.progress import TerminalProgress
-from crossfactor.sources.artifacts import write_artifacts
+from crossfactor.sources.artifacts import publish
 from crossfactor.sources.market import YearlyParquetSource
 
 #: Options that override the configuration: flag, key, type.
@@ -81,7 +81,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     except (OSError, ValueError) as error:
         args.error(str(error))
     spark = spark or SparkSession.builder.appName("crossfactor").getOrCreate()
-    began, progress = time.monotonic(), TerminalProgress(6, previews=given["previews"])
+    began, progress = time.monotonic(), TerminalProgress(6, previews=given["previews"], spark=spark)
     source = YearlyParquetSource(spark, given["data_dir"])
     window = analysis_window(source, config.run.years, config.run.end_date)
     model, weight, residualizer = models(config)
@@ -93,11 +93,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         factors=model,
         weights=weight,
         residualizer=residualizer,
-        validations=(validate.CoverageValidation(config.validation.minimum_date_coverage), validate.FiniteOutputValidation(), validate.ReconstructionValidation(tolerance), validate.OrthogonalityValidation(tolerance), validate.SequentialOrthogonalityValidation(tolerance)),
         progress=progress,
     )
-    with progress.stage("Write artifacts"):
-        manifest = write_artifacts(result, config.output.directory)
+    checks = (validate.CoverageValidation(config.validation.minimum_date_coverage), validate.FiniteOutputValidation(), validate.ReconstructionValidation(tolerance), validate.OrthogonalityValidation(tolerance), validate.SequentialOrthogonalityValidation(tolerance))
+    with progress.stage("Check and write artifacts"):
+        manifest = publish(result, config.output.directory, checks)
     days = result.fitted.diagnostics().agg(F.count("*").alias("dates"), F.sum("n_observations").alias("rows"), F.min("n_observations").alias("least"), F.max("n_observations").alias("most"), F.min("date").alias("first"), F.max("date").alias("last")).first()
     result.release()
     seconds = time.monotonic() - began

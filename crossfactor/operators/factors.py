@@ -54,11 +54,12 @@ class FactorModel(Protocol):
     """Names, needed history, and exposures on the rows of a panel with ``return`` and ``k``.
 
     Of members' rows with those exposures and weights, ``sections`` gives all factors and ``fit`` the fits; factors that need
-    the fits before are theirs to make, from the columns of ``with_inputs``.
+    the fits before are theirs to make, from the columns of ``with_inputs``. ``passes`` says how often a fit reads the rows.
     """
 
     names: tuple[str, ...]
     history_business_days: int
+    passes: int
 
     def exposures(self, panel: DataFrame) -> DataFrame: ...
 
@@ -115,6 +116,10 @@ class CharacteristicModel:
         schema = T.StructType([*out.schema.fields, *(T.StructField(f.name, T.DoubleType()) for f in own)])
         return out.groupBy("ticker").applyInArrow(in_python(own), schema).select(*panel.columns, *self.names)
 
+    @property
+    def passes(self) -> int:
+        return 3
+
     def with_inputs(self, members: DataFrame, panel: DataFrame, universe: DataFrame) -> DataFrame:
         return members
 

@@ -1,8 +1,12 @@
-"""Cross-sectional weighted regressions of every date, as windows over one exchange by date.
+"""Cross-sectional weighted regressions of every date, as partial aggregates by date.
 
-Rows are filtered, exposures winsorized at exact quantiles, centered and scaled with weights; the
-weighted Gram matrix of a date is then factorized as LDL' in scalar columns. Ordered removal uses
-the orthogonal basis, the joint fit the exposures themselves; residuals agree. Dates without
+Rows are filtered, exposures winsorized at exact quantiles, centered and scaled with weights. Two aggregates by date make
+a table of a row a date: first ranges, then weighted moments about values near the mean, so that little cancels. There the
+Gram matrix is factorized as LDL' in scalar columns, and the table goes back to the rows by a broadcast, as dates are
+bounded. So rows are never moved: sums leave each task as one row a date, and only an exact quantile brings a date's
+distinct values together. The rows are read three times; a caller keeps or writes them first.
+
+Ordered removal uses the orthogonal basis, the joint fit the exposures themselves; residuals agree. Dates without
 enough rows, spread or independent factors drop out.
 """
 
@@ -14,11 +18,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossfactor.functions.columns import by_date, finite
+from crossfactor.functions.columns import finite
+from crossfactor.operators.calendar import MAX_SESSIONS
 from crossfactor.operators.factors import check_names
 from crossfactor.operators.kernel import COLLAPSE, Fit, usable
 from crossfactor.operators.kernel import fit as fit_one
@@ -34,48 +39,91 @@ def all_finite(factors: Sequence[str]) -> Column:
     return out
 
 
-def total(c: Column) -> Column:
-    return F.sum(c).over(by_date())
+def bounded(dates: DataFrame) -> DataFrame:
+    """A table of a row a date, held to ``MAX_SESSIONS``: so it may be broadcast."""
+    number = F.row_number().over(Window.orderBy("date"))
+    ok = F.when(number <= MAX_SESSIONS, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {MAX_SESSIONS} dates")).cast("boolean"))
+    return dates.withColumn("__ok", ok).where("__ok").drop("__ok")
 
 
-def normalised(panel: DataFrame, factors: Sequence[str], winsor: float, unscaled: Sequence[str]) -> DataFrame:
-    """Usable rows of estimable dates with ``__z``, ``__c`` and ``__s`` columns: values, centers, scales."""
-    w = F.col("regression_weight")
-    rows = panel.where(all_finite(factors)).withColumn("__n", F.count("*").over(by_date())).where(F.col("__n") > 1 + len(factors))
-    if winsor > 0:
-        rows = rows.withColumns({f"__q_{i}": F.expr(f"percentile(`{x}`, array({winsor}D, {1 - winsor}D)) over (partition by date)") for i, x in enumerate(factors)})
-        rows = rows.withColumns({f"__x_{i}": F.least(F.greatest(F.col(x), F.col(f"__q_{i}")[0]), F.col(f"__q_{i}")[1]) for i, x in enumerate(factors)})
-    else:
-        rows = rows.withColumns({f"__x_{i}": F.col(x) for i, x in enumerate(factors)})
-    rows = rows.withColumns({"__w": total(w), "__a": total(w * F.col("return")) / total(w)} | {f"__c_{i}": total(w * F.col(f"__x_{i}")) / total(w) for i in range(len(factors))})
-    spread = {f"__s_{i}": F.sqrt(total(w * (F.col(f"__x_{i}") - F.col(f"__c_{i}")) ** 2) / F.col("__w")) for i in range(len(factors))}
-    rows = rows.withColumns(spread)
-    for i in range(len(factors)):
-        rows = rows.where(finite(F.col(f"__s_{i}")) & (F.col(f"__s_{i}") > 0))
-    scales = {f"__s_{i}": F.lit(1.0) for i, x in enumerate(factors) if x in unscaled}
-    rows = rows.withColumns(scales) if scales else rows
-    return rows.withColumns({f"__z_{i}": F.try_divide(F.col(f"__x_{i}") - F.col(f"__c_{i}"), F.col(f"__s_{i}")) for i in range(len(factors))})
-
-
-def factorized(rows: DataFrame, count: int) -> DataFrame:
-    """Columns ``__d_j`` and ``__l_k_j`` of each date's Gram matrix and ``__b_j``; collapsed dates drop out."""
-    w, z = F.col("regression_weight"), [F.col(f"__z_{i}") for i in range(count)]
-    sums = {f"__g_{k}_{j}": total(w * z[k] * z[j]) for k in range(count) for j in range(k + 1)}
-    rows = rows.withColumns(sums | {f"__b_{j}": total(w * z[j] * (F.col("return") - F.col("__a"))) for j in range(count)})
+def with_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(dates), "date")
+
+
+def ranges_of(rows: DataFrame, factors: Sequence[str], winsor: float, uniform: bool) -> DataFrame:
+    """By date: ``__lo_i`` and ``__hi_i``, the bounds of winsorized values or the extremes, and ``__ref_i``, a value near the mean within them.
+
+    An exact percentile brings a date's distinct values together; all else is summed on the way.
+    """
+    w, out = F.col("regression_weight"), [F.count("*").alias("__n"), F.avg("return").alias("__ref")]
+    for i, x in enumerate(factors):
+        ends = F.expr(f"percentile(`{x}`, array({winsor}D, {1 - winsor}D))") if winsor > 0 else F.array(F.min(x), F.max(x))
+        out += [ends.alias(f"__e_{i}"), F.avg(x).alias(f"__m_{i}")]
+    found = rows.groupBy("date").agg(*out, F.min(w).alias("__least"), F.max(w).alias("__most"))
+    if uniform:
+        even = F.when(F.col("__least") < F.col("__most"), F.raise_error(F.lit("weights must be uniform")).cast("boolean")).otherwise(F.lit(True))
+        found = found.withColumn("__even", even).where("__even")
+    found = found.where(F.col("__n") > 1 + len(factors))
+    low, high = (lambda i: F.col(f"__e_{i}")[0]), (lambda i: F.col(f"__e_{i}")[1])
+    columns = [c for i in range(len(factors)) for c in (low(i).alias(f"__lo_{i}"), high(i).alias(f"__hi_{i}"), F.least(F.greatest(F.col(f"__m_{i}"), low(i)), high(i)).alias(f"__ref_{i}"))]
+    return bounded(found.select("date", "__ref", *columns))
+
+
+def clipped(x: str, i: int) -> Column:
+    return F.least(F.greatest(F.col(x), F.col(f"__lo_{i}")), F.col(f"__hi_{i}"))
+
+
+def moments_of(rows: DataFrame, factors: Sequence[str], unscaled: Sequence[str]) -> DataFrame:
+    """By date: weighted sums about the reference values, on the way, then centers ``__c_i``, scales ``__s_i``, the Gram matrix ``__g_k_j`` of scaled values and ``__b_j``, its right side, as scalars.
+
+    ``rows`` have the columns of ``ranges_of``. Dates without spread in a factor drop out.
+    """
+    n, w = range(len(factors)), F.col("regression_weight")
+    u, v = [clipped(x, i) - F.col(f"__ref_{i}") for i, x in enumerate(factors)], F.col("return") - F.col("__ref")
+    ends = [f"__{kind}_{i}" for kind in ("lo", "hi", "ref") for i in n]
+    sums = [F.sum(w).alias("__w"), F.sum(w * v).alias("__v"), F.first("__ref").alias("__ref"), *(F.first(c).alias(c) for c in ends)]
+    sums += [F.sum(w * u[i]).alias(f"__m_{i}") for i in n] + [F.sum(w * u[i] * v).alias(f"__mv_{i}") for i in n]
+    sums += [F.sum(w * u[i] * u[j]).alias(f"__mm_{i}_{j}") for i in n for j in range(i + 1)]
+    m, total = (lambda i: F.col(f"__m_{i}")), F.col("__w")
+    centered = lambda i, j: F.col(f"__mm_{i}_{j}") - m(i) * m(j) / total
+    out = rows.groupBy("date").agg(*sums)
+    out = out.withColumns({"__a": F.col("__ref") + F.col("__v") / total} | {f"__c_{i}": F.col(f"__ref_{i}") + m(i) / total for i in n} | {f"__s_{i}": F.sqrt(F.greatest(centered(i, i), F.lit(0.0)) / total) for i in n})
+    for i in n:
+        out = out.where(finite(F.col(f"__s_{i}")) & (F.col(f"__s_{i}") > 0))
+    flat = {f"__s_{i}": F.lit(1.0) for i, x in enumerate(factors) if x in unscaled}
+    out = out.withColumns(flat) if flat else out
+    s = lambda i: F.col(f"__s_{i}")
+    gram = {f"__g_{i}_{j}": centered(i, j) / (s(i) * s(j)) for i in n for j in range(i + 1)}
+    return out.withColumns(gram | {f"__b_{i}": (F.col(f"__mv_{i}") - m(i) * F.col("__v") / total) / s(i) for i in n})
+
+
+def factorized(dates: DataFrame, count: int) -> DataFrame:
+    """Columns ``__d_j`` and ``__l_k_j`` of each date's Gram matrix; collapsed dates drop out."""
     g, d, low = (lambda k, j: F.col(f"__g_{k}_{j}")), (lambda j: F.col(f"__d_{j}")), (lambda k, j: F.col(f"__l_{k}_{j}"))
     for j in range(count):
         pivot = g(j, j)
         for m in range(j):
             pivot = pivot - low(j, m) * low(j, m) * d(m)
-        rows = rows.withColumn(f"__d_{j}", pivot).where(d(j) > COLLAPSE * F.greatest(F.lit(1.0), g(j, j)))
+        dates = dates.withColumn(f"__d_{j}", pivot).where(d(j) > COLLAPSE * F.greatest(F.lit(1.0), g(j, j)))
         below = {}
         for k in range(j + 1, count):
             value = g(k, j)
             for m in range(j):
                 value = value - low(k, m) * low(j, m) * d(m)
             below[f"__l_{k}_{j}"] = F.try_divide(value, d(j))
-        rows = rows.withColumns(below) if below else rows
-    return rows
+        dates = dates.withColumns(below) if below else dates
+    return dates
+
+
+def normalised(panel: DataFrame, factors: Sequence[str], winsor: float, unscaled: Sequence[str]) -> DataFrame:
+    """Usable rows of estimable dates with ``__z``, ``__c`` and ``__s`` columns: values, centers, scales."""
+    rows = panel.where(all_finite(factors))
+    dates = moments_of(with_dates(rows, ranges_of(rows, factors, winsor, False)), factors, unscaled)
+    return standardised(with_dates(rows, dates), factors)
+
+
+def standardised(rows: DataFrame, factors: Sequence[str]) -> DataFrame:
+    return rows.withColumns({f"__z_{i}": F.try_divide(clipped(x, i) - F.col(f"__c_{i}"), F.col(f"__s_{i}")) for i, x in enumerate(factors)})
 
 
 def FIT_FIELDS(count: int) -> tuple[str, ...]:  # noqa: N802
@@ -162,30 +210,33 @@ class Residualizer:
         if missing := set(self.factor_order) - set(panel.columns):
             raise ValueError(f"missing factors: {sorted(missing)}")
         names, count = self.factor_order, len(self.factor_order)
-        rows = panel.select("date", "ticker", "return", "regression_weight", *names)
+        rows = panel.select("date", "ticker", "return", "regression_weight", *names).where(all_finite(names))
+        ranges = ranges_of(rows, names, self.winsor_quantile, self.uniform)
         if self.uniform:
-            w = F.when(all_finite(names), F.col("regression_weight"))
-            uneven = F.min(w).over(by_date()) < F.max(w).over(by_date())
-            rows = rows.withColumn("regression_weight", F.when(uneven, F.raise_error(F.lit("weights must be uniform")).cast("double")).when(w.isNotNull(), F.lit(1.0)))
-        rows = factorized(normalised(rows, names, self.winsor_quantile, self.unscaled_factors), count)
+            rows = rows.withColumn("regression_weight", F.lit(1.0))
+        dates = factorized(moments_of(with_dates(rows, ranges), names, self.unscaled_factors), count)
         low = lambda k, j: F.col(f"__l_{k}_{j}")
         for j in range(count):
-            basis, moment = F.col(f"__z_{j}"), F.col(f"__b_{j}")
+            moment = F.col(f"__b_{j}")
             for k in range(j):
-                basis = basis - low(j, k) * F.col(f"__o_{k}")
                 moment = moment - low(j, k) * F.col(f"__m_{k}")
-            rows = rows.withColumns({f"__o_{j}": basis, f"__m_{j}": moment}).withColumn(f"__t_{j}", F.try_divide(F.col(f"__m_{j}"), F.col(f"__d_{j}")))
-        if self.sequential:
-            taken = [F.col(f"__t_{j}") for j in range(count)]
-            shown = [F.col(f"__o_{j}") for j in range(count)]
-        else:
-            for j in range(count - 1, -1, -1):
-                value = F.col(f"__t_{j}")
-                for k in range(j + 1, count):
-                    value = value - low(k, j) * F.col(f"__u_{k}")
-                rows = rows.withColumn(f"__u_{j}", value)
-            taken = [F.col(f"__u_{j}") for j in range(count)]
-            shown = [F.col(f"__z_{j}") for j in range(count)]
+            dates = dates.withColumn(f"__m_{j}", moment).withColumn(f"__t_{j}", F.try_divide(F.col(f"__m_{j}"), F.col(f"__d_{j}")))
+        for j in range(count - 1, -1, -1):
+            value = F.col(f"__t_{j}")
+            for k in range(j + 1, count):
+                value = value - low(k, j) * F.col(f"__u_{k}")
+            dates = dates.withColumn(f"__u_{j}", value)
+        # All that a row needs of its date.
+        n = range(count)
+        needed = ["__a", *(f"__{c}_{i}" for c in ("lo", "hi", "c", "s", "t", "u") for i in n), *(f"__l_{k}_{j}" for j in n for k in range(j + 1, count))]
+        rows = standardised(with_dates(rows, dates.select("date", *needed)), names)
+        for j in n if self.sequential else ():
+            basis = F.col(f"__z_{j}")
+            for k in range(j):
+                basis = basis - low(j, k) * F.col(f"__o_{k}")
+            rows = rows.withColumn(f"__o_{j}", basis)
+        taken = [F.col(f"__t_{j}" if self.sequential else f"__u_{j}") for j in n]
+        shown = [F.col(f"__o_{j}" if self.sequential else f"__z_{j}") for j in n]
         rest = F.col("return") - F.col("__a")
         for f, q in zip(taken, shown, strict=True):
             rest = rest - f * q

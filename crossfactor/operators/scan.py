@@ -75,6 +75,10 @@ class OrderedModel:
     base: FactorModel
     inputs: tuple[str, ...] = ()
 
+    @property
+    def passes(self) -> int:
+        return 1
+
     @property
     def own(self) -> tuple[str, ...]:
         raise NotImplementedError

@@ -92,7 +92,8 @@ def run_pipeline(
         with steps.stage("Prepare factors"):
             panel = kept(prepared_panel(loaded, returns))
         with steps.stage("Residualize returns"):
-            fitted = factors.fit(member_rows(panel, universe, factors, weights), residualizer)
+            rows = member_rows(panel, universe, factors, weights)
+            fitted = factors.fit(kept(rows) if factors.passes > 1 else rows, residualizer)
             # Five checks and four sinks read the fitted rows.
             fitted = Fitted(kept(fitted.rows), fitted.factors)
             if fitted.rows.isEmpty():

@@ -115,7 +115,8 @@ def daily_universe(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFr
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_sections(prepared(spark, sf_dir), daily_universe(spark, sf_dir), MODEL, weights.SquareRootCapWeights(), RESIDUALIZER)
+    """Written once, as a fit reads them three times."""
+    return written(cross_sections(prepared(spark, sf_dir), daily_universe(spark, sf_dir), MODEL, weights.SquareRootCapWeights(), RESIDUALIZER), "sections")
 
 
 RESIDUALIZER = fit.sequential_wls(ORDER, WINSOR)
