@@ -116,12 +116,13 @@ class OrderedModel:
         return self.scan(rows, residualizer).select("date", "ticker", "return", "regression_weight", *self.names)
 
     def fit(self, rows: DataFrame, residualizer: OwnFit) -> Fitted:
-        """The scan's own fits."""
+        """The scan's own fits, dealt by date again, as checks and sinks need no order."""
         if missing := set(residualizer.factor_order) - set(self.names):
             raise ValueError(f"missing factors: {sorted(missing)}")
         out = self.scan(rows, residualizer)
         names = FIT_FIELDS(len(residualizer.factor_order))
-        return Fitted(out.where(out.specific_return.isNotNull()).select("date", "ticker", "return", "regression_weight", *names), tuple(residualizer.factor_order))
+        rows = out.where(out.specific_return.isNotNull()).select("date", "ticker", "return", "regression_weight", *names)
+        return Fitted(rows.repartition("date"), tuple(residualizer.factor_order))
 
 
 def fit_columns(found: Fit | None, count: int, rows: int) -> list[pa.Array]:

@@ -94,9 +94,9 @@ def run_pipeline(
         with steps.stage("Residualize returns"):
             rows = member_rows(panel, universe, factors, weights)
             fitted = factors.fit(kept(rows) if factors.passes > 1 else rows, residualizer)
-            # Five checks and four sinks read the fitted rows.
+            # Checks and sinks read the fitted rows; counting them completes the cache, as what it was made of is released.
             fitted = Fitted(kept(fitted.rows), fitted.factors)
-            if fitted.rows.isEmpty():
+            if fitted.rows.count() == 0:
                 raise ValueError("no dates had enough valid observations")
             steps.table("fitted", fitted.specific_returns())
         result = Result(fitted, universe)
@@ -111,7 +111,7 @@ def run_pipeline(
         for frame in held:
             frame.unpersist()
         raise
-    # The fitted rows are complete in the cache once a check has read them all.
-    for frame in (panel, loaded):
-        frame.unpersist()
+    for frame in held:
+        if frame is not universe and frame is not fitted.rows:
+            frame.unpersist()
     return Result(fitted, universe, found)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from crossfactor.operators import beta, calendar, factors, fit, report, universe, validate, volatility, weights
 from crossfactor.functions.columns import padded_ticker
 from crossfactor.plans.pipeline import Result, cross_sections, member_rows, prepared_panel, run_pipeline
+from crossfactor.sources.artifacts import publish
 from crossfactor.sources.market import FrameSource, event_panel, weekly_panel
 from crossfactor.sources.working import working_folder, written
 from crossfactor.streaming import events, live
@@ -376,8 +377,10 @@ CHECKS = (validate.CoverageValidation(0.8), validate.FiniteOutputValidation(), v
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run from source to checked tables: their rows and sums."""
     daily, window = dated_by_day(spark, sf_dir, WINDOW.start)
-    result = run_pipeline(source=daily, window=window, universe_builder=universe.DailyTopUniverse(SIZE), factors=BETA_MODEL, weights=weights.SquareRootCapWeights(), residualizer=BETA_RESIDUALIZER, validations=CHECKS)
-    tables = result.tables()
+    result = run_pipeline(source=daily, window=window, universe_builder=universe.DailyTopUniverse(SIZE), factors=BETA_MODEL, weights=weights.SquareRootCapWeights(), residualizer=BETA_RESIDUALIZER)
+    folder = working_folder(spark, "run")
+    tables = {r.artifact: spark.read.parquet(r.path) for r in publish(result, folder, CHECKS).collect()}
+    result.release()
     f, e = tables["f"], tables["epsilon"]
     return e.agg(F.count("*").alias("rows"), F.sum(F.abs("specific_return")).alias("residuals")).join(f.agg(F.count("*").alias("dates"), F.sum(F.abs("MKT")).alias("market"), F.sum(F.abs("MOM")).alias("momentum")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +74,13 @@ def publish(result: Result, directory: str, checks: Sequence[Validation] = (), f
     tables = {"epsilon": rows.select("date", "ticker", "specific_return"), "r": fitted.returns(), "X": fitted.exposures(), "f": dates.where("fitted").select("date", *terms)}
     path = spark._jvm.org.apache.hadoop.fs.Path(staging)
     try:
-        for name in NAMES:
+
+        def stage(name: str) -> None:
             out = tables[name] if files is None else tables[name].coalesce(files)
             out.write.option("compression", "zstd").parquet(f"{staging}/{name}.parquet")
+
+        with ThreadPoolExecutor(len(NAMES)) as pool:  # the jobs share the cluster
+            list(pool.map(stage, NAMES))
         found: list[dict[str, float | None]] = [{} for _ in checks]
         for metric, value in (by_row.get | by_date.get).items():
             if "." in metric:
