@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from crossfactor.operators.calendar import AnalysisWindow, sessions
 from crossfactor.sources.market import MarketDataSource
 
-#: Days before a window in which the snapshot before its first session is looked for.
-SNAPSHOT_DAYS = 40
-
 
 class UniverseBuilder(Protocol):
     def build(self, source: MarketDataSource, window: AnalysisWindow) -> DataFrame: ...

@@ -18,7 +18,7 @@ from crossfactor.operators.universe import DailyTopUniverse
 from crossfactor.operators.weights import SquareRootCapWeights
 from crossfactor.plans.pipeline import Result, prepared_panel, run_pipeline
 from crossfactor.progress import StreamProgress, TerminalProgress
-from crossfactor.sources.artifacts import publish
+from crossfactor.sources.artifacts import publish, write_csv
 from crossfactor.sources.market import FrameSource
 
 CHECKS = (validate.CoverageValidation(0.9), validate.FiniteOutputValidation(), validate.ReconstructionValidation(), validate.OrthogonalityValidation(), validate.SequentialOrthogonalityValidation())
@@ -44,6 +44,12 @@ def test_tables_and_checks_come_of_the_same_jobs(result, spark, tmp_path):
         assert check.validate(result).passed
 
 
+def test_csv(result, spark, tmp_path):
+    write_csv(result, str(tmp_path))
+    f = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "f.csv"))
+    assert f.columns == ["date", "INTERCEPT", "SIZE", "MOM"] and f.count() == 20
+
+
 @pytest.mark.parametrize(
     ("change", "check", "message"),
     [
