@@ -33,6 +33,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,31 +59,32 @@ CODED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids
 
 
 def contraction(run: bool) -> str:
-    """SQL: contract the words of table ``fresh`` (w, p, tok) until fixpoint. ``run``: all pairs of the rank at once, where safe.
+    """SQL: contract the words of table ``fresh`` (k, tok) until fixpoint. ``run``: all pairs of the rank at once, where safe.
 
+    A key ``k`` is a word's number and, in its lower half, a place, so that one sort puts all words' tokens in order.
     ``least`` is a word's minimum rank and the leftmost place that has it.
     """
     if run:
-        # Heads of one rank may overlap; every second one of a run of neighbours contracts.
+        # Heads of one rank may overlap; every second one of a run of neighbours contracts. A word's last token heads nothing, so runs end there.
         heads = """
-          l AS (SELECT j.*, least, rank IS NOT NULL AND rank = least >> 32 AS hit FROM j JOIN m ON j.w = m.w),
-          o AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM l),
-          r AS (SELECT *, n - max(CASE WHEN NOT hit THEN n ELSE 0 END) OVER (PARTITION BY w ORDER BY p) AS place FROM o),
-          h AS (SELECT *, hit AND (p = least & 4294967295 OR safe AND place % 2 = 1) AS head FROM r),
-          g AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM h)"""
+          l AS (SELECT j.*, least, rank IS NOT NULL AND rank = least >> 32 AS hit FROM j JOIN m ON (j.k >> 32) = m.w),
+          o AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM l),
+          r AS (SELECT *, n - max(CASE WHEN NOT hit THEN n ELSE 0 END) OVER (ORDER BY k) AS place FROM o),
+          h AS (SELECT *, hit AND ((k & 4294967295) = (least & 4294967295) OR safe AND place % 2 = 1) AS head FROM r),
+          g AS (SELECT *, coalesce(lag(head) OVER (ORDER BY k), false) AS gone FROM h)"""
     else:
         heads = """
-          g AS (SELECT j.*, least, p = least & 4294967295 AS head, coalesce(before = least & 4294967295, false) AS gone FROM j JOIN m ON j.w = m.w)"""
+          g AS (SELECT j.*, least, (k & 4294967295) = (least & 4294967295) AS head, coalesce(before = ((m.w << 32) | (least & 4294967295)), false) AS gone FROM j JOIN m ON (j.k >> 32) = m.w)"""
     return f"""
         WITH RECURSIVE s AS (
-          SELECT w, p, tok, false AS done FROM fresh
+          SELECT k, tok, false AS done FROM fresh
           UNION ALL
-          (WITH n AS (SELECT w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS next, lag(p) OVER (PARTITION BY w ORDER BY p) AS before FROM s WHERE NOT done),
-          j AS (SELECT n.*, merges.rank, merges.safe FROM n LEFT JOIN merges ON merges.a = n.tok AND merges.b = n.next),
-          m AS (SELECT w, min(rank::BIGINT << 32 | p) AS least FROM j GROUP BY w),{heads}
-          SELECT w, p, CASE WHEN head THEN rank ELSE tok END, least IS NULL FROM g WHERE NOT gone)
+          (WITH n AS (SELECT k, tok, CASE WHEN (lead(k) OVER o >> 32) = (k >> 32) THEN lead(tok) OVER o END AS next, lag(k) OVER o AS before FROM s WHERE NOT done WINDOW o AS (ORDER BY k)),
+          j AS (SELECT n.*, merges.rank, merges.safe FROM n LEFT JOIN merges ON merges.pair = ((n.tok::BIGINT << 32) | n.next)),
+          m AS (SELECT k >> 32 AS w, min((rank::BIGINT << 32) | (k & 4294967295)) AS least FROM j GROUP BY 1),{heads}
+          SELECT k, CASE WHEN head THEN rank ELSE tok END, least IS NULL FROM g WHERE NOT gone)
         )
-        SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY p) AS ids FROM s WHERE done GROUP BY w"""
+        SELECT k >> 32 AS w, array_to_string(list(tok ORDER BY k), ' ')::BLOB AS ids FROM s WHERE done GROUP BY 1 ORDER BY 1"""
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -123,7 +125,7 @@ class Coder:
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         unsafe = {part for a, b, r in rows for part in (a, b) if part > r}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
-        merges = pa.table({"a": pa.array([r[0] for r in rows], pa.int32()), "b": pa.array([r[1] for r in rows], pa.int32()), "rank": pa.array([r[2] for r in rows], pa.int32()), "safe": pa.array([r[2] not in unsafe for r in rows])})
+        merges = pa.table({"pair": pa.array([a << 32 | b for a, b, _ in rows], pa.int64()), "rank": pa.array([r[2] for r in rows], pa.int32()), "safe": pa.array([r[2] not in unsafe for r in rows])})
         # A character for each byte, so that text aggregates join bytes.
         tokens = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks])})
         for name, table in (("merges", merges), ("tokens", tokens)):
@@ -147,13 +149,12 @@ class Coder:
     def contracted(self, coded: Sequence[bytes], run: bool) -> list[bytes]:
         """The decimal ids of each, by the recursive query."""
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        number = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
+        number = np.repeat(np.arange(len(coded)), sizes)
         place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.db.register("fresh", pa.table({"w": number, "p": place.astype(np.int32), "tok": self.single[np.frombuffer(b"".join(coded), np.uint8)]}))
+        self.db.register("fresh", pa.table({"k": number << 32 | place, "tok": self.single[np.frombuffer(b"".join(coded), np.uint8)]}))
         found = self.db.sql(contraction(run)).to_arrow_table()
         self.db.unregister("fresh")
-        ids = dict(zip(found["w"].to_pylist(), found["ids"].to_pylist(), strict=True))
-        return [ids[w].encode() for w in range(len(coded))]
+        return found["ids"].to_pylist()
 
     def arrays(self, coded: Sequence[bytes]) -> list[np.ndarray]:
         """The ids of each, in queries of a bounded size."""
@@ -162,7 +163,7 @@ class Coder:
             mine = [i for i, c in enumerate(coded) if (len(c) > LONG) == run]
             for begin, end in slices([coded[i] for i in mine], BATCH):
                 for i, ids in zip(mine[begin:end], self.contracted([coded[i] for i in mine[begin:end]], run), strict=True):
-                    out[i] = np.array(ids.split(), np.int32)
+                    out[i] = np.fromstring(ids, np.int32, sep=" ")
         return out
 
     def code_long(self, coded: Sequence[bytes]) -> list[np.ndarray]:
@@ -229,32 +230,29 @@ class Coder:
         return [b" ".join(ids) for ids in out]
 
     def looked_up(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        distinct = set().union(*cut)
-        new = self.chunks.missing(distinct)
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        chunks, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        new = self.chunks.missing(set(chunks))
         decided = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
         self.chunks.put(dict.fromkeys(new, False) | dict(zip(decided, self.code_words([self.split(c) for c in decided]), strict=True)))
-        # A smaller table of the chunks at hand stays in the processor's cache.
-        known = {c: self.chunks.young[c] for c in distinct}
-        first = self.code_words([self.find(parts[0]) for parts in cut])
-        out, whole = [], []
-        for i, parts in enumerate(cut):
-            found = list(map(known.__getitem__, parts))
-            if parts[0] and found[0] is False or False in found[1:]:
-                whole.append(i)
-                out.append(b"")
-                continue
-            found[0] = first[i]
-            out.append(b" ".join(found) if first[i] else b" ".join(found[1:]))
-        for i, ids in zip(whole, self.code_words([self.find(texts[i]) for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        # A null, of a chunk that is not decided, makes its text null. A text's first chunk has no space before it.
+        begin = cut.offsets.to_numpy()[:-1]
+        heads = [chunks[k] for k in place[begin].tolist()]
+        first = [None if h and self.chunks.young[h] is False else ids for h, ids in zip(heads, self.code_words([self.find(h) for h in heads]), strict=True)]
+        place[begin] = len(chunks) + np.arange(len(texts))
+        ids = pa.array([self.chunks.young[c] or None for c in chunks] + first, pa.binary())
+        out = pc.binary_join(pa.ListArray.from_arrays(cut.offsets, ids.take(pa.array(place))), b" ").to_pylist()
+        whole = [i for i, found in enumerate(out) if found is None]
+        for i, found in zip(whole, self.code_words([self.find(texts[i]) for i in whole]), strict=True):
+            out[i] = found
+        return [found.lstrip(b" ") for found in out]
 
     def decode(self, ids: Sequence[np.ndarray]) -> Iterator[bytes]:
         """The bytes of each run of ids, by ordered aggregation."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.db.register("coded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "p": np.arange(int(sizes.sum()), dtype=np.int32), "tok": np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)}))
-        found = self.db.sql("SELECT d, string_agg(bytes, '' ORDER BY p) AS text FROM coded JOIN tokens USING (tok) GROUP BY d").to_arrow_table()
+        found = self.db.sql("SELECT d, array_to_string(list(bytes ORDER BY p), '') AS text FROM coded JOIN tokens USING (tok) GROUP BY d").to_arrow_table()
         self.db.unregister("coded")
         texts = dict(zip(found["d"].to_pylist(), found["text"].to_pylist(), strict=True))
         return (texts.get(i, "").encode("latin-1") for i in range(len(ids)))
@@ -271,7 +269,7 @@ class Coder:
                 sums[i].update(plain)
 
         for i, text in enumerate(coded):
-            ids = np.array(text.split(), np.int32)
+            ids = np.fromstring(text, np.int32, sep=" ") if text else np.zeros(0, np.int32)
             for at in range(0, len(ids), DECODED):
                 if count + len(ids[at : at + DECODED]) > DECODED and held:
                     flush()
