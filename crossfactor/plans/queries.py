@@ -14,7 +14,7 @@ from crossfactor.operators import beta, calendar, factors, fit, report, universe
 from crossfactor.functions.columns import padded_ticker
 from crossfactor.plans.pipeline import Result, cross_sections, member_rows, prepared_panel, run_pipeline
 from crossfactor.sources.artifacts import publish
-from crossfactor.sources.market import FrameSource, event_panel, weekly_panel
+from crossfactor.sources.market import FrameSource, YearlyParquetSource, event_panel, weekly_panel, write_yearly
 from crossfactor.sources.working import working_folder, written
 from crossfactor.streaming import events, live
 
@@ -156,6 +156,16 @@ register("calendar", lambda s, d: calendar.sessions(panel(s, d)), "SELECT date,
 register("latest_date", lambda s, d: panel(s, d).where("date <= '1995-06-30'").agg(F.max("date").alias("latest")), "SELECT max(date) AS latest FROM panel WHERE date <= '1995-06-30'")
 register("trading_dates", lambda s, d: FrameSource(panel(s, d)).trading_dates(dt.date(1998, 1, 1), dt.date(1998, 12, 31)), "SELECT date FROM cal WHERE date BETWEEN '1998-01-01' AND '1998-12-31'")
 register("scan_range_tickers", lambda s, d: FrameSource(panel(s, d)).load(dt.date(1998, 1, 1), dt.date(1998, 6, 30), panel(s, d).where("ticker <= '000005'")), "SELECT * FROM panel WHERE date BETWEEN '1998-01-01' AND '1998-06-30' AND ticker <= '000005'", "return_percent market_cap", 6)
+
+
+def yearly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written as files by year and read back by range."""
+    folder = working_folder(spark, "years")
+    write_yearly(panel(spark, sf_dir), folder, "panel")
+    return YearlyParquetSource(spark, folder, "panel").load(dt.date(1993, 7, 1), dt.date(1998, 6, 30))
+
+
+register("yearly_files", yearly_files, "SELECT * FROM panel WHERE date BETWEEN '1993-07-01' AND '1998-06-30'", "return_percent market_cap", 6)
 register("prev_session_lag", lambda s, d: calendar.previous_session_values(panel(s, d), "market_cap"), "SELECT date, ticker, lagged_cap AS previous FROM p", "previous", 6)
 register(
     "universe_fixed",

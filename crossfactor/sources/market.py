@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -111,6 +112,30 @@ class YearlyParquetSource:
         return rows if tickers is None else rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi").select(*PANEL.names)
 
 
+def write_yearly(panel: DataFrame, directory: str, prefix: str = "marcap") -> None:
+    """Canonical rows as ``<prefix>-YYYY.parquet``, which ``YearlyParquetSource`` reads; written by one job.
+
+    Parts follow the rows of a year, so a large year is many. A year that the directory has raises, and nothing is changed then.
+    Rows without a date raise; an empty panel writes no year.
+    """
+    spark = panel.sparkSession
+    day = F.when(F.col("date").isNull(), F.raise_error(F.lit("a row has no date")).cast("date")).otherwise(F.col("date"))
+    rows = panel.select(day.cast("timestamp_ntz").alias("Date"), F.col("ticker").alias("Code"), F.col("return_percent").alias("ChangesRatio"), F.col("market_cap").alias("Marcap"))
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(directory).getFileSystem(spark._jsc.hadoopConfiguration())
+    staging = f"{directory.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    try:
+        rows.withColumn("year", F.year("Date")).hint("rebalance", F.col("year")).write.partitionBy("year").parquet(staging)
+        made = {str(s.getPath()): f"{prefix}-{int(m[1]):04d}.parquet" for s in fs.listStatus(at(staging)) if (m := re.fullmatch(r"year=(\d+)", s.getPath().getName()))}
+        if have := sorted(name for name in made.values() if fs.exists(at(directory, name))):
+            raise FileExistsError(f"{directory} has {', '.join(have)}")
+        for path, name in made.items():
+            if not fs.rename(at(path), at(directory, name)):
+                raise OSError(f"{name} cannot be put into {directory}")
+    finally:
+        fs.delete(at(staging), True)
+
+
 def require_unique(panel: DataFrame, keys: Sequence[str] = ("date", "ticker")) -> None:
     """Raise if a key repeats."""
     found = panel.groupBy(*keys).count().where("count > 1").head()

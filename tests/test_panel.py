@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crossfactor.functions.columns import padded_ticker
 from crossfactor.operators import calendar, factors, universe, weights
 from crossfactor.plans.pipeline import prepared_panel
-from crossfactor.sources.market import PANEL, RAW, FrameSource, YearlyParquetSource, event_panel, require_unique, weekly_panel
+from crossfactor.sources.market import PANEL, RAW, FrameSource, YearlyParquetSource, event_panel, require_unique, weekly_panel, write_yearly
 
 
 def days(count: int, start: str = "2024-01-01") -> list[dt.date]:
@@ -111,6 +111,21 @@ def test_yearly_files(spark, tmp_path):
     assert "GreaterThanOrEqual(Date" in plan
 
 
+def test_panel_as_yearly_files(spark, tmp_path):
+    rows = [(dt.date(y, m, 1), t, None if t == "000002" else 1.5, float(m)) for y in (1999, 2000, 2001) for m in (1, 12) for t in ("000001", "000002", "1234567")]
+    frame, folder = make(spark, rows), str(tmp_path / "years")
+    write_yearly(frame, folder, "panel")
+    assert sorted(p.name for p in (tmp_path / "years").iterdir() if not p.name.startswith(".")) == [f"panel-{y}.parquet" for y in (1999, 2000, 2001)]
+    source = YearlyParquetSource(spark, folder, "panel")
+    got = source.load(dt.date(1999, 12, 1), dt.date(2001, 1, 1))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if dt.date(1999, 12, 1) <= r[0] <= dt.date(2001, 1, 1)), key=str)
+    with pytest.raises(FileExistsError):
+        write_yearly(make(spark, [(dt.date(y, 1, 1), "A", 1.0, 1.0) for y in (2001, 2002)]), folder, "panel")
+    assert sorted(source.paths()) == [1999, 2000, 2001] and source.load(dt.date(1999, 1, 1), dt.date(2002, 12, 31)).count() == len(rows)
+    write_yearly(make(spark, []), folder, "panel")
+    assert not [p for p in (tmp_path / "years").iterdir() if p.name.startswith(".staging")]
+
+
 def test_padding_and_keys(spark):
     got = [r[0] for r in spark.createDataFrame([("1",), ("123456",), ("12345678",)], "c string").select(padded_ticker(F.col("c"))).collect()]
     assert got == ["000001", "123456", "12345678"]
