@@ -10,9 +10,10 @@ Texts with equal word sequences collapse to a node first. In each bucket of a ba
 with the bucket's leader; verified pairs join components. Where the nodes of a bucket are then
 still in several components, rounds with other leaders follow. At last the nodes of such buckets
 get a sketch of four times as many registers, and blocks of a bucket's nodes are compared with
-blocks, within a task: each pair of different components in the first bucket that it shares only. Pairs
-that the sketch puts near the threshold or above are verified there, unless links found before join
-them, so no pair becomes a row but the links that join components, and no bucket or candidate is capped.
+blocks, within a task: each pair of different components in the first bucket that it shares only. Nodes
+with a partner that the sketch puts near the threshold or above then meet again with their texts, and such
+pairs are verified there, unless links found before join them. So no pair becomes a row but the links that
+join components, no bucket or candidate is capped, and of a bucket's texts only those of such nodes move.
 
 With 24 bands of 5 registers a pair of similarity 0.8 is missed with probability 7e-5; the sketch
 misses it with 1e-4 (3.9 standard deviations). Other pairs of its class may still join it.
@@ -50,6 +51,9 @@ BLOCK, BLOCK_BYTES = 800, 8 << 20
 #: Links that one task may join, about 400 bytes each in its tables; more are joined by stars over all executors.
 ONE_TASK_LINKS = 200_000
 
+#: A node's place in two blocks of a bucket.
+PLACED = ["__key", "__i", "__j", "__block", "__node", "__label"]
+
 SIGNED = "doc_id long, __node binary, __bands array<long>"
 SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("__node", pa.binary()), ("__bands", pa.list_(pa.int64()))])
 
@@ -275,22 +279,49 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(begin, end - begin)
             held = (signatures(texts[begin:end], SKETCH) >> U64(56)).astype(np.uint8)
             keys = banded(signatures(texts[begin:end]))
-            columns = [part.column(0).cast(pa.binary()), part.column(1).cast(pa.binary()), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (held, keys))]
-            yield pa.RecordBatch.from_arrays(columns, names=["__of", "__text", "__sketch", "__keys"])
+            columns = [part.column(0).cast(pa.binary()), pa.array(map(len, texts[begin:end]), pa.int64()), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (held, keys))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__of", "__bytes", "__sketch", "__keys"])
 
 
-def compare(table: pa.Table) -> pa.Table:
-    """Two blocks of a bucket, or one with itself: links between similar nodes of different components."""
-    nodes, labels, texts = (table.column(c).to_pylist() for c in ("__node", "__label", "__text"))
+def numbered(labels: list[bytes]) -> np.ndarray:
+    number = {label: k for k, label in enumerate(dict.fromkeys(labels))}
+    return np.array([number[label] for label in labels])
+
+
+def near(table: pa.Table, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Two blocks of a bucket, or one with itself: each row and its partners, the nearest first.
+
+    Partners are of another ``part`` at the time of asking, share this bucket as their first and are near by sketch.
+    """
     marks = np.frombuffer(b"".join(table.column("__sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     keys = np.frombuffer(b"".join(table.column("__keys").to_pylist()), np.int64).reshape(-1, BANDS)
     here, i, j = (table.column(c)[0].as_py() for c in ("__key", "__i", "__j"))
     block = table.column("__block").to_numpy()
-    number = {label: k for k, label in enumerate(dict.fromkeys(labels))}
-    part = np.array([number[label] for label in labels])  # a node's component, joined as links are found
     first = np.flatnonzero(block == i)
     second = first if i == j else np.flatnonzero(block == j)
     least = int(np.ceil(SKETCH * (NEAR + (1 - NEAR) / 256)))
+    for at, k in enumerate(first):
+        others = second[at + 1 :] if i == j else second
+        others = others[part[others] != part[k]]
+        shared = keys[others] == keys[k]
+        others = others[keys[k][shared.argmax(axis=1)] == here]
+        agree = (marks[others] == marks[k]).sum(axis=1)
+        yield k, others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]
+
+
+def close(table: pa.Table) -> pa.Table:
+    """The rows of two blocks that have a partner."""
+    has = np.zeros(table.num_rows, bool)
+    for k, others in near(table, numbered(table.column("__label").to_pylist())):
+        has[others] = True
+        has[k] |= len(others) > 0
+    return table.select(PLACED).filter(pa.array(has))
+
+
+def compare(table: pa.Table) -> pa.Table:
+    """The rows of two blocks that have a partner, with their texts: links between similar nodes of different components."""
+    nodes, texts = (table.column(c).to_pylist() for c in ("__node", "__text"))
+    part = numbered(table.column("__label").to_pylist())  # a node's component, joined as links are found
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     found: list[tuple[bytes, bytes]] = []
 
@@ -299,13 +330,8 @@ def compare(table: pa.Table) -> pa.Table:
             held[k] = parted([texts[k]])[0]
         return held[k]
 
-    for at, k in enumerate(first):
-        others = second[at + 1 :] if i == j else second
-        others = others[part[others] != part[k]]
-        shared = keys[others] == keys[k]
-        others = others[keys[k][shared.argmax(axis=1)] == here]
-        agree = (marks[others] == marks[k]).sum(axis=1)
-        for n in others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]:
+    for k, others in near(table, part):
+        for n in others:
             if part[n] != part[k] and probability_jaccard(content(k), content(n)) >= SIMILARITY:
                 found.append((min(nodes[k], nodes[n]), max(nodes[k], nodes[n])))
                 part[part == part[n]] = part[k]
@@ -315,15 +341,18 @@ def compare(table: pa.Table) -> pa.Table:
 def block_links(rest: DataFrame, content: DataFrame) -> DataFrame:
     """Links that join nodes of a bucket which are in different components. Blocks are bounded in nodes and in bytes."""
     own = rest.select(F.col("__node").alias("__want")).distinct()
-    marked = content.join(own, F.col("__node") == F.col("__want"), "left_semi").select("__node", "__text").mapInArrow(sketch, "__of binary, __text binary, __sketch binary, __keys binary")
+    marked = content.join(own, F.col("__node") == F.col("__want"), "left_semi").select("__node", "__text").mapInArrow(sketch, "__of binary, __bytes long, __sketch binary, __keys binary")
     marked = written(marked, "near-sketches")
-    sizes = rest.join(marked.select("__of", F.octet_length("__text").alias("__bytes")), F.col("__node") == F.col("__of"))
+    sizes = rest.join(marked.select("__of", "__bytes"), F.col("__node") == F.col("__of"))
     sizes = sizes.groupBy("__key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("__bytes") / BLOCK_BYTES)).alias("__blocks"))
     dealt = split(rest, sizes).withColumn("__block", F.pmod(F.xxhash64("__node"), "__blocks"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
     dealt = dealt.select("__key", F.least("__block", "__other").alias("__i"), F.greatest("__block", "__other").alias("__j"), "__block", "__node", "__label")
-    both = dealt.join(marked, F.col("__node") == F.col("__of")).drop("__of")
-    return both.groupBy("__key", "__i", "__j").applyInArrow(compare, "__a binary, __b binary")
+    marks = marked.drop("__bytes")
+    both = dealt.join(marks, F.col("__node") == F.col("__of")).drop("__of")
+    apart = written(both.groupBy("__key", "__i", "__j").applyInArrow(close, "__key long, __i long, __j long, __block long, __node binary, __label binary"), "near-close")
+    told = apart.join(marks, F.col("__node") == F.col("__of")).drop("__of").join(content.select("__node", "__text"), "__node")
+    return told.groupBy("__key", "__i", "__j").applyInArrow(compare, "__a binary, __b binary")
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -447,7 +447,8 @@ def test_components(spark, one_task):
     assert got == {name(k): name(v) for k, v in above.items()}
 
 
-def test_near_copies(spark, docs, empty, monkeypatch):
+@pytest.mark.parametrize("rounds", (minhash.LEADER_ROUNDS, 0))
+def test_near_copies(spark, docs, empty, monkeypatch, rounds):
     rng = random.Random(8)
     rows = list(ROWS)
     for i in range(60):  # copies of one text with more and more edits: chains and pairs near the threshold
@@ -472,6 +473,7 @@ def test_near_copies(spark, docs, empty, monkeypatch):
         classes[root(k)].append(i)
     wanted = {i: (min(c, key=lambda x: (x is None, x)), len(c)) for c in classes.values() for i in c}
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "LEADER_ROUNDS", rounds)  # none: blocks find all links that are not with a bucket's first leader
     got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.classify(own).collect()}
     assert got == wanted
     kept = minhash.dedup(docs)
