@@ -77,11 +77,14 @@ class RecursiveBeta(OrderedModel):
         The proxy weights the first date's members alone, lagged on the calendar of their own rows.
         """
         start = universe.where("in_universe").agg(F.min("date").alias("__start"))
-        first = universe.where("in_universe").join(F.broadcast(start), F.col("date") == F.col("__start")).select("ticker")
-        members = with_ordinals(panel.drop("k", "lagged_cap").join(first, "ticker", "left_semi"))
-        proxy = market_returns(members.withColumn("lagged_cap", previous_session(F.col("market_cap"))))
+        first = universe.where("in_universe").join(F.broadcast(start), F.col("date") == F.col("__start"), "left_semi").select("ticker")
+        # Lags look back: so the rows before the start are taken first, and only they move.
+        before = panel.drop("lagged_cap").join(F.broadcast(start), F.col("date") < F.col("__start"), "left_semi")
+        lagged = previous_session(F.col("market_cap"))
+        members = with_ordinals(before.drop("k").join(first, "ticker", "left_semi"))
+        proxy = market_returns(members.withColumn("lagged_cap", lagged))
         # One row a session on the right side: the calendar's bound.
-        history = panel.join(F.broadcast(start), F.col("date") < F.col("__start")).join(F.broadcast(proxy), "date")
+        history = before.withColumn("lagged_cap", lagged).join(F.broadcast(proxy), "date")
         w, r = F.col("lagged_cap"), F.col("return")
         recent = Window.partitionBy("ticker").orderBy(F.desc("k"))
         history = history.where(finite(w) & (w > 0) & finite(r)).withColumn("__back", F.row_number().over(recent)).where(F.col("__back") <= self.lookback_days)

@@ -53,12 +53,14 @@ class PythonFactor(Factor):
 class FactorModel(Protocol):
     """Names, needed history, and exposures on the rows of a panel with ``return`` and ``k``.
 
+    ``history_sessions`` says how many sessions before a row's own its exposures read: rows further back may be left out.
     Of members' rows with those exposures and weights, ``sections`` gives all factors and ``fit`` the fits; factors that need
     the fits before are theirs to make, from the columns of ``with_inputs``. ``passes`` says how often a fit reads the rows.
     """
 
     names: tuple[str, ...]
     history_business_days: int
+    history_sessions: int
     passes: int
 
     def exposures(self, panel: DataFrame) -> DataFrame: ...
@@ -107,6 +109,10 @@ class CharacteristicModel:
     def history_business_days(self) -> int:
         return max(f.history_business_days for f in self.factors)
 
+    @property
+    def history_sessions(self) -> int:
+        return self.history_business_days
+
     def exposures(self, panel: DataFrame) -> DataFrame:
         columns = [f for f in self.factors if not isinstance(f, PythonFactor)]
         out = panel.select("*", *(f.build().alias(f.name) for f in columns))

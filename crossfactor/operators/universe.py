@@ -49,6 +49,20 @@ class FixedTopUniverse:
         return dates.crossJoin(F.broadcast(members.select("ticker", "member_rank"))).select("date", "ticker", F.lit(True).alias("in_universe"), "member_rank")
 
 
+def leading(rows: DataFrame, size: int) -> DataFrame:
+    """The rows that may be among a date's ``size`` largest caps, and few others: so ranking moves no whole panel.
+
+    Rows are counted by date and step of the cap, each some 3 % wide; a date keeps the steps that hold its largest, and one more, as
+    a sum of caps made anew may differ in its last digit. The bounds have a row a date, which the calendar's bound holds.
+    """
+    c = F.col("market_cap")
+    step = F.signum(c) * F.floor(F.least(F.log1p(F.abs(c)) * 32, F.lit(1e6)))
+    counts = rows.groupBy("date", step.alias("__step")).agg(F.count("*").alias("__n"))
+    above = F.sum("__n").over(Window.partitionBy("date").orderBy(F.desc("__step"))) - F.col("__n")
+    bounds = counts.withColumn("__above", above).where(F.col("__above") < size).groupBy("date").agg(F.min("__step").alias("__least"))
+    return rows.join(F.broadcast(bounds), "date").where(step >= F.col("__least") - 1).drop("__least")
+
+
 @dataclass(frozen=True)
 class DailyTopUniverse:
     """Each session, the largest names of the session before. Caps of zero or less are kept, as ranks go by value."""
@@ -69,7 +83,7 @@ class DailyTopUniverse:
         # Two rows of dates a session: the calendar's bound holds.
         effective = F.broadcast(days.join(later, "k").select("date", "effective"))
         rank = Window.partitionBy("date").orderBy(F.desc("market_cap"), "ticker")
-        top = panel.where("market_cap is not null and not isnan(market_cap)").withColumn("member_rank", F.row_number().over(rank)).where(F.col("member_rank") <= self.size)
+        top = leading(panel.where("market_cap is not null and not isnan(market_cap)"), self.size).withColumn("member_rank", F.row_number().over(rank)).where(F.col("member_rank") <= self.size)
         rows = top.join(effective, "date").select(F.col("effective").alias("date"), "ticker", F.lit(True).alias("in_universe"), "member_rank")
         return rows.where((F.col("date") >= F.lit(window.start)) & (F.col("date") <= F.lit(window.end)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossfactor.functions.columns import percentage_return, previous_session
@@ -41,13 +41,32 @@ def prepared_panel(panel: DataFrame, returns: Callable[[], Column] = percentage_
     return own.withColumn("lagged_cap", previous_session(F.col("market_cap")))
 
 
+def rows_read(panel: DataFrame, universe: DataFrame, sessions_back: int) -> DataFrame:
+    """The panel's rows of members, and of their tickers in so many sessions before, with ``lagged_cap`` made of them.
+
+    So windows by ticker sort what members read and not the whole panel. A small universe whose size is known is sent to the panel.
+    """
+    # A row a session: the calendar's bound.
+    ahead = F.max("date").over(Window.orderBy("k").rangeBetween(0, sessions_back))
+    days = panel.select("date", "k").distinct().select("date", ahead.alias("__until"))
+    members = universe.where("in_universe").select(F.col("ticker").alias("__member"), F.col("date").alias("__at"))
+    reads = (F.col("ticker") == F.col("__member")) & F.col("__at").between(F.col("date"), F.col("__until"))
+    rows = panel.drop("lagged_cap").join(F.broadcast(days), "date").join(members, reads, "left_semi").drop("__until")
+    return rows.withColumn("lagged_cap", previous_session(F.col("market_cap")))
+
+
 def member_rows(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel) -> DataFrame:
-    """Members of each date with return, weight, lagged cap, relational exposures and the model's inputs."""
-    rows = model.exposures(panel).withColumn("regression_weight", weights.column())
+    """Members of each date with return, weight, lagged cap, relational exposures and the model's inputs.
+
+    Exposures and weights are made of the sessions that model and weights say they need.
+    """
+    read = rows_read(panel, universe, max(1, model.history_sessions, weights.history_business_days))
+    rows = model.exposures(read).withColumn("regression_weight", weights.column())
     columns = [c for c in rows.columns if c not in panel.columns]
     members = universe.where("in_universe").select("date", "ticker")
-    kept = members.join(rows.select("date", "ticker", "return", "lagged_cap", *columns), ["date", "ticker"], "left")
-    return model.with_inputs(kept, panel, universe)
+    # The rows before leave first: the left join moves members alone.
+    rows = rows.select("date", "ticker", "return", "lagged_cap", *columns).join(members, ["date", "ticker"], "left_semi")
+    return model.with_inputs(members.join(rows, ["date", "ticker"], "left"), panel, universe)
 
 
 def cross_sections(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel, residualizer: OwnFit) -> DataFrame:

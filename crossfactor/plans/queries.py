@@ -115,9 +115,14 @@ def daily_universe(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFr
     return universe.DailyTopUniverse(size).build(source(spark, sf_dir), WINDOW)
 
 
+def members(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+    """The daily universe, written once: several joins read it, and know its size."""
+    return written(daily_universe(spark, sf_dir, size), "universe")
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, as a fit reads them three times."""
-    return written(cross_sections(prepared(spark, sf_dir), daily_universe(spark, sf_dir), MODEL, weights.SquareRootCapWeights(), RESIDUALIZER), "sections")
+    return written(cross_sections(prepared(spark, sf_dir), members(spark, sf_dir), MODEL, weights.SquareRootCapWeights(), RESIDUALIZER), "sections")
 
 
 RESIDUALIZER = fit.sequential_wls(ORDER, WINSOR)
@@ -213,7 +218,7 @@ register(
 )
 register("weights_sqrt_cap", lambda s, d: prepared(s, d).select("date", "ticker", weights.SquareRootCapWeights().column().alias("regression_weight")), "SELECT date, ticker, w AS regression_weight FROM x", "regression_weight", 6)
 register("weights_equal", lambda s, d: prepared(s, d).select("date", "ticker", weights.EqualWeights().column().alias("regression_weight")), "SELECT date, ticker, 1.0::DOUBLE AS regression_weight FROM x", "regression_weight")
-register("market_return", lambda s, d: beta.market_returns(prepared(s, d), daily_universe(s, d)), "SELECT date, sum(lagged_cap * ret) / sum(lagged_cap) AS market_return FROM p JOIN uni USING (date, ticker) WHERE lagged_cap > 0 GROUP BY date", "market_return")
+register("market_return", lambda s, d: beta.market_returns(prepared(s, d), members(s, d)), "SELECT date, sum(lagged_cap * ret) / sum(lagged_cap) AS market_return FROM p JOIN uni USING (date, ticker) WHERE lagged_cap > 0 GROUP BY date", "market_return")
 
 BETA_MODEL = beta.RecursiveBeta(MODEL, *BETA)
 BOOT = f"""
@@ -223,7 +228,7 @@ BOOT = f"""
       proxy AS (SELECT date, sum(c * ret) / sum(c) AS g FROM ml WHERE c > 0 GROUP BY date),
       hist AS (SELECT p.*, g FROM p JOIN proxy USING (date) WHERE date < (SELECT min(date) FROM uni) AND lagged_cap > 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY k DESC) <= {BETA[0]}),
       boot AS (SELECT ticker, least(greatest(covar_pop(ret, g) / var_pop(g), -5), 5) AS initial_beta FROM hist GROUP BY ticker HAVING count(*) >= {BETA[1]} AND var_pop(g) > 0)"""
-register("bootstrap_beta", lambda s, d: BETA_MODEL.bootstrap(prepared(s, d), daily_universe(s, d)), f"WITH {BOOT} SELECT * FROM boot", "initial_beta")
+register("bootstrap_beta", lambda s, d: BETA_MODEL.bootstrap(prepared(s, d), members(s, d)), f"WITH {BOOT} SELECT * FROM boot", "initial_beta")
 register("winsor_bounds", lambda s, d: sections(s, d).where(fit.all_finite(ORDER)).groupBy("date").agg(F.expr(f"percentile(SIZE, {WINSOR}D)").alias("size_low"), F.expr(f"percentile(SIZE, {1 - WINSOR}D)").alias("size_high")).where("size_low is not null"), "SELECT date, quantile_cont(size_x, 0.01::DOUBLE) AS size_low, quantile_cont(size_x, 0.99::DOUBLE) AS size_high FROM u0 GROUP BY date", "size_low size_high")
 register("normalized_exposures", lambda s, d: fit.normalised(sections(s, d), ORDER, WINSOR, ()).select("date", "ticker", F.col("__z_0").alias("size_z"), F.col("__z_1").alias("mom_z")), "SELECT date, ticker, z1 AS size_z, z2 AS mom_z FROM u5", "size_z mom_z")
 register("normalized_unscaled", lambda s, d: fit.normalised(sections(s, d), ORDER, WINSOR, ("SIZE",)).select("date", "ticker", F.col("__z_0").alias("size_z"), F.col("__z_1").alias("mom_z")), "SELECT date, ticker, x1 - c1 AS size_z, z2 AS mom_z FROM u5", "size_z mom_z")
@@ -272,7 +277,7 @@ register("observation_range", lambda s, d: fitted(s, d).diagnostics().agg(F.min(
 
 def ordered_rows(spark: SparkSession, sf_dir: str, model: factors.FactorModel, size: int = SIZE) -> DataFrame:
     """What the scan of a model reads."""
-    return member_rows(prepared(spark, sf_dir), daily_universe(spark, sf_dir, size), model, weights.SquareRootCapWeights())
+    return member_rows(prepared(spark, sf_dir), members(spark, sf_dir, size), model, weights.SquareRootCapWeights())
 
 
 def beta_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +331,7 @@ OLS_FIT = fit_sql("SELECT date, ticker, ret, 1 AS w, size_x, mom_x FROM u0", (("
 register("sequential_ols_f", lambda s, d: fit.sequential_ols(ORDER, WINSOR).fit(sections(s, d).where(fit.all_finite(ORDER)).withColumn("regression_weight", F.lit(1.0))).factor_returns(), f'WITH {OLS_FIT} SELECT date, any_value(i) AS "INTERCEPT", any_value(f1) AS "SIZE", any_value(f2) AS "MOM" FROM s2 GROUP BY date', '"INTERCEPT" "SIZE" "MOM"', 12)
 BETA_FIT = fit_sql(f"SELECT u0.*, beta FROM u0 JOIN ({BETA_SQL}) USING (date, ticker)", (("MKT", "beta", False), ("SIZE", "size_x", True), ("MOM", "mom_x", True)))
 register("recursive_beta", lambda s, d: beta_sections(s, d).select("date", "ticker", F.col("MKT").alias("beta")), BETA_SQL, "beta")
-register("beta_fit_f", lambda s, d: BETA_RESIDUALIZER.fit(beta_sections(s, d)).factor_returns(), f'WITH {BETA_FIT} SELECT date, any_value(i) AS "INTERCEPT", any_value(f1) AS "MKT", any_value(f2) AS "SIZE", any_value(f3) AS "MOM" FROM s3 GROUP BY date', '"INTERCEPT" "MKT" "SIZE" "MOM"')
+register("beta_fit_f", lambda s, d: BETA_RESIDUALIZER.fit(written(beta_sections(s, d), "sections")).factor_returns(), f'WITH {BETA_FIT} SELECT date, any_value(i) AS "INTERCEPT", any_value(f1) AS "MKT", any_value(f2) AS "SIZE", any_value(f3) AS "MOM" FROM s3 GROUP BY date', '"INTERCEPT" "MKT" "SIZE" "MOM"')
 
 
 #: The scan's own fits, with the built-in residualizer and with one's own in its place.
