@@ -102,6 +102,7 @@ def run_pipeline(
     try:
         with steps.stage("Build universe"):
             universe = kept(universe_builder.build(source, window))
+            universe.count()  # joins with it know its size
             steps.table("universe", universe)
         with steps.stage("Load market data"):
             days = max(factors.history_business_days, weights.history_business_days)
@@ -109,7 +110,7 @@ def run_pipeline(
             require_unique(loaded)
             steps.table("panel", loaded)
         with steps.stage("Prepare factors"):
-            panel = kept(prepared_panel(loaded, returns))
+            panel = prepared_panel(loaded, returns)  # not kept: its readers take few of its rows, and lag those
         with steps.stage("Residualize returns"):
             rows = member_rows(panel, universe, factors, weights)
             fitted = factors.fit(kept(rows) if factors.passes > 1 else rows, residualizer)
