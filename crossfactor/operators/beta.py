@@ -76,10 +76,11 @@ class RecursiveBeta(OrderedModel):
 
         The proxy weights the first date's members alone, lagged on the calendar of their own rows.
         """
-        start = universe.where("in_universe").agg(F.min("date").alias("__start"))
-        first = universe.where("in_universe").join(F.broadcast(start), F.col("date") == F.col("__start"), "left_semi").select("ticker")
+        # The start is one value, so that reading the panel filters by it. Null, of an empty universe, has nothing before it.
+        start = F.lit(universe.where("in_universe").agg(F.min("date")).first()[0]).cast("date")
+        first = universe.where(F.col("in_universe") & (F.col("date") == start)).select("ticker")
         # Lags look back: so the rows before the start are taken first, and only they move.
-        before = panel.drop("lagged_cap").join(F.broadcast(start), F.col("date") < F.col("__start"), "left_semi")
+        before = panel.drop("lagged_cap").where(F.col("date") < start)
         lagged = previous_session(F.col("market_cap"))
         members = with_ordinals(before.drop("k").join(first, "ticker", "left_semi"))
         proxy = market_returns(members.withColumn("lagged_cap", lagged))

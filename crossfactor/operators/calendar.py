@@ -30,9 +30,12 @@ def sessions(panel: DataFrame) -> DataFrame:
     return panel.select("date").distinct().withColumn("k", bounded)
 
 
-def with_ordinals(panel: DataFrame) -> DataFrame:
-    """The panel with each date's ordinal among its own sessions. The calendar has a row a session: at most ``MAX_SESSIONS``."""
-    return panel.join(F.broadcast(sessions(panel)), "date")
+def with_ordinals(panel: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """The panel with each date's ordinal among its own sessions. The calendar has a row a session: at most ``MAX_SESSIONS``.
+
+    ``days`` is that calendar if it was made before; else each reading of the result reads the panel's dates again.
+    """
+    return panel.join(F.broadcast(sessions(panel) if days is None else days), "date")
 
 
 def previous_session_values(panel: DataFrame, column: str) -> DataFrame:

@@ -78,10 +78,8 @@ class DailyTopUniverse:
         except (ValueError, FileNotFoundError):
             snapshot = window.start
         panel = source.load(snapshot, window.end)
-        days = sessions(panel)
-        later = days.select(F.col("date").alias("effective"), (F.col("k") - 1).alias("k"))
-        # Two rows of dates a session: the calendar's bound holds.
-        effective = F.broadcast(days.join(later, "k").select("date", "effective"))
+        # A row a session: the calendar's bound holds, and one task numbers them.
+        effective = F.broadcast(sessions(panel).select("date", F.lead("date").over(Window.orderBy("k")).alias("effective")).where("effective is not null"))
         rank = Window.partitionBy("date").orderBy(F.desc("market_cap"), "ticker")
         top = leading(panel.where("market_cap is not null and not isnan(market_cap)"), self.size).withColumn("member_rank", F.row_number().over(rank)).where(F.col("member_rank") <= self.size)
         rows = top.join(effective, "date").select(F.col("effective").alias("date"), "ticker", F.lit(True).alias("in_universe"), "member_rank")

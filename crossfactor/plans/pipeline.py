@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossfactor.functions.columns import percentage_return, previous_session
-from crossfactor.operators.calendar import AnalysisWindow, history_start, with_ordinals
+from crossfactor.operators.calendar import AnalysisWindow, history_start, sessions, with_ordinals
 from crossfactor.operators.factors import FactorModel
 from crossfactor.operators.fit import Fitted, OwnFit
 from crossfactor.operators.universe import UniverseBuilder
@@ -35,32 +35,32 @@ class Result:
         return {"epsilon": f.specific_returns(), "r": f.returns(), "X": f.exposures(), "f": f.factor_returns(), "diagnostics": f.diagnostics(), "regression_weights": f.regression_weights()}
 
 
-def prepared_panel(panel: DataFrame, returns: Callable[[], Column] = percentage_return) -> DataFrame:
-    """The panel with ``k``, ``return`` and ``lagged_cap``."""
-    own = with_ordinals(panel).withColumn("return", returns())
+def prepared_panel(panel: DataFrame, returns: Callable[[], Column] = percentage_return, days: DataFrame | None = None) -> DataFrame:
+    """The panel with ``k``, ``return`` and ``lagged_cap``; ``days`` is its calendar, if made before."""
+    own = with_ordinals(panel, days).withColumn("return", returns())
     return own.withColumn("lagged_cap", previous_session(F.col("market_cap")))
 
 
-def rows_read(panel: DataFrame, universe: DataFrame, sessions_back: int) -> DataFrame:
+def rows_read(panel: DataFrame, universe: DataFrame, sessions_back: int, days: DataFrame | None = None) -> DataFrame:
     """The panel's rows of members, and of their tickers in so many sessions before, with ``lagged_cap`` made of them.
 
     So windows by ticker sort what members read and not the whole panel. A small universe whose size is known is sent to the panel.
     """
     # A row a session: the calendar's bound.
     ahead = F.max("date").over(Window.orderBy("k").rangeBetween(0, sessions_back))
-    days = panel.select("date", "k").distinct().select("date", ahead.alias("__until"))
+    days = (panel.select("date", "k").distinct() if days is None else days).select("date", ahead.alias("__until"))
     members = universe.where("in_universe").select(F.col("ticker").alias("__member"), F.col("date").alias("__at"))
     reads = (F.col("ticker") == F.col("__member")) & F.col("__at").between(F.col("date"), F.col("__until"))
     rows = panel.drop("lagged_cap").join(F.broadcast(days), "date").join(members, reads, "left_semi").drop("__until")
     return rows.withColumn("lagged_cap", previous_session(F.col("market_cap")))
 
 
-def member_rows(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel) -> DataFrame:
+def member_rows(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel, days: DataFrame | None = None) -> DataFrame:
     """Members of each date with return, weight, lagged cap, relational exposures and the model's inputs.
 
     Exposures and weights are made of the sessions that model and weights say they need.
     """
-    read = rows_read(panel, universe, max(1, model.history_sessions, weights.history_business_days))
+    read = rows_read(panel, universe, max(1, model.history_sessions, weights.history_business_days), days)
     rows = model.exposures(read).withColumn("regression_weight", weights.column())
     columns = [c for c in rows.columns if c not in panel.columns]
     members = universe.where("in_universe").select("date", "ticker")
@@ -110,9 +110,10 @@ def run_pipeline(
             require_unique(loaded)
             steps.table("panel", loaded)
         with steps.stage("Prepare factors"):
-            panel = prepared_panel(loaded, returns)  # not kept: its readers take few of its rows, and lag those
+            days = kept(sessions(loaded))
+            panel = prepared_panel(loaded, returns, days)  # not kept: its readers take few of its rows, and lag those
         with steps.stage("Residualize returns"):
-            rows = member_rows(panel, universe, factors, weights)
+            rows = member_rows(panel, universe, factors, weights, days)
             fitted = factors.fit(kept(rows) if factors.passes > 1 else rows, residualizer)
             # Checks and sinks read the fitted rows; counting them completes the cache, as what it was made of is released.
             fitted = Fitted(kept(fitted.rows), fitted.factors)

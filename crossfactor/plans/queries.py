@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from crossfactor.operators import beta, calendar, factors, fit, report, universe, validate, volatility, weights
 from crossfactor.functions.columns import padded_ticker
-from crossfactor.plans.pipeline import Result, cross_sections, member_rows, prepared_panel, run_pipeline
+from crossfactor.plans.pipeline import Result, member_rows, prepared_panel, run_pipeline
 from crossfactor.sources.artifacts import publish
 from crossfactor.sources.market import FrameSource, YearlyParquetSource, event_panel, weekly_panel, write_yearly
 from crossfactor.sources.working import working_folder, written
@@ -107,8 +107,8 @@ def source(spark: SparkSession, sf_dir: str) -> FrameSource:
     return FrameSource(panel(spark, sf_dir).persist())
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepared_panel(source(spark, sf_dir).frame)
+def prepared(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    return prepared_panel(source(spark, sf_dir).frame, days=days)
 
 
 def daily_universe(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
@@ -120,9 +120,15 @@ def members(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     return written(daily_universe(spark, sf_dir, size), "universe")
 
 
+def ordered_rows(spark: SparkSession, sf_dir: str, model: factors.FactorModel, size: int = SIZE) -> DataFrame:
+    """What a fit or the scan of a model reads. The calendar is written once, as several joins read it."""
+    days = written(calendar.sessions(source(spark, sf_dir).frame), "calendar")
+    return member_rows(prepared(spark, sf_dir, days), members(spark, sf_dir, size), model, weights.SquareRootCapWeights(), days)
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, as a fit reads them three times."""
-    return written(cross_sections(prepared(spark, sf_dir), members(spark, sf_dir), MODEL, weights.SquareRootCapWeights(), RESIDUALIZER), "sections")
+    return written(MODEL.sections(ordered_rows(spark, sf_dir, MODEL), RESIDUALIZER), "sections")
 
 
 RESIDUALIZER = fit.sequential_wls(ORDER, WINSOR)
@@ -275,11 +281,6 @@ register("table_profile", lambda s, d: report.profile(fitted(s, d).specific_retu
 register("observation_range", lambda s, d: fitted(s, d).diagnostics().agg(F.min("n_observations").alias("least"), F.max("n_observations").alias("most"), F.min("date").alias("first"), F.max("date").alias("last")), "SELECT min(n) AS least, max(n) AS most, min(date) AS first, max(date) AS last FROM (SELECT date, count(*) AS n FROM e GROUP BY date)")
 
 
-def ordered_rows(spark: SparkSession, sf_dir: str, model: factors.FactorModel, size: int = SIZE) -> DataFrame:
-    """What the scan of a model reads."""
-    return member_rows(prepared(spark, sf_dir), members(spark, sf_dir, size), model, weights.SquareRootCapWeights())
-
-
 def beta_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BETA_MODEL.sections(ordered_rows(spark, sf_dir, BETA_MODEL), BETA_RESIDUALIZER)
 
