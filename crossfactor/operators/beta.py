@@ -19,6 +19,7 @@ from crossfactor.operators.calendar import with_ordinals
 from crossfactor.operators.factors import FactorModel, check_names
 from crossfactor.operators.kernel import Fit, usable
 from crossfactor.operators.scan import Day, OrderedModel, Slots
+from crossfactor.operators.universe import sent_if_small
 
 
 def market_returns(panel: DataFrame, index: DataFrame | None = None, cap: str = "lagged_cap") -> DataFrame:
@@ -77,8 +78,9 @@ class RecursiveBeta(OrderedModel):
         The proxy weights the first date's members alone, lagged on the calendar of their own rows.
         """
         # The start is one value, so that reading the panel filters by it. Null, of an empty universe, has nothing before it.
-        start = F.lit(universe.where("in_universe").agg(F.min("date")).first()[0]).cast("date")
-        first = universe.where(F.col("in_universe") & (F.col("date") == start)).select("ticker")
+        found = universe.where("in_universe and date is not null").groupBy("date").count().orderBy("date").first()
+        start, count = F.lit(found and found["date"]).cast("date"), found["count"] if found else 0
+        first = sent_if_small(universe.where(F.col("in_universe") & (F.col("date") == start)).select("ticker"), count)
         # Lags look back: so the rows before the start are taken first, and only they move.
         before = panel.drop("lagged_cap").where(F.col("date") < start)
         lagged = previous_session(F.col("market_cap"))

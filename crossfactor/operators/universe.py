@@ -13,6 +13,10 @@ from crossfactor.operators.calendar import AnalysisWindow, sessions
 from crossfactor.sources.market import MarketDataSource
 
 
+#: Members that a join may broadcast, at about 100 bytes each; more meet the panel by a shuffle.
+MAX_SENT = 1_000_000
+
+
 class UniverseBuilder(Protocol):
     def build(self, source: MarketDataSource, window: AnalysisWindow) -> DataFrame: ...
 
@@ -79,13 +83,20 @@ class DailyTopUniverse:
             snapshot = window.start
         panel = source.load(snapshot, window.end)
         # A row a session: the calendar's bound holds, and one task numbers them.
-        effective = F.broadcast(sessions(panel).select("date", F.lead("date").over(Window.orderBy("k")).alias("effective")).where("effective is not null"))
+        days = sessions(source.trading_dates(snapshot, window.end))
+        effective = F.broadcast(days.select("date", F.lead("date").over(Window.orderBy("k")).alias("effective")).where("effective is not null"))
         rank = Window.partitionBy("date").orderBy(F.desc("market_cap"), "ticker")
         top = leading(panel.where("market_cap is not null and not isnan(market_cap)"), self.size).withColumn("member_rank", F.row_number().over(rank)).where(F.col("member_rank") <= self.size)
         rows = top.join(effective, "date").select(F.col("effective").alias("date"), "ticker", F.lit(True).alias("in_universe"), "member_rank")
         return rows.where((F.col("date") >= F.lit(window.start)) & (F.col("date") <= F.lit(window.end)))
 
 
+def sent_if_small(members: DataFrame, count: int | None) -> DataFrame:
+    """Members for a join with the panel: at most ``MAX_SENT`` counted rows are broadcast, so that the panel's rows do not move, whatever the
+    session's threshold. If they were not counted, the optimizer decides."""
+    return members if count is None or count > MAX_SENT else F.broadcast(members)
+
+
 def universe_index(universe: DataFrame) -> DataFrame:
     return universe.where("in_universe").select("date", "ticker")
 

@@ -12,7 +12,7 @@ from crossfactor.functions.columns import percentage_return, previous_session
 from crossfactor.operators.calendar import AnalysisWindow, history_start, sessions, with_ordinals
 from crossfactor.operators.factors import FactorModel
 from crossfactor.operators.fit import Fitted, OwnFit
-from crossfactor.operators.universe import UniverseBuilder
+from crossfactor.operators.universe import UniverseBuilder, sent_if_small
 from crossfactor.operators.validate import Validation, ValidationError, ValidationResult
 from crossfactor.operators.weights import WeightModel
 from crossfactor.progress import NullProgress, Progress
@@ -41,31 +41,31 @@ def prepared_panel(panel: DataFrame, returns: Callable[[], Column] = percentage_
     return own.withColumn("lagged_cap", previous_session(F.col("market_cap")))
 
 
-def rows_read(panel: DataFrame, universe: DataFrame, sessions_back: int, days: DataFrame | None = None) -> DataFrame:
+def rows_read(panel: DataFrame, universe: DataFrame, sessions_back: int, days: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """The panel's rows of members, and of their tickers in so many sessions before, with ``lagged_cap`` made of them.
 
-    So windows by ticker sort what members read and not the whole panel. A small universe whose size is known is sent to the panel.
+    So windows by ticker sort what members read and not the whole panel. A small universe is sent to the panel, if ``count`` gives its rows.
     """
     # A row a session: the calendar's bound.
     ahead = F.max("date").over(Window.orderBy("k").rangeBetween(0, sessions_back))
     days = (panel.select("date", "k").distinct() if days is None else days).select("date", ahead.alias("__until"))
     members = universe.where("in_universe").select(F.col("ticker").alias("__member"), F.col("date").alias("__at"))
     reads = (F.col("ticker") == F.col("__member")) & F.col("__at").between(F.col("date"), F.col("__until"))
-    rows = panel.drop("lagged_cap").join(F.broadcast(days), "date").join(members, reads, "left_semi").drop("__until")
+    rows = panel.drop("lagged_cap").join(F.broadcast(days), "date").join(sent_if_small(members, count), reads, "left_semi").drop("__until")
     return rows.withColumn("lagged_cap", previous_session(F.col("market_cap")))
 
 
-def member_rows(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel, days: DataFrame | None = None) -> DataFrame:
+def member_rows(panel: DataFrame, universe: DataFrame, model: FactorModel, weights: WeightModel, days: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """Members of each date with return, weight, lagged cap, relational exposures and the model's inputs.
 
-    Exposures and weights are made of the sessions that model and weights say they need.
+    ``count`` is the number of the universe's rows, if it was counted before. Exposures and weights are made of the sessions that model and weights say they need.
     """
-    read = rows_read(panel, universe, max(1, model.history_sessions, weights.history_business_days), days)
+    read = rows_read(panel, universe, max(1, model.history_sessions, weights.history_business_days), days, count)
     rows = model.exposures(read).withColumn("regression_weight", weights.column())
     columns = [c for c in rows.columns if c not in panel.columns]
     members = universe.where("in_universe").select("date", "ticker")
     # The rows before leave first: the left join moves members alone.
-    rows = rows.select("date", "ticker", "return", "lagged_cap", *columns).join(members, ["date", "ticker"], "left_semi")
+    rows = rows.select("date", "ticker", "return", "lagged_cap", *columns).join(sent_if_small(members, count), ["date", "ticker"], "left_semi")
     return model.with_inputs(members.join(rows, ["date", "ticker"], "left"), panel, universe)
 
 
@@ -102,7 +102,7 @@ def run_pipeline(
     try:
         with steps.stage("Build universe"):
             universe = kept(universe_builder.build(source, window))
-            universe.count()  # joins with it know its size
+            count = universe.count()  # joins with it know its size
             steps.table("universe", universe)
         with steps.stage("Load market data"):
             days = max(factors.history_business_days, weights.history_business_days)
@@ -113,7 +113,7 @@ def run_pipeline(
             days = kept(sessions(loaded))
             panel = prepared_panel(loaded, returns, days)  # not kept: its readers take few of its rows, and lag those
         with steps.stage("Residualize returns"):
-            rows = member_rows(panel, universe, factors, weights, days)
+            rows = member_rows(panel, universe, factors, weights, days, count)
             fitted = factors.fit(kept(rows) if factors.passes > 1 else rows, residualizer)
             # Checks and sinks read the fitted rows; counting them completes the cache, as what it was made of is released.
             fitted = Fitted(kept(fitted.rows), fitted.factors)

@@ -103,27 +103,31 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source(spark: SparkSession, sf_dir: str) -> FrameSource:
-    """The panel, kept: universes, lags, bootstrap and sections of a query read it several times."""
-    return FrameSource(panel(spark, sf_dir).persist())
+    """The panel, kept: universes, lags, bootstrap and sections of a query read it several times.
+
+    Partitions are kept by date, so that those who read a range of dates pass over the other batches.
+    """
+    return FrameSource(panel(spark, sf_dir).sortWithinPartitions("date").persist())
 
 
 def prepared(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
     return prepared_panel(source(spark, sf_dir).frame, days=days)
 
 
-def daily_universe(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
-    return universe.DailyTopUniverse(size).build(source(spark, sf_dir), WINDOW)
+def daily_universe(spark: SparkSession, sf_dir: str, size: int = SIZE, days: DataFrame | None = None) -> DataFrame:
+    return universe.DailyTopUniverse(size).build(FrameSource(source(spark, sf_dir).frame, days), WINDOW)
 
 
-def members(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str, size: int = SIZE, days: DataFrame | None = None) -> DataFrame:
     """The daily universe, written once: several joins read it, and know its size."""
-    return written(daily_universe(spark, sf_dir, size), "universe")
+    return written(daily_universe(spark, sf_dir, size, days), "universe")
 
 
 def ordered_rows(spark: SparkSession, sf_dir: str, model: factors.FactorModel, size: int = SIZE) -> DataFrame:
     """What a fit or the scan of a model reads. The calendar is written once, as several joins read it."""
     days = written(calendar.sessions(source(spark, sf_dir).frame), "calendar")
-    return member_rows(prepared(spark, sf_dir, days), members(spark, sf_dir, size), model, weights.SquareRootCapWeights(), days)
+    own = members(spark, sf_dir, size, days)
+    return member_rows(prepared(spark, sf_dir, days), own, model, weights.SquareRootCapWeights(), days, own.count())
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:

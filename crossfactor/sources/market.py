@@ -31,25 +31,30 @@ class MarketDataSource(Protocol):
 
 @dataclass
 class FrameSource:
-    """A source over a DataFrame with the canonical columns."""
+    """A source over a DataFrame with the canonical columns. ``days`` has its dates, if they were made before: then sessions do not read the frame."""
 
     frame: DataFrame
+    days: DataFrame | None = None
 
-    def within(self, start: dt.date, end: dt.date) -> DataFrame:
-        return self.frame.where((F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(end)))
+    @property
+    def dates(self) -> DataFrame:
+        return (self.frame if self.days is None else self.days).select("date")
+
+    def within(self, rows: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+        return rows.where((F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(end)))
 
     def latest_date(self, end: dt.date | None = None) -> dt.date:
-        rows = self.frame if end is None else self.frame.where(F.col("date") <= F.lit(end))
+        rows = self.dates if end is None else self.dates.where(F.col("date") <= F.lit(end))
         found = rows.agg(F.max("date")).first()[0]
         if found is None:
             raise ValueError(f"no market data on or before {end}")
         return found
 
     def trading_dates(self, start: dt.date, end: dt.date) -> DataFrame:
-        return self.within(start, end).select("date").distinct().orderBy("date")
+        return self.within(self.dates, start, end).distinct().orderBy("date")
 
     def load(self, start: dt.date, end: dt.date, tickers: DataFrame | None = None) -> DataFrame:
-        rows = self.within(start, end).select("date", "ticker", "return_percent", "market_cap")
+        rows = self.within(self.frame, start, end).select("date", "ticker", "return_percent", "market_cap")
         return rows if tickers is None else rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi").select("date", "ticker", "return_percent", "market_cap")
 
 
